@@ -85,13 +85,9 @@ def runs_of(words: np.ndarray, of_text: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix(h), bounds
 
 
-def distinct_in_text(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text, ascending, and the new bounds."""
-    text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(text[order], kind="stable")]
-    h, text = h[order], text[order]
-    keep = np.ones(len(h), dtype=bool)
-    keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    h, text = h[keep], text[keep]
-    return h, np.searchsorted(text, np.arange(len(bounds), dtype=np.int64))
+def distinct_in_text(h: np.ndarray, bounds: np.ndarray, bits: int = 44) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text (their first bits), ascending, and the new bounds; up to 2^(64-bits) texts."""
+    text = np.repeat(np.arange(len(bounds) - 1, dtype=U), np.diff(bounds))
+    both = np.sort((text << U(bits)) | (h >> U(64 - bits)))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return both & U((1 << bits) - 1), np.searchsorted(both >> U(bits), np.arange(len(bounds), dtype=U))

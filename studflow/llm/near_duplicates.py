@@ -5,8 +5,8 @@ A set-similarity self-join over the distinct word runs of each record, by rare-f
 1. one pass counts the runs in a table of fixed size, which gives the rare-first order (any fixed order is exact;
    collisions in the table only make it a little less sharp);
 2. each record's runs are put in that order; its prefix is what two records of the wanted similarity must share at
-   least one run of. The prefixes are shuffled by run, column-wise and packed, with a 512-bit parity map of each
-   record's set;
+   least one run of. The prefixes are shuffled by run, column-wise and packed, with a parity map of each record's
+   set (two to four bits for each run in it);
 3. records that meet on a prefix run pass the length filter, the positional filter and, as suffix filter, the lower
    bound that the parity maps give for the symmetric difference; none of these loses a pair;
 4. each surviving pair is verified once, from the two texts.
@@ -30,7 +30,8 @@ from ..tables import checkpointed, spread
 from . import flat
 
 SKETCH_BITS = 20
-MAP_WORDS = 8  # of 64 bits
+#: Parity maps have 128 bits, or 2, 4, 8 ... times as many.
+LEVELS = 12
 #: A run whose count is above this is split into blocks of records that meet block by block.
 HOT = 200_000
 #: Pairs looked at in one go.
@@ -90,12 +91,52 @@ def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def prefix_lengths(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of the probing prefix and of the shorter indexed prefix (for the smaller record of a pair)."""
-    probe = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-    index = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1
+    """Lengths of the probing prefix and of the shorter indexed prefix (for the smaller record of a pair).
+
+    One more than needed, as two runs of a record may have the same 32 bits.
+    """
+    probe = size - np.ceil(t * size - 1e-9).astype(np.int64) + 2
+    index = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 2
     return probe, index
 
 
+def map_level(size: np.ndarray) -> np.ndarray:
+    """A record's parity map has 128 << level bits: at least two for each of its runs."""
+    return np.clip(np.ceil(np.log2(np.maximum(2 * size, 1) / 128)), 0, LEVELS).astype(np.int64)
+
+
+class Maps:
+    """The parity maps of many records, folded to each level that a pair may be compared at."""
+
+    def __init__(self, words: np.ndarray, size: np.ndarray):
+        self.level = map_level(size)
+        start = np.concatenate(([0], np.cumsum(2 << self.level)))[:-1]
+        self.at, self.maps = [], []
+        for k in range(int(self.level.max(initial=-1)) + 1):
+            has = np.flatnonzero(self.level >= k)
+            out = np.zeros((len(has), 2 << k), dtype=np.uint64)
+            for own in np.unique(self.level[has]):
+                rows = np.flatnonzero(self.level[has] == own)
+                m = words[start[has[rows]][:, None] + np.arange(2 << own)]
+                while m.shape[1] > 2 << k:  # halves laid over each other: the map of half as many bits
+                    m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+                out[rows] = m
+            at = np.full(len(size), -1, dtype=np.int64)
+            at[has] = np.arange(len(has))
+            self.at.append(at)
+            self.maps.append(out)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most the size of the symmetric difference of the sets of i and j."""
+        out = np.zeros(len(i), dtype=np.int64)
+        both = np.minimum(self.level[i], self.level[j])
+        for k in np.unique(both):
+            w = np.flatnonzero(both == k)
+            m, at = self.maps[k], self.at[k]
+            out[w] = np.bitwise_count(m[at[i[w]]] ^ m[at[j[w]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     h, bounds, words = runs(texts, n)
     enough = words >= min_words
@@ -103,7 +144,8 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     keep = np.repeat(enough, np.diff(bounds))
     h = h[keep]
     keys, bounds = keys[enough], np.concatenate(([0], np.cumsum(sizes[enough])))
-    h, bounds = flat.distinct_in_text(h, bounds)
+    # runs are told apart by 32 bits of their hash here, by 44 when a pair is verified
+    h, bounds = flat.distinct_in_text(h, bounds, 32)
     size = np.diff(bounds)
     if not len(size):
         return
@@ -119,20 +161,22 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     copies = {}
     for i, j in zip(order[~lead], leader[~lead]):
         copies.setdefault(int(j), []).append(int(keys[i]))
-    # parity maps
-    bit = (h * flat.MULT) >> np.uint64(64 - 9)
-    flat_bit = rec * 512 + bit.astype(np.int64)
-    parity = (np.bincount(flat_bit, minlength=len(size) * 512) & 1).astype(np.uint8)
-    maps = np.packbits(parity.reshape(len(size), 512), axis=1).view(np.uint64).reshape(len(size), MAP_WORDS)
-    # rare first
+    # parity maps, laid end to end
+    level = map_level(size)
+    start = np.concatenate(([0], np.cumsum(128 << level)))
+    bit = ((h * flat.MULT) & flat.U(0xFFFFFFFF)).astype(np.int64) & ((128 << level) - 1)[rec]
+    parity = (np.bincount(start[rec] + bit, minlength=start[-1]) & 1).astype(np.uint8)
+    maps = np.packbits(parity, bitorder="little").view(np.uint64)
+    # rare first: by count, then by the run's hash
     bits = int(len(counts)).bit_length() - 1
-    often = counts[(h >> np.uint64(64 - bits)).astype(np.int64)]
-    order = np.lexsort((h, often, rec))
+    often = np.minimum(counts[(h >> np.uint64(32 - bits)).astype(np.int64)], 0x3FFFF).astype(np.uint64)
+    order = np.sort((rec.astype(np.uint64) << np.uint64(50)) | (often << np.uint64(32)) | h)
     place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
     probe, _ = prefix_lengths(size, t)
-    sel = (place < probe[rec]) & (often[order] > 1) & leads[rec]
-    h, often, rec, place = h[order][sel], often[order][sel], rec[sel], place[sel]
-    token, side = (h >> np.uint64(20)).astype(np.uint32), np.zeros(len(h), dtype=np.uint8)
+    often = (order >> np.uint64(32)) & np.uint64(0x3FFFF)
+    sel = (place < probe[rec]) & (often > 1) & leads[rec]
+    h, often, rec, place = order[sel] & np.uint64(0xFFFFFFFF), often[sel], rec[sel], place[sel]
+    token, side = h.astype(np.uint32), np.zeros(len(h), dtype=np.uint8)
     hot = np.flatnonzero(often > HOT)
     if len(hot):
         # a hot run meets in blocks: block r of its records goes to every pair of blocks that has r
@@ -145,7 +189,7 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
         rest = often <= HOT
         src = hot[times]
         new_side = np.where(low == high, 0, np.where(row[times] == low, 1, 2)).astype(np.uint8)
-        token = np.concatenate((token[rest], (pair >> np.uint64(20)).astype(np.uint32)))
+        token = np.concatenate((token[rest], (pair >> np.uint64(32)).astype(np.uint32)))
         side = np.concatenate((side[rest], new_side))
         rec, place = np.concatenate((rec[rest], rec[src])), np.concatenate((place[rest], place[src]))
     bucket = (flat.mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -162,7 +206,7 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
         at_home = home[used] == b
         own = [(k, c) for k in np.flatnonzero(at_home) for c in copies.get(int(used[k]), ())]
         yield b, pack(
-            ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=maps[used], home=at_home.astype(np.uint8),
+            ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=np.concatenate([maps[start[k] // 64 : start[k + 1] // 64] for k in used]), home=at_home.astype(np.uint8),
             token=np.diff(token[lo:hi].astype(np.int64), prepend=0).astype(np.uint32), rec=local.astype(np.uint16), place=place[lo:hi].astype(np.uint32), side=side[lo:hi],
             copy_of=np.array([k for k, _ in own], dtype=np.uint16), copy=np.array([c for _, c in own], dtype=np.int64),
         )
@@ -177,7 +221,7 @@ def _meet(blobs: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(p[0]) for p in parts])
     shift = np.concatenate(([0], np.cumsum(counts)))[:-1]
     ids, keys, size, home = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 4))
-    maps = np.concatenate([p[3] for p in parts]).reshape(-1, MAP_WORDS)
+    maps = Maps(np.concatenate([p[3] for p in parts]), size.astype(np.int64))
     token = np.concatenate([np.cumsum(p[5].astype(np.uint64)).astype(np.uint64) for p in parts])
     rec = np.concatenate([p[6].astype(np.int64) + s for p, s in zip(parts, shift)])
     place = np.concatenate([p[7] for p in parts]).astype(np.int64)
@@ -219,12 +263,11 @@ def _meet(blobs: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
                 i = np.repeat(at[begin:end], m)
                 j = np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], m) + i + 1
             si, sj = s[i], s[j]
-            least = np.ceil(t / (1 + t) * (si + sj) - 1e-9)
+            least = np.ceil(t / (1 + t) * (si + sj) - 1e-9) - 1
             ok = np.minimum(si - place[i], sj - place[j]) >= least
             ok &= (side[i] == 0) | (side[i] != side[j])
             i, j, least = rec[i[ok]], rec[j[ok]], least[ok]
-            apart = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
-            ok = (size[i] + size[j] - apart) >= 2 * least
+            ok = (size[i] + size[j] - maps.apart(i, j)) >= 2 * least
             found.append(np.unique(np.stack((keys[i[ok]], keys[j[ok]]), axis=1), axis=0))
         begin = end
     pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
@@ -237,10 +280,10 @@ def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n:
     base = spread(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1) & F.col("key").isNotNull()))
     counts = sketch(base.select("text"), n)
     if buckets is None:
-        # about three million prefix entries a bucket; at least two buckets a core
+        # about four million prefix entries a bucket; at least a bucket a core
         entries = 0.31 * float(counts.sum(dtype=np.float64))
         cores = df.sparkSession.sparkContext.defaultParallelism
-        buckets = int(min(32_000, max(2 * cores, math.ceil(entries / 3e6))))
+        buckets = int(min(32_000, max(cores, math.ceil(entries / 4e6))))
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
