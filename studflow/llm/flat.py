@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import zstandard
 
 U = np.uint64
 #: Odd multipliers of the polynomial hashes (64-bit golden ratio and two more splitmix constants).
@@ -91,3 +92,20 @@ def distinct_in_text(h: np.ndarray, bounds: np.ndarray, bits: int = 44) -> tuple
     both = np.sort((text << U(bits)) | (h >> U(64 - bits)))
     both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     return both & U((1 << bits) - 1), np.searchsorted(both >> U(bits), np.arange(len(bounds), dtype=U))
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    out = []
+    for a in arrays.values():
+        b = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+        out.append(len(b).to_bytes(4, "little") + b)
+    return b"".join(out)
+
+
+def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
+    out, at = [], 0
+    for d in dtypes:
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + n]), dtype=d))
+        at += 4 + n
+    return out

@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import checkpointed, spread
 from . import flat
+from .flat import pack, unpack
 
 SKETCH_BITS = 20
 #: Parity maps have 128 bits, or 2, 4, 8 ... times as many.
@@ -46,23 +46,6 @@ def runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, bounds, np.diff(of_text)
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    out = []
-    for a in arrays.values():
-        b = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-        out.append(len(b).to_bytes(4, "little") + b)
-    return b"".join(out)
-
-
-def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
-    out, at = [], 0
-    for d in dtypes:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 4 : at + 4 + n]), dtype=d))
-        at += 4 + n
-    return out
-
-
 def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """How often runs occur, by the first bits of their hash: a table of 2^bits counts, whatever the input's size."""
     chunk = 1 << 14
@@ -306,7 +289,7 @@ def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n:
 
     posted = base.mapInArrow(post, "bucket int, blob binary")
     # the buckets are the partitions
-    placed = posted.repartition(buckets, F.col("bucket"))
+    placed = posted.repartitionById(buckets, F.col("bucket"))
     return placed.mapInArrow(meet, "kind int, a bigint, b bigint")
 
 

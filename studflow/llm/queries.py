@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import near_duplicates
+from . import near_duplicates, shared_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Each table with long texts, its key and its text.
@@ -31,8 +31,23 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return both(spark, d, near_duplicates.groups).select("tbl", "key", "class_id", "n_links")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with 300 characters in a row that another record of the table has too."""
+    return both(spark, d, shared_spans.sharing_records).select("tbl", "record_key")
+
+
+def p5_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record is found elsewhere in its table."""
+    return both(spark, d, shared_spans.shared_amounts).select("tbl", "record_key", "n_stretches", "n_shared", "share")
+
+
+def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The shared stretches of each record."""
+    return both(spark, d, shared_spans.shared_stretches).select("tbl", "record_key", "start", "end")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_groups)}
+    return {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_shared, p5_stretches)}
 
 
 def oracle_sql() -> dict[str, str]:
