@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import records
+from ..tables import load
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that can't be read, with the reason."""
+    return records.bad_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
+
+
+def p6_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The good records in typed columns."""
+    return records.good_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in (p6_found, p6_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
