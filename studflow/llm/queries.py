@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import near_duplicates, shared_spans
+from . import grouped_splits, near_duplicates, shared_spans, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Each table with long texts, its key and its text.
@@ -21,6 +21,16 @@ def both(spark: SparkSession, d: str, f: Callable[[DataFrame, str, str], DataFra
     return out[0].unionByName(out[1])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of more than 3,000 characters, which must be cut."""
+    return splitting.oversized(load(spark, d, "paths"), "path_id", "path").withColumnRenamed("key", "path_id")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All paths in pieces of at most 3,000 characters."""
+    return splitting.split_items(load(spark, d, "paths"), "path_id", "path").withColumnRenamed("key", "path_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records alike: five-word runs, at least 60 words each, similarity 0.7 or more."""
     return both(spark, d, near_duplicates.similar_pairs).select("tbl", "key_a", "key_b")
@@ -31,6 +41,16 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return both(spark, d, near_duplicates.groups).select("tbl", "key", "class_id", "n_links")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different source strings that denote one model."""
+    return grouped_splits.same_model(load(spark, d, "paths"), "source")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The split of each path; all walks of a model in one."""
+    return grouped_splits.splits(load(spark, d, "paths"), "path_id", "source", "complete_npz").withColumnRenamed("key", "path_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Records with 300 characters in a row that another record of the table has too."""
     return both(spark, d, shared_spans.sharing_records).select("tbl", "record_key")
@@ -47,7 +67,7 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p5_found, p5_shared, p5_stretches)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches)}
 
 
 def oracle_sql() -> dict[str, str]:
