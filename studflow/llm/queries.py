@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import grouped_splits, near_duplicates, shared_spans, splitting
+from . import grouped_splits, leakage, near_duplicates, packing, shared_spans, splitting, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Each table with long texts, its key and its text.
@@ -21,6 +21,25 @@ def both(spark: SparkSession, d: str, f: Callable[[DataFrame, str, str], DataFra
     return out[0].unionByName(out[1])
 
 
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged(load(spark, d, "scored"), load(spark, d, "parts"), load(spark, d, "colors"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of scored whose text is cut."""
+    return _truncated(spark, d).where("cut").select("row_id").distinct()
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    """For each source the share of its rows that are cut."""
+    return truncation.shares(_truncated(spark, d))
+
+
+def p1_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The length limits of each source, with the fitted lengths and the censoring posterior."""
+    return truncation.limits(truncation.features(load(spark, d, "scored"), load(spark, d, "parts"), load(spark, d, "colors")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Paths of more than 3,000 characters, which must be cut."""
     return splitting.oversized(load(spark, d, "paths"), "path_id", "path").withColumnRenamed("key", "path_id")
@@ -66,8 +85,33 @@ def p5_stretches(spark: SparkSession, d: str) -> DataFrame:
     return both(spark, d, shared_spans.shared_stretches).select("tbl", "record_key", "start", "end")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of more than 6,400 tokens."""
+    return packing.oversized(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Each document, or piece of one, with its sequence and its place there."""
+    return packing.packed(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items and documents that share at least 13 words in a row."""
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with a leaked passage: how many items, and the longest passage in words."""
+    return leakage.by_document(leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item: in how many documents, and the longest passage in words."""
+    return leakage.by_item(leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p1_limits, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches, p7_found, p7_packed, p8_found, p8_documents, p8_items)}
 
 
 def oracle_sql() -> dict[str, str]:

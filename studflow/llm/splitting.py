@@ -8,6 +8,7 @@ without a loop over pieces or items.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,39 @@ from . import flat
 LIMIT, LEAST, MOST = 3000, 100, 300
 
 
-def boundaries(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: What ends a line besides line feed and carriage return: vertical tab, form feed, next line, line and paragraph
+#: separator, and the semicolon, which paths written on one line use.
+OTHER_ENDS = flat.table("\x0b\x0c\x85\u2028\u2029;")
+#: Where an action ends in a path without any line end: behind an edge's last number.
+BARE_END = re.compile(r"(?<=[0-9]) +(?=[a-z]+ [A-Z])")
+
+
+def boundaries(cp: np.ndarray, starts: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(places, ranks) of all boundaries: rank 2 ends an action, 1 a line, 0 is set in where lines are too long.
 
     Places are indexes into cp behind the boundary's last character; each text's end is a boundary of rank 2. An
     action ends with an edge line (one without a bar), or with a node line that is followed by another node line.
     """
     feed, ret = cp == 10, cp == 13
-    ends = feed.copy()
+    ends = feed | OTHER_ENDS[cp]
     ends[:-1] |= ret[:-1] & ~feed[1:]
+    # line ends written out as a backslash and a letter
+    slash = cp[:-1] == 92
+    written = slash & (cp[1:] == 110)
+    carriage = slash & (cp[1:] == 114)
+    carriage[:-2] &= ~written[2:]
+    ends[1:] |= written | carriage
+    bare = np.flatnonzero(np.add.reduceat(ends, starts[:-1]) == 1)  # only the separator behind it
+    for k in bare:
+        ends[[starts[k] + m.end() - 1 for m in BARE_END.finditer(texts[k])]] = True
     line_end = np.flatnonzero(ends) + 1  # the separator behind each text is a line feed, too
     line_start = np.concatenate(([0], line_end[:-1]))
     node = np.add.reduceat((cp == 124).astype(np.int32), line_start) > 0
     follows = np.append(node[1:], True)
-    place, rank = line_end, np.where(~node | follows, 2, 1)
+    rank = np.where(~node | follows, 2, 1)
+    of = np.searchsorted(starts, line_end, side="left") - 1
+    rank[np.isin(of, bare)] = 2
+    place = line_end
     # a text's end: its separator doesn't count
     last = np.searchsorted(starts[1:], place, side="left")
     is_end = place == starts[1:][np.minimum(last, len(starts) - 2)]
@@ -66,7 +86,7 @@ def _latest(places: np.ndarray, limit: np.ndarray) -> np.ndarray:
 def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of all pieces, in order."""
     cp, starts = flat.codepoints(texts)
-    place, rank = boundaries(cp, starts)
+    place, rank = boundaries(cp, starts, texts)
     stop = starts[1:] - 1
     by_rank = [place[rank >= r] for r in (2, 1)]
     text = np.searchsorted(starts, place, side="right") - 1
