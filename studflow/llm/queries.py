@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import grouped_splits, leakage, near_duplicates, packing, shared_spans, splitting, truncation
+from . import grouped_splits, leakage, near_duplicates, packing, personal, shared_spans, splitting, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Each table with long texts, its key and its text.
@@ -110,8 +110,18 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.by_item(leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The personal information in documents, each value once a document."""
+    return personal.found(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with placeholders."""
+    return personal.redact(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p1_limits, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches, p7_found, p7_packed, p8_found, p8_documents, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p1_limits, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches, p7_found, p7_packed, p8_found, p8_documents, p8_items, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:
