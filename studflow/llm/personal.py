@@ -51,6 +51,7 @@ _DOT = r"(?: ?[\[({<] ?(?:dot|punkt|punto|point) ?[\])}>] ?| DOT |\.)"
 _LOCAL, _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?", r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: An address in disguise: either the at or a dot isn't plain. Both written as lower-case words, or either otherwise.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+| at {_LABEL}(?: dot {_LABEL})+)")
+_MAYBE_AT = re.compile(r"@|[\[({<] ?(?:at|arroba|ät)| AT | dot ")
 
 
 class Plain:
@@ -62,8 +63,11 @@ class Plain:
         if not text.isascii() and _ODD.search(text):
             self.rewrite(_ODD, lambda m: PLAIN[ord(m[0])])
         self.rewrite(_BLANKS, lambda m: " ")
-        self.rewrite(_SPELLED, self._digits)
-        self.rewrite(_DISGUISED, self._undisguised)
+        # the rewritings that most texts don't need are tried only where their words occur
+        if sum(w in DIGITS for w in self.text.lower().replace("-", " ").split()) >= 4:
+            self.rewrite(_SPELLED, self._digits)
+        if _MAYBE_AT.search(self.text):
+            self.rewrite(_DISGUISED, self._undisguised)
 
     @staticmethod
     def _digits(m: re.Match) -> str:
@@ -114,6 +118,7 @@ _L, _R = r"(?<![\w.,/+-])", r"(?![\w]|[-/.,]\d)"
 ID = re.compile(_L + r"(?:\d{3}([- ])\d{2}\1\d{4}|\d{8}-[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2}\d{7})" + _R)
 #: After these words a number of another shape is one, too.
 ID_CUE = re.compile(r"(?i:\b(?:SSN(?: on file)?|social security (?:number|no\.)|(?:national|tax|passport|identity|insurance) (?:number|no\.|ID|card)(?: (?:number|no\.))?|passport|ID no\.|Steuer-?(?:ID|nummer)|Ausweis(?:nummer|-Nr\.)|Reisepass|Personalausweis|documento de identidad|DNI|NIF|NIE|pasaporte|pièce d'identité(?: n°)?|numéro fiscal|passeport(?: n°)?)[:,]? )(?P<v>[A-Z0-9](?:[ -]?[A-Z0-9]){5,15})(?![\w])")
+_FIVE_DIGITS = re.compile(r"\d(?:[ -]?\d){4}")
 PHONE = re.compile(
     r"(?<![\w.,/+-])(?:"
     r"\+\d{1,3}[ .-]?(?:\(0\) ?)?\d{1,4}(?:[ ./-]\d{2,5}){1,5}|\+\d{8,14}"  # international
@@ -201,7 +206,7 @@ def detect(text: str, towns: frozenset[str] | set[str] = frozenset()) -> list[tu
                 add(m.start(), end, "address")
         for m in ID.finditer(p):
             add(*m.span(), "id_number")
-        for m in ID_CUE.finditer(p):
+        for m in ID_CUE.finditer(p) if _FIVE_DIGITS.search(p) else ():
             if sum(c.isdigit() for c in m["v"]) >= 5:
                 add(*m.span("v"), "id_number")
         for m in PHONE.finditer(p):
@@ -241,8 +246,8 @@ def towns(docs: DataFrame, text: str) -> frozenset[str]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"town": pa.array([x for t in b.column(0).to_pylist() for x in towns_seen(t)], pa.string())})
 
-    # all addresses but some English ones have five digits in a row, those a number before a capital letter
-    some = docs.where(F.col(text).rlike(r"[0-9]{1,5}[^0-9]{1,80}")).select(text)
+    # an address has five digits and a town, or a number and a street in English; others needn't be looked at
+    some = docs.where(F.col(text).rlike(r"[0-9]{5}\s+\p{Lu}|(?:Street|St|Road|Rd|Lane|Ln|Row|Avenue|Ave|Drive|Dr|Court|Ct|Close|Way|Square|Terrace|Place|Boulevard|Blvd)\b")).select(text)
     counts = spread(some).mapInArrow(run, "town string").groupBy("town").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     got = frozenset(r["town"] for r in counts.limit(HELD_TOWNS + 1).toLocalIterator())
     if len(got) > HELD_TOWNS:
