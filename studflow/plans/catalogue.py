@@ -1,30 +1,440 @@
-"""All queries of the core."""
+"""All queries of the core, on the project's tables, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import records
+from ..functions import affine
+from ..functions import scalar as S
+from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, records, spatial, walks
 from ..tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, d, "parts"), load(spark, d, "colors"), load(spark, d, "connectors")
+
+
+def _rounded(c: Column, n: int = 6) -> Column:
+    """Rounded, without negative zeros."""
+    return F.round(c, n) + F.lit(0.0)
+
+
+# --- problem 6 -------------------------------------------------------------------------------------------------
+
+
+@query()
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that can't be read, with the reason."""
     return records.bad_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
 
 
+@query()
 def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     """The good records in typed columns."""
     return records.good_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
 
 
+# --- path text -------------------------------------------------------------------------------------------------
+
+
+def _letters(s: str) -> str:
+    return f"(CASE WHEN regexp_full_match({s}, '[a-z]{{1,13}}') THEN CAST(list_sum(list_transform(generate_series(1, length({s})), lambda i: (ascii(substr({s}, CAST(i AS INT), 1)) - 96) * power(26, length({s}) - i))) - 1 AS BIGINT) END)"
+
+
+def _score_sql(table: str, key: str, text: str) -> str:
+    deg = lambda t: f"regexp_full_match({t}, '0|[1-9][0-9]?|[12][0-9][0-9]|3[0-5][0-9]')"
+    mates = lambda pairs: "least(ps, cs) || '+' || greatest(ps, cs) IN (" + ", ".join(f"'{a}+{b}'" for a, b in pairs) + ")"
+    return f"""
+WITH t AS (SELECT {key}, CASE WHEN {text} LIKE '%' || chr(10) THEN {text} ELSE {text} || chr(10) END AS tx FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL),
+l AS (SELECT {key}, CAST((length(tx) - length(replace(tx, chr(10), '')) + 2) // 2 AS INT) AS n_actions, list_slice(string_split(tx, chr(10)), 1, len(string_split(tx, chr(10))) - 1) AS ls FROM t),
+x AS (SELECT *, len(ls) AS n, unnest(generate_series(0, len(ls) - 1)) AS k FROM l),
+f AS (SELECT {key}, n_actions, n, k, (k + 1) // 2 AS pair, k = 0 OR k % 2 = 1 AS is_node, ls[k + 1] AS line, ls, string_split(ls[k + 1], ' ') AS w FROM x WHERE k = 0 OR n % 2 = 1 OR k < n - 1),
+g AS (SELECT *, strpos(line, ' | ') AS bar, split_part(line, ' | ', 1) AS lft, w[2] AS fam, {_letters('w[1]')} AS par,
+  CASE WHEN w[2] IN ('stud', 'axle') THEN w[3] WHEN w[2] IN ('hinge', 'ball', 'fixed') THEN CAST({_letters('w[3]')} AS VARCHAR) END AS ps,
+  CASE WHEN w[2] IN ('stud', 'axle') THEN w[5] WHEN w[2] IN ('hinge', 'ball', 'fixed') THEN CAST({_letters('w[3]')} AS VARCHAR) END AS cs,
+  CASE WHEN w[2] IN ('hinge', 'ball', 'fixed') AND w[4] IN ('in', 'on') THEN w[4] END AS pp,
+  CASE WHEN w[2] IN ('stud', 'axle') THEN {_letters('w[4]')} ELSE {_letters('w[5]')} END AS pc, {_letters('w[6]')} AS cc FROM f),
+h AS (SELECT *, CASE WHEN strpos(lft, ' ') > 0 THEN substr(lft, strpos(lft, ' ') + 1) ELSE '' END AS nm,
+  CASE WHEN par < pair THEN (CASE WHEN par = 0 THEN ls[1] ELSE ls[2 * par] END) END AS pline, CASE WHEN NOT is_node THEN ls[k] END AS cline FROM g),
+c AS (SELECT name, sub, coalesce(pol, '') AS pol, count(*) AS cn FROM connectors JOIN parts USING (part_id) GROUP BY ALL),
+nm2 AS (SELECT *, substr(split_part(pline, ' | ', 1), strpos(split_part(pline, ' | ', 1), ' ') + 1) AS pname, substr(split_part(cline, ' | ', 1), strpos(split_part(cline, ' | ', 1), ' ') + 1) AS cname FROM h),
+j AS (SELECT h.*, p.name IS NOT NULL AS has_part, q.name IS NOT NULL AS has_color, a.cn AS pn, b.cn AS cn2 FROM nm2 h
+  LEFT JOIN (SELECT DISTINCT name FROM parts) p ON h.nm = p.name LEFT JOIN (SELECT DISTINCT name FROM colors) q ON substr(h.line, h.bar + 3) = q.name
+  LEFT JOIN c a ON h.pname = a.name AND h.ps = a.sub AND coalesce(h.pp, '') = a.pol
+  LEFT JOIN c b ON h.cname = b.name AND h.cs = b.sub AND (CASE h.pp WHEN 'in' THEN 'on' WHEN 'on' THEN 'in' ELSE '' END) = b.pol),
+o AS (SELECT {key}, n_actions, n, pair, coalesce(CASE WHEN is_node THEN bar > 0 AND regexp_full_match(split_part(lft, ' ', 1), '[a-z]+') AND strpos(lft, ' ') > 0 AND has_part AND has_color
+  ELSE par < pair AND pc < pn AND cc < cn2 AND CASE fam
+    WHEN 'stud' THEN len(w) = 7 AND {mates(S.STUD_MATES)} AND {deg('w[7]')}
+    WHEN 'axle' THEN len(w) = 9 AND {mates(S.AXLE_MATES)} AND w[7] IN ('flip', 'regular') AND {deg('w[8]')} AND regexp_full_match(w[9], '0|-?[1-9][0-9]{{0,17}}')
+    WHEN 'hinge' THEN len(w) = 8 AND pp IS NOT NULL AND w[7] IN ('flip', 'regular') AND {deg('w[8]')}
+    WHEN 'ball' THEN len(w) = 9 AND pp IS NOT NULL AND {deg('w[7]')} AND {deg('w[8]')} AND {deg('w[9]')}
+    WHEN 'fixed' THEN len(w) = 6 AND pp IS NOT NULL ELSE FALSE END END, FALSE) AS ok FROM j)
+SELECT {key}, any_value(n_actions) AS n_actions, CAST(least(min(CASE WHEN NOT ok THEN pair END), CASE WHEN any_value(n) % 2 = 0 THEN any_value(n) // 2 END) AS INT) AS invalid FROM o GROUP BY {key}"""
+
+
+@query(_score_sql("scored", "row_id", "text"))
+def score_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Actions and first wrong action of each generated text."""
+    return grammar.scores(load(spark, d, "scored"), "row_id", "text", *_catalogue(spark, d)).withColumnRenamed("key", "row_id")
+
+
+@query(_score_sql("paths", "path_id", "path"))
+def path_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same of each sampled path."""
+    return grammar.scores(load(spark, d, "paths"), "path_id", "path", *_catalogue(spark, d)).withColumnRenamed("key", "path_id")
+
+
+def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return grammar.trees(load(spark, d, "paths"), "path_id", "path", *_catalogue(spark, d))
+
+
+@query()
+def path_rewritten(spark: SparkSession, d: str) -> DataFrame:
+    """Each path parsed and written again, with canonical labels and colour names."""
+    return grammar.serialized(*_trees(spark, d), *_catalogue(spark, d)[:2]).withColumnRenamed("key", "path_id")
+
+
+_FIRST_BAD = "list_min(list_concat([CASE WHEN invalid IS NULL THEN n_actions ELSE invalid END], collisions))"
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (invalid IS NULL) AS parsable, CASE WHEN bool_and(collisions IS NOT NULL) THEN count(*) FILTER (invalid IS NULL AND len(collisions) = 0) END AS clean, CASE WHEN bool_and(collisions IS NOT NULL) THEN round(avg({_FIRST_BAD}), 6) END AS mean_first_failure FROM scored")
+def score_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Summary of stored scores; null where some row has no collisions."""
+    return grammar.summary(load(spark, d, "scored")).withColumn("mean_first_failure", F.round("mean_first_failure", 6))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (invalid IS NULL) AS parsable, count(*) FILTER (invalid IS NULL AND len(collisions) = 0) AS clean, round(avg({_FIRST_BAD}), 6) AS mean_first_failure FROM scored WHERE collisions IS NOT NULL")
+def score_summary_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the rows whose collisions were checked."""
+    return grammar.summary(load(spark, d, "scored").where("collisions is not null")).withColumn("mean_first_failure", F.round("mean_first_failure", 6))
+
+
+# --- scalar functions ------------------------------------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT p_partkey, p_partkey AS k FROM part) SELECT p_partkey, CASE WHEN k < 26 THEN chr(CAST(97 + k AS INT)) WHEN k < 702 THEN chr(CAST(97 + (k - 26) // 26 AS INT)) || chr(CAST(97 + (k - 26) % 26 AS INT)) WHEN k < 18278 THEN chr(CAST(97 + (k - 702) // 676 AS INT)) || chr(CAST(97 + (k - 702) // 26 % 26 AS INT)) || chr(CAST(97 + (k - 702) % 26 AS INT)) ELSE chr(CAST(97 + (k - 18278) // 17576 AS INT)) || chr(CAST(97 + (k - 18278) // 676 % 26 AS INT)) || chr(CAST(97 + (k - 18278) // 26 % 26 AS INT)) || chr(CAST(97 + (k - 18278) % 26 AS INT)) END AS letters, k AS number FROM n")
+def letter_ids(spark: SparkSession, d: str) -> DataFrame:
+    x = load(spark, d, "part").select("p_partkey", S.i2id(F.col("p_partkey")).alias("letters"))
+    return x.withColumn("number", S.id2i(F.col("letters")))
+
+
+@query("WITH w AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM scored WHERE text IS NOT NULL) SELECT word, count(*) AS n, CASE WHEN regexp_full_match(word, '0|-?[1-9][0-9]{0,17}') THEN CAST(word AS BIGINT) END AS number, CASE WHEN regexp_full_match(word, '0|[1-9][0-9]?|[12][0-9][0-9]|3[0-5][0-9]') THEN CAST(word AS INT) END AS degrees FROM w GROUP BY word")
+def whole_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all texts, with what they are as canonical integers and as degrees."""
+    w = load(spark, d, "scored").where("text is not null").select(F.explode(F.split(F.regexp_replace("text", "\n", " "), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return w.select("word", "n", S.canonical_int(F.col("word")).alias("number"), S.degree(F.col("word")).alias("degrees"))
+
+
+@query("SELECT vec_id, CAST(((CAST(round_even(degrees(CAST(embedding[1] AS DOUBLE) * 20), 0) AS BIGINT) % 360) + 360) % 360 AS INT) AS degrees, CAST(round_even(CAST(embedding[2] AS DOUBLE) * 100, 0) AS BIGINT) AS slide FROM embeddings")
+def quantized(spark: SparkSession, d: str) -> DataFrame:
+    e = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    return load(spark, d, "embeddings").select("vec_id", S.quantized_degrees(e(0) * 20).alias("degrees"), S.quantized_slide(e(1) * 100).alias("slide"))
+
+
+@query("SELECT DISTINCT sub, CASE sub WHEN 'stud' THEN 0 WHEN 'open' THEN 1 WHEN 'hole' THEN 2 WHEN 'tube' THEN 3 WHEN 'post' THEN 4 WHEN 'bar' THEN 5 WHEN 'clip' THEN 6 WHEN 'axle' THEN 7 WHEN 'cross' THEN 8 WHEN 'pin' THEN 9 WHEN 'socket' THEN 10 ELSE 100 + TRY_CAST(sub AS INT) END AS code FROM connectors")
+def subtype_codes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "connectors").select("sub").distinct().select("sub", S.sub_code(F.col("sub")).alias("code"))
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, chr(10), '')) + (CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END) + 2) // 2 AS INT) AS n_actions, CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) || chr(10) ELSE text END AS head, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'a '))) AS root_lines FROM documents")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Actions, the first three lines, and the lines that begin like a root node."""
+    t = F.col("text")
+    return load(spark, d, "documents").select("doc_id", S.n_actions(t).alias("n_actions"), S.first_lines(t, 3).alias("head"), F.size(F.filter(F.split(t, "\n"), lambda x: F.startswith(x, F.lit("a ")))).cast("bigint").alias("root_lines"))
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 9) AS sigmoid, round(exp(CAST(embedding[label + 1] AS DOUBLE)) / list_sum(list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE)))), 9) AS softmax FROM embeddings")
+def score_functions(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "embeddings").select("vec_id", F.round(S.sigmoid(F.get("embedding", F.lit(0)).cast("double")), 9).alias("sigmoid"), F.round(S.softmax_pick(F.col("embedding"), F.col("label")), 9).alias("softmax"))
+
+
+@query("WITH m AS (SELECT max(len(collisions)) AS m FROM scored) SELECT row_id, array_to_string(list_concat(list_resize(CAST([] AS INT[]), m - len(collisions), -1), collisions), ',') AS padded FROM scored, m WHERE collisions IS NOT NULL")
+def padded_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Collision lists padded on the left to the longest."""
+    x = load(spark, d, "scored").where("collisions is not null").select("row_id", "collisions")
+    most = x.agg(F.max(F.size("collisions")).alias("most"))
+    return x.join(F.broadcast(most)).select("row_id", F.array_join(S.left_padded(F.col("collisions"), F.col("most"), F.lit(-1)), ",").alias("padded"))
+
+
+# --- catalogue -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT code, arg_max(name, ord) AS name FROM colors GROUP BY code")
+def color_names(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.color_names(load(spark, d, "colors"))
+
+
+@query("SELECT part_id, sub, pol, count(*) AS n FROM connectors GROUP BY ALL")
+def connector_counts(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.connector_counts(load(spark, d, "connectors"))
+
+
+@query("SELECT part_id, kind, sub, pol, \"row\", CAST(row_number() OVER (PARTITION BY part_id ORDER BY kind, sub, pol NULLS FIRST, \"row\") - 1 AS INT) AS conn_idx, CAST(row_number() OVER (PARTITION BY part_id, sub, pol ORDER BY kind, \"row\") - 1 AS INT) AS subgroup_idx FROM (SELECT part_id, kind, sub, pol, conn_idx AS \"row\" FROM connectors)")
+def connector_order(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical order worked out again from the rows."""
+    return catalog.ordered(load(spark, d, "connectors").select("part_id", "kind", "sub", "pol", F.col("conn_idx").alias("row")))
+
+
+@query("WITH s AS (SELECT src AS stem FROM aliases UNION SELECT stem FROM parts UNION SELECT 'x' || stem FROM parts) SELECT s.stem, coalesce(a.dst, s.stem) AS dst, p.part_id FROM s LEFT JOIN aliases a ON s.stem = a.src LEFT JOIN parts p ON coalesce(a.dst, s.stem) = p.stem")
+def stem_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Stems by alias and vocabulary, unknown ones included."""
+    parts, aliases = load(spark, d, "parts"), load(spark, d, "aliases")
+    stems = aliases.select(F.col("src").alias("stem")).unionByName(parts.select("stem")).unionByName(parts.select(F.concat(F.lit("x"), "stem").alias("stem"))).distinct()
+    return catalog.resolved_stems(stems, aliases, parts).select("stem", "dst", "part_id")
+
+
+def _m(a: str, i: int, j: int) -> str:
+    return f"{a}[{4 * i + j + 1}]"
+
+
+def _product_sql(a: str, b: str, i: int, j: int) -> str:
+    return " + ".join(f"{_m(a, i, k)} * {_m(b, k, j)}" for k in range(4))
+
+
+@query("SELECT src, conn_idx, " + ", ".join(f"round({_product_sql('wrap', 'frame', i, 3)}, 6) + 0.0 AS {'xyz'[i]}, round({_product_sql('wrap', 'frame', i, 1)}, 6) + 0.0 AS u{'xyz'[i]}" for i in range(3)) + " FROM aliases JOIN parts ON dst = stem JOIN connectors USING (part_id)")
+def alias_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The connectors of aliased parts in their alias' frame."""
+    x = load(spark, d, "aliases").join(load(spark, d, "parts"), F.col("dst") == F.col("stem")).join(load(spark, d, "connectors"), "part_id")
+    x = x.select("src", "conn_idx", affine.product(F.col("wrap"), F.col("frame")).alias("m"))
+    return x.select("src", "conn_idx", *[_rounded(F.get("m", F.lit(4 * i + j))).alias(p + "xyz"[i]) for i in range(3) for j, p in ((3, ""), (1, "u"))])
+
+
+@query("SELECT part_id, conn_idx, " + ", ".join(f"round(-({' + '.join(f'{_m('frame', k, i)} * {_m('frame', k, 3)}' for k in range(3))}), 6) + 0.0 AS {'xyz'[i]}, round(-{_m('frame', i, 1)} / sqrt({' + '.join(f'{_m('frame', k, 1)} * {_m('frame', k, 1)}' for k in range(3))}), 6) + 0.0 AS a{'xyz'[i]}" for i in range(3)) + " FROM connectors")
+def connector_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Each connector's mating axis, and where the part's origin lies in its frame (frames are orthonormal)."""
+    x = load(spark, d, "connectors").select("part_id", "conn_idx", affine.inverse(F.col("frame")).alias("inv"), affine.axis(F.col("frame")).alias("ax"))
+    return x.select("part_id", "conn_idx", *[_rounded(F.get(c, F.lit(k))).alias(n) for i in range(3) for c, k, n in (("inv", 4 * i + 3, "xyz"[i]), ("ax", i, "a" + "xyz"[i]))])
+
+
+# --- spatial joins and graphs ----------------------------------------------------------------------------------
+
+_POINTS = "p AS (SELECT vec_id AS v, CAST(embedding[1] AS DOUBLE) * 40 AS x, CAST(embedding[2] AS DOUBLE) * 40 AS y, CAST(embedding[3] AS DOUBLE) * 40 AS z FROM embeddings)"
+_NEAR = f"{_POINTS}, e AS (SELECT s.v AS a, t.v AS b, sqrt(pow(s.x - t.x, 2) + pow(s.y - t.y, 2) + pow(s.z - t.z, 2)) AS distance FROM p s JOIN p t ON s.v < t.v AND pow(s.x - t.x, 2) + pow(s.y - t.y, 2) + pow(s.z - t.z, 2) <= 9)"
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    p = F.array(*[F.get("embedding", F.lit(k)).cast("double") * 40 for k in range(3)])
+    return load(spark, d, "embeddings").select(F.lit(0).alias("graph_id"), "vec_id", p.alias("p"))
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.radius_pairs(_points(spark, d), ["graph_id"], "vec_id", 3.0)
+
+
+@query(f"WITH {_NEAR} SELECT a, b, round(distance, 6) AS distance FROM e")
+def radius_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {_POINTS} SELECT s.v AS a, t.v AS b FROM p s JOIN p t ON s.v < t.v AND abs(s.x - t.x) <= 4 AND abs(s.y - t.y) <= 4 AND abs(s.z - t.z) <= 4")
+def box_pairs(spark: SparkSession, d: str) -> DataFrame:
+    moved = lambda k: F.transform("p", lambda v: v + k)
+    boxes = _points(spark, d).select("graph_id", "vec_id", moved(-2.0).alias("lo"), moved(2.0).alias("hi"))
+    return spatial.overlapping_boxes(boxes, ["graph_id"], "vec_id", 8.0).select("a", "b")
+
+
+@query(f"WITH RECURSIVE {_NEAR}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT v AS node, v AS low FROM p UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node) SELECT node, min(low) AS component FROM r GROUP BY node")
+def point_components(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components, points on their own included."""
+    own = _points(spark, d).select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"))
+    return components.connected_components(_near(spark, d).select("a", "b").unionByName(own), "a", "b")
+
+
+@query(f"WITH {_NEAR}, s AS (SELECT a AS node, b AS neighbour, TRUE AS forward FROM e UNION ALL SELECT b, a, FALSE FROM e) SELECT node, neighbour, forward, CAST(row_number() OVER (PARTITION BY node ORDER BY neighbour) - 1 AS INT) AS at FROM s")
+def point_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    e = _near(spark, d).select("graph_id", F.lit("stud").alias("family"), F.col("a").cast("int"), F.lit(0).alias("a_conn"), F.col("b").cast("int"), F.lit(0).alias("b_conn"))
+    return assembly.adjacency(e).select(F.col("node").cast("bigint"), F.col("neighbour").cast("bigint"), "forward", "at")
+
+
+@query(f"WITH RECURSIVE {_NEAR}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT v AS node, v AS low FROM p UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(low) AS low FROM r GROUP BY node), d AS (SELECT DISTINCT low AS node, low, 0 AS depth FROM c UNION SELECT s.b, d.low, d.depth + 1 FROM d JOIN s ON s.a = d.node WHERE d.depth < 60) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM d GROUP BY node")
+def point_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Steps from the lowest node of each component along the breadth-first walk."""
+    e = _near(spark, d).select("graph_id", F.lit("stud").alias("family"), F.col("a").cast("int").alias("a"), F.lit(0).alias("a_conn"), F.col("b").cast("int").alias("b"), F.lit(0).alias("b_conn"), F.lit(0.0).alias("yaw"), F.lit(False).alias("flip"), F.array(*[F.lit(0.0)] * 3).alias("rot"))
+    nodes = _points(spark, d).select("graph_id", F.col("vec_id").cast("int").alias("node"))
+    c = assembly.graph_components(nodes, e)
+    w = walks.walked(e, c, c.select("graph_id", "component_index").distinct().withColumn("seed", F.lit(None).cast("bigint")), "bfs")
+    per = w.groupBy("graph_id", "component_index").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "parent_pos"))).alias("v"))
+    depth = F.aggregate("v", F.array().cast("array<bigint>"), lambda acc, x: F.array_append(acc, F.when(x["parent_pos"].isNull(), F.lit(0).cast("bigint")).otherwise(F.get(acc, x["parent_pos"].cast("int")) + 1)))
+    return per.select(F.explode(F.arrays_zip(F.transform("v", lambda x: x["node"]).alias("node"), depth.alias("depth"))).alias("r")).select(F.col("r.node").cast("bigint").alias("node"), F.col("r.depth").alias("depth"))
+
+
+@query("WITH c AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) SELECT o_orderkey, n, CAST(sum(n) OVER (ORDER BY o_orderkey) - n AS BIGINT) AS lo, CAST(sum(n) OVER (ORDER BY o_orderkey) AS BIGINT) AS hi FROM c")
+def packed_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each order's lines lie when all lists are packed end to end."""
+    c = load(spark, d, "orders").select("o_orderkey").join(load(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n"))
+    return offsets.packed(c, "o_orderkey", "n").select("o_orderkey", "n", "lo", "hi")
+
+
+@query("WITH c AS (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), r AS (SELECT o_orderkey, CAST(sum(n) OVER (ORDER BY o_orderkey) - n AS BIGINT) AS lo, n FROM c) SELECT o_orderkey, CAST(g AS INT) AS at, lo + g AS entry FROM (SELECT *, unnest(generate_series(0, n - 1)) AS g FROM r WHERE n > 0)")
+def unpacked_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return offsets.unpacked(packed_offsets(spark, d), "o_orderkey")
+
+
+# --- captions and evaluation -----------------------------------------------------------------------------------
+
+_PROMPTS = "pr AS (SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS prompt_index, id, caption FROM captions WHERE caption IS NOT NULL), pk AS (SELECT prompt_index, coalesce(id, 'prompt_' || lpad(CAST(prompt_index AS VARCHAR), CAST(greatest(4, length(CAST(prompt_index AS VARCHAR))) AS INT), '0')) AS prompt_key, regexp_replace(caption, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS caption FROM pr)"
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.prompts(load(spark, d, "captions"))
+
+
+@query(f"WITH {_PROMPTS} SELECT * FROM pk")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _prompts(spark, d)
+
+
+@query("SELECT line_no, 'Is this LEGO set ' || lower(regexp_replace(trim(regexp_replace(caption, '[\\s\\p{Z}]+', ' ', 'g')), '[.!?]+$', '')) || '?' AS question FROM captions")
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "captions").select("line_no", S.question(F.col("caption")).alias("question"))
+
+
+@query(f"WITH {_PROMPTS} SELECT pk.*, CAST(s AS INT) AS sample FROM pk, generate_series(0, 2) g(s)")
+def worklist(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.worklist(_prompts(spark, d), 3)
+
+
+_VIEWS = f"{_PROMPTS}, m AS (SELECT DISTINCT source || '.tar' AS archive, id, sample, id || '/' || id || '_' || CAST(sample AS VARCHAR) || '.png' AS name FROM scored WHERE id IS NOT NULL AND source IS NOT NULL AND sample IS NOT NULL), k AS (SELECT prompt_key, max(prompt_index) AS prompt_index FROM pk GROUP BY 1), v AS (SELECT prompt_index, archive, array_to_string(list(name ORDER BY sample, name), ',') AS views FROM m JOIN k ON m.id = k.prompt_key GROUP BY 1, 2), w AS (SELECT prompt_index, max(archive) AS archive FROM v GROUP BY 1)"
+
+
+def _views(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "scored").where("id is not null and source is not null and sample is not null").select(F.concat("source", F.lit(".tar")).alias("archive"), F.concat("id", F.lit("/"), "id", F.lit("_"), F.col("sample").cast("string"), F.lit(".png")).alias("name")).distinct()
+    return evaluation.views(s, _prompts(spark, d))
+
+
+@query(f"WITH {_VIEWS} SELECT w.prompt_index, w.archive, v.views FROM w JOIN v USING (prompt_index, archive)")
+def render_views(spark: SparkSession, d: str) -> DataFrame:
+    """Render views by prompt, the archives' members named after runs, models and samples."""
+    return _views(spark, d).select("prompt_index", "archive", F.array_join("views", ",").alias("views"))
+
+
+@query(f"WITH {_VIEWS} SELECT * FROM pk WHERE prompt_index NOT IN (SELECT prompt_index FROM w)")
+def missing_views(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.missing(_prompts(spark, d), _views(spark, d))
+
+
+_COSINES = "c AS (SELECT e.label, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q)"
+
+
+def _cosines(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    first = e.agg(F.min_by("embedding", "vec_id").alias("q"))
+    return evaluation.pooled(e.join(F.broadcast(first)).select("label", S.cosine(F.col("embedding"), F.col("q")).alias("s")), ["label"], "s")
+
+
+@query(f"WITH {_COSINES} SELECT label, round(max(s), 9) AS max_score, round(avg(s), 9) AS mean_score FROM c GROUP BY label")
+def pooled_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Best and mean similarity of each label's vectors to the first vector."""
+    return _cosines(spark, d).select("label", F.round("max_score", 9).alias("max_score"), F.round("mean_score", 9).alias("mean_score"))
+
+
+@query(f"WITH {_COSINES}, m AS (SELECT label, max(s) AS b FROM c GROUP BY label) SELECT count(*) AS n_prompts, round(avg(b), 9) AS score FROM m")
+def pooled_metric(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.metric(_cosines(spark, d)).select("n_prompts", F.round("score", 9).alias("score"))
+
+
+# --- whole tables ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT path, min(path_id) AS path_id, count(*) AS n FROM paths WHERE path IS NOT NULL GROUP BY path")
+def distinct_paths(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "paths").where("path is not null").groupBy("path").agg(F.min("path_id").alias("path_id"), F.count("*").alias("n"))
+
+
+@query("SELECT source, component_index, count(*) AS n_rows, count(*) FILTER (complete_component) AS n_complete, bool_and(nodes <= component_nodes) AS within FROM paths WHERE component_nodes >= 2 GROUP BY ALL")
+def walked_components(spark: SparkSession, d: str) -> DataFrame:
+    """Of components of at least two parts, how many walks are complete."""
+    x = load(spark, d, "paths").where("component_nodes >= 2")
+    return x.groupBy("source", "component_index").agg(F.count("*").alias("n_rows"), F.count_if("complete_component").alias("n_complete"), F.bool_and(F.col("nodes") <= F.col("component_nodes")).alias("within"))
+
+
+@query("SELECT c.id, count(DISTINCT c.line_no) AS n_captions, count(DISTINCT p.path_id) AS n_paths FROM captions c JOIN paths p ON c.id = regexp_replace(p.source, '\\.npz$', '') GROUP BY c.id")
+def captioned_models(spark: SparkSession, d: str) -> DataFrame:
+    """Captions and paths by model, as their names are written; each side is counted before the join."""
+    c = load(spark, d, "captions").where("id is not null").groupBy("id").agg(F.countDistinct("line_no").alias("n_captions"))
+    p = load(spark, d, "paths").where("source is not null").groupBy(F.regexp_replace("source", r"\.npz\z", "").alias("id")).agg(F.countDistinct("path_id").alias("n_paths"))
+    return c.join(p, "id")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    x = load(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("j"))
+    return x.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("j.k").alias("total"))
+
+
+@query("SELECT CAST(path_id % 8 AS INT) AS stripe, count(*) AS n, min(path_id) AS low, max(path_id) AS high FROM paths GROUP BY 1")
+def stripes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "paths").groupBy(F.pmod("path_id", F.lit(8)).cast("int").alias("stripe")).agg(F.count("*").alias("n"), F.min("path_id").alias("low"), F.max("path_id").alias("high"))
+
+
+# --- geometry of paths -----------------------------------------------------------------------------------------
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return walks.poses(*_trees(spark, d), load(spark, d, "connectors"))
+
+
+@query()
+def path_poses(spark: SparkSession, d: str) -> DataFrame:
+    """Where each part of each path lies."""
+    return _placed(spark, d).select(F.col("key").alias("path_id"), "pos", "part_id", "color", *[_rounded(F.get("xf", F.lit(4 * i + 3)), 4).alias("xyz"[i]) for i in range(3)])
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = _placed(spark, d).select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf")
+    return nodes, assembly.graph_edges(nodes, load(spark, d, "connectors"))
+
+
+@query()
+def path_joints(spark: SparkSession, d: str) -> DataFrame:
+    """All joints between the placed parts of each path, found from their connectors, as whole-number parameters."""
+    _, e = _graph(spark, d)
+    q = assembly.tree_edge(F.col("family"), F.lit(True), F.col("yaw"), F.col("flip"), F.col("rot"))
+    return e.select(F.col("graph_id").alias("path_id"), "family", "a", "a_conn", "b", "b_conn", q["yaw"].alias("degrees"), q["flip"].alias("turned"), q["slide"].alias("slide"))
+
+
+def box_meshes(connectors: DataFrame, margin: float = 4.0) -> DataFrame:
+    """A box of triangles for each part, around its connectors: a stand-in where no meshes are at hand."""
+    at = lambda k: F.get("frame", F.lit(4 * k + 3))
+    x = connectors.groupBy("part_id").agg(*[f(at(k)).alias(f"{n}{k}") for k in range(3) for f, n in ((F.min, "l"), (F.max, "h"))])
+    lo, hi = F.array(*[F.col(f"l{k}") - margin for k in range(3)]), F.array(*[F.col(f"h{k}") + margin for k in range(3)])
+    corner = [F.array(*[F.get("local_hi" if c >> k & 1 else "local_lo", F.lit(k)) for k in range(3)]) for c in range(8)]
+    faces = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
+    x = x.select("part_id", lo.alias("local_lo"), hi.alias("local_hi"))
+    return x.select("part_id", F.array(*corner).alias("vertices"), F.array(*[F.array(*[F.lit(v) for v in f]) for f in faces]).alias("faces"), "local_lo", "local_hi")
+
+
+@query()
+def path_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Which placements of each path hit an earlier part, with boxes for meshes."""
+    nodes, edges = _trees(spark, d)
+    placed = walks.poses(nodes, edges, load(spark, d, "connectors"))
+    pairs = collision.colliding_pairs(placed, box_meshes(load(spark, d, "connectors")))
+    return collision.collisions(placed, pairs, edges.where("family = 'fixed'").select("key", "pos", "parent")).select(F.col("key").alias("path_id"), F.array_join(F.transform("collisions", lambda v: v.cast("string")), ",").alias("collisions"), "first")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_found, p6_rows)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
