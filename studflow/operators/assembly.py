@@ -89,7 +89,7 @@ def mated(placed: DataFrame, longest: float) -> DataFrame:
     sides = both.where(F.when(F.col("kind") == "hinge", F.abs(along) >= AXIS).when(F.col("kind") == "fixed", straight).otherwise(True)).withColumn("family", F.col("kind"))
     axle = x.where("kind = 'axle'").withColumn("r", F.greatest(F.coalesce("length", F.lit(0.0)), F.lit(AXLE_RADIUS)))
     reach = 2 * max(longest, AXLE_RADIUS) + REACH
-    held = near(axle.where(F.col("sub").isin(*HOLDING)), axle.where(~F.col("sub").isin(*HOLDING)), ["graph_id"], reach)
+    held = near(axle.where(F.col("sub").isin(*HOLDING)), axle.where(~F.col("sub").isin(*HOLDING)), ["graph_id"], reach, coarse=2.0)
     held = held.where(other & fits(AXLE_MATES) & (F.abs(along) >= AXLE_AXIS)).withColumn("proj", affine.dot(affine.minus(F.col("r_p"), F.col("p")), F.col("r_ax")))
     off2 = squared_distance(F.col("p"), F.col("r_p")) - F.col("proj") * F.col("proj")
     over = F.col("r") + F.col("r_r") - F.abs("proj")

@@ -10,16 +10,19 @@ def cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("bigint")
 
 
-def near(left: DataFrame, right: DataFrame, on: list[str], size: float, point: str = "p") -> DataFrame:
-    """All pairs of rows that agree in `on` and whose points (arrays of three) lie in the same or neighbouring cells,
-    so all pairs within `size` and some more; the caller filters. The columns of right get the prefix r_.
+def near(left: DataFrame, right: DataFrame, on: list[str], reach: float, coarse: float = 8.0, point: str = "p") -> DataFrame:
+    """All pairs of rows that agree in `on` and whose points (arrays of three) may lie within reach; the caller filters
+    by distance. The columns of right get the prefix r_; no pair comes twice.
 
-    Each row of left is sent to the 27 cells around its own; null points or keys pair with nothing.
+    A row of right lies in one cell of side coarse * reach; a row of left goes to the cells that its cube of reach
+    touches: about two on average with the default, where neighbouring cells would be 27. Null points or keys pair with
+    nothing.
     """
-    step = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    size = coarse * reach
     x = left.where(F.col(point).isNotNull())
     for k, c in enumerate("xyz"):
-        x = x.withColumn(f"__d{c}", F.explode(step)).withColumn(f"__{c}", cell(F.get(point, F.lit(k)), size) + F.col(f"__d{c}")).drop(f"__d{c}")
+        v = F.get(point, F.lit(k))
+        x = x.withColumn(f"__{c}", F.explode(F.sequence(cell(v - reach, size), cell(v + reach, size))))
     y = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(F.col(f"r_{point}").isNotNull())
     for k, c in enumerate("xyz"):
         y = y.withColumn(f"__r{c}", cell(F.get(f"r_{point}", F.lit(k)), size))
@@ -35,7 +38,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def radius_pairs(points: DataFrame, group: list[str], key: str, r: float, point: str = "p") -> DataFrame:
     """group, a < b, distance: pairs of one group within r (inclusive)."""
-    both = near(points.select(*group, key, point), points.select(*group, key, point), group, r, point)
+    both = near(points.select(*group, key, point), points.select(*group, key, point), group, r, point=point)
     d2 = squared_distance(F.col(point), F.col(f"r_{point}"))
     return both.where(F.col(key) < F.col(f"r_{key}")).where(d2 <= r * r).select(*group, F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), F.sqrt(d2).alias("distance"))
 
