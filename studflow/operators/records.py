@@ -61,6 +61,8 @@ def assemble(record: str, delim: str) -> tuple[str, dict[str, str]]:
 def fields(record: str, delim: str) -> list[str]:
     """The fields of a record; Fault('quoting') if its quotes are broken. An empty record is one empty field."""
     line, back = assemble(without_last_line_end(record), delim)
+    if len(line) > csv.field_size_limit():
+        csv.field_size_limit(len(line))  # no field is too long
     try:
         row = next(csv.reader([line], delimiter=delim, quotechar='"', doublequote=True, strict=True), [""]) or [""]
     except csv.Error as e:
@@ -139,12 +141,10 @@ def parsed_records(df: DataFrame, key: str, record: str, delim: str) -> DataFram
     A null record has no fields (columns); a null or unknown delimiter name is taken as a comma; rows with a null key
     are kept. Records are read whole, whatever their length. Each row is parsed on its own, repeated or not.
     """
-    csv_limit = 2**31 - 1
     rows = spread(df.select(F.col(key).alias("key"), F.col(record).alias("record"), F.col(delim).alias("delim")))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(csv_limit)
         for b in batches:
             got = list(zip(*(parse(r, d) for r, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist())))) or [()] * 6
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
