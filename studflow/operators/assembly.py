@@ -122,12 +122,52 @@ def graph_edges(nodes: DataFrame, connectors: DataFrame) -> DataFrame:
     return measured(mated(placed_connectors(nodes, connectors), longest))
 
 
+#: Graphs of up to so many nodes are taken apart by one task each.
+WHOLE_GRAPH = 200_000
+
+
+def _low_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, node, low: the lowest node of each node's component, a graph at a time."""
+    n = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    e = edges.groupBy("graph_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    x = n.join(e, "graph_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low_all, counts = [], []
+            for ns, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                low = {v: v for v in ns}
+
+                def find(v, low=low):
+                    while low[v] != v:
+                        low[v] = low[low[v]]
+                        v = low[v]
+                    return v
+
+                for u, v in zip(a or (), b or ()):
+                    u, v = find(u), find(v)
+                    low[max(u, v)] = min(u, v)
+                low_all += [(v, find(v)) for v in ns]
+                counts.append(len(ns))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([v for v, _ in low_all], pa.int32()), pa.array([v for _, v in low_all], pa.int32())], names=["graph_id", "node", "low"])
+
+    return x.mapInArrow(run, f"graph_id {x.schema['graph_id'].dataType.simpleString()}, node int, low int")
+
+
 def graph_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """graph_id, node, component_index, size: components by size, largest first, ties by their lowest node."""
-    key = lambda n: F.struct("graph_id", F.col(n).alias("node"))
-    own = nodes.select(key("node").alias("u"), key("node").alias("v"))
-    comp = connected_components(edges.select(key("a").alias("u"), key("b").alias("v")).unionByName(own), "u", "v")
-    comp = comp.select("node.graph_id", "node.node", F.col("component.node").alias("low"))
+    """graph_id, node, component_index, size: components by size, largest first, ties by their lowest node.
+
+    Graphs too large for one task are taken apart by rounds over all edges; the result is the same.
+    """
+    largest = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= WHOLE_GRAPH:
+        comp = _low_nodes(nodes, edges)
+    else:
+        key = lambda n: F.struct("graph_id", F.col(n).alias("node"))
+        own = nodes.select(key("node").alias("u"), key("node").alias("v"))
+        comp = connected_components(edges.select(key("a").alias("u"), key("b").alias("v")).unionByName(own), "u", "v")
+        comp = comp.select("node.graph_id", "node.node", F.col("component.node").alias("low"))
     size = comp.groupBy("graph_id", "low").agg(F.count("*").alias("size"))
     order = size.withColumn("component_index", (F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("size"), "low")) - 1).cast("int"))
     return comp.join(order, ["graph_id", "low"]).select("graph_id", "node", "component_index", "size")

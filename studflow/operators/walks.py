@@ -243,3 +243,97 @@ def decoded(edges: DataFrame, components: DataFrame, nodes: DataFrame, connector
         return pd.DataFrame({"graph_id": f["graph_id"], "node": f["node"], "xf": out.reshape(-1, 16).tolist()})
 
     return w.groupBy("graph_id", "component_index").applyInPandas(run, f"graph_id {kind}, node int, xf array<double>")
+
+
+def whole_number_steps(family: np.ndarray, forward: np.ndarray, yaw: np.ndarray, flip: np.ndarray, rot: np.ndarray, frame_a: np.ndarray, frame_b: np.ndarray) -> np.ndarray:
+    """The child's pose in its parent's frame for each walked edge, from its parameters rounded to whole degrees and
+    units, as the written tree has them; so a tree realises to just what was walked."""
+    ball, axle = family == "ball", family == "axle"
+    sign = np.where(forward | (np.isin(family, ("hinge", "axle")) & flip), 1.0, -1.0)
+    degrees = lambda x: np.radians(np.mod(np.rint(np.degrees(x)), 360))
+    angle = np.where(axle, rot[:, 0], yaw) * np.where(ball, 1.0, sign)
+    q_rot = degrees(rot)
+    q_rot[axle, 0] = degrees(angle[axle])
+    q_yaw = np.where(axle, np.rint(sign * yaw), degrees(angle))
+    fa, fb = frame_a.reshape(-1, 4, 4).copy(), frame_b.reshape(-1, 4, 4).copy()
+    turned = ~forward & ~ball  # the parent's connector comes first, except of balls, whose side with polarity in does
+    fa[turned], fb[turned] = fb[turned].copy(), fa[turned].copy()
+    m = relative(family, q_yaw, flip, q_rot, fa, fb)
+    back = ball & ~forward
+    m[back] = np.linalg.inv(m[back])
+    return m
+
+
+def sampled(edges: DataFrame, components: DataFrame, nodes: DataFrame, connectors: DataFrame, meshes: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+    """Collision-free random walks, in the columns of walked(): of each component for each of its seeds, up to `most`
+    parts. Meshes (part_id, vertices, faces, local_lo, local_hi) are held by each task."""
+    from .collision import meshes_cross, oriented, separated
+
+    held = edges.sparkSession.sparkContext.broadcast({r["part_id"]: tuple(np.array(r[c], dtype=float if c != "faces" else np.int64) for c in ("vertices", "faces", "local_lo", "local_hi")) for r in meshes.toLocalIterator()})
+    f = connectors.select("part_id", "conn_idx", "frame")
+    e = edges
+    for s in "ab":
+        side = nodes.select("graph_id", F.col("node").alias(s), F.col("part_id").alias(f"{s}_part"))
+        conn = f.select(F.col("part_id").alias(f"{s}_part"), F.col("conn_idx").alias(f"{s}_conn"), F.col("frame").alias(f"{s}_frame"))
+        e = e.join(side, ["graph_id", s]).join(conn, [f"{s}_part", f"{s}_conn"])
+    names = ["family", "a", "a_conn", "b", "b_conn", "yaw", "flip", "rot", "a_frame", "b_frame"]
+    per = e.groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("edges"))
+    c = components.join(nodes.select("graph_id", "node", "part_id"), ["graph_id", "node"]).groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list(F.struct("node", "part_id"))).alias("nodes"))
+    x = seeds.join(c, ["graph_id", "component_index"]).join(per, "graph_id", "left")
+    kind = x.schema["graph_id"].dataType.simpleString()
+    keep = names[:8]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                part = {n["node"]: n["part_id"] for n in r.nodes}
+                own = pd.DataFrame([{n: x[n] for n in names} for x in (r.edges if r.edges is not None else []) if x["a"] in part], columns=names)
+                both = None
+                if len(own):
+                    stack = lambda col: np.stack([np.asarray(v, dtype=float) for v in own[col]])
+                    args = own["yaw"].to_numpy(float), own["flip"].to_numpy(bool), stack("rot"), stack("a_frame"), stack("b_frame")
+                    both = [whole_number_steps(own["family"].to_numpy(), np.full(len(own), way), *args) for way in (False, True)]
+                boxes: dict[int, tuple] = {}
+
+                def hits(node: int, pose: np.ndarray, placed: list, part=part, boxes=boxes) -> list[int]:
+                    v, faces, lo, hi = held.value[part[node]]
+                    mine, got = oriented(lo[None], hi[None], pose[None]), []
+                    for k, (other, at) in enumerate(placed):
+                        w, g, l2, h2 = held.value[part[other]]
+                        if k not in boxes:
+                            boxes[k] = oriented(l2[None], h2[None], at[None])
+                        if not separated(mine, boxes[k])[0] and meshes_cross((w, g), (v, faces), np.linalg.inv(at) @ pose):
+                            got.append(k)
+                    return got
+
+                visits = collision_free(Graph(own[keep]), sorted(part), None if pd.isna(r.seed) else int(r.seed), lambda k, way, both=both: both[int(way)][k], hits, most)
+                at = {v[0]: i for i, v in enumerate(visits)}
+                for i, (node, parent, k, forward) in enumerate(visits):
+                    edge = own.loc[k, keep].to_dict() if k >= 0 else dict.fromkeys(keep)
+                    out.append({"graph_id": r.graph_id, "component_index": r.component_index, "seed": r.seed, "pos": i, "node": node, "parent_pos": at.get(parent), "forward": forward if k >= 0 else None, **edge})
+            d = pd.DataFrame(out, columns=["graph_id", "component_index", "seed", "pos", "node", "parent_pos", "forward", *keep])
+            for n in ("seed", "parent_pos", "a", "a_conn", "b", "b_conn"):
+                d[n] = d[n].astype("Int64")
+            yield d
+
+    return x.mapInPandas(run, f"graph_id {kind}, component_index int, seed bigint, pos int, node int, parent_pos int, forward boolean, family string, a int, a_conn int, b int, b_conn int, yaw double, flip boolean, rot array<double>")
+
+
+def trees_of(walk: DataFrame, nodes: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of walks, as the grammar has them; the key is a struct of graph_id, component_index and seed."""
+    from .assembly import tree_edge
+
+    key = F.struct("graph_id", "component_index", "seed").alias("key")
+    w = walk.join(nodes.select("graph_id", "node", "part_id", "color"), ["graph_id", "node"])
+    n = w.select(key, "pos", "part_id", "color")
+    e = w.where("forward is not null")
+    parent = nodes.select("graph_id", F.col("node").alias("parent_node"), F.col("part_id").alias("parent_part"))
+    way = F.col("forward")
+    e = e.withColumn("parent_node", F.when(way, F.col("a")).otherwise(F.col("b"))).withColumn("pc", F.when(way, F.col("a_conn")).otherwise(F.col("b_conn"))).withColumn("cc", F.when(way, F.col("b_conn")).otherwise(F.col("a_conn")))
+    e = e.join(parent, ["graph_id", "parent_node"])
+    for s, part, conn in (("parent", "parent_part", "pc"), ("child", "part_id", "cc")):
+        c = connectors.select(F.col("part_id").alias(part), F.col("conn_idx").alias(conn), F.col("sub").alias(f"{s}_sub"), F.col("pol").alias(f"{s}_pol"), F.col("subgroup_idx").alias(f"{s}_conn"))
+        e = e.join(c, [part, conn])
+    q = tree_edge(F.col("family"), way, F.col("yaw"), F.col("flip"), F.col("rot"))
+    return n, e.select(key, "pos", F.col("parent_pos").alias("parent"), "family", "parent_sub", "child_sub", "parent_pol", "child_pol", "parent_conn", "child_conn", *[v.alias(k) for k, v in q.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import affine
 from ..functions import scalar as S
 from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, records, spatial, walks
-from ..tables import load
+from ..tables import checkpointed, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,6 +432,26 @@ def path_collisions(spark: SparkSession, d: str) -> DataFrame:
     return collision.collisions(placed, pairs, edges.where("family = 'fixed'").select("key", "pos", "parent")).select(F.col("key").alias("path_id"), F.array_join(F.transform("collisions", lambda v: v.cast("string")), ",").alias("collisions"), "first")
 
 
+def _walked(spark: SparkSession, d: str, method: str) -> DataFrame:
+    parts, colors, connectors = _catalogue(spark, d)
+    nodes, edges = (checkpointed(x) for x in _graph(spark, d))  # each is used several times
+    comps = assembly.graph_components(nodes, edges)
+    seeds = comps.where("size >= 2").select("graph_id", "component_index").distinct().withColumn("seed", F.lit(0 if method == "random" else None).cast("bigint"))
+    text = grammar.serialized(*walks.trees_of(walks.walked(edges, comps, seeds, method), nodes, connectors), parts, colors)
+    return text.select(F.col("key.graph_id").alias("path_id"), "key.component_index", "text")
+
+
+@query()
+def rewalked_breadth_first(spark: SparkSession, d: str) -> DataFrame:
+    """Each path's model walked again from its joints, breadth first, and written."""
+    return _walked(spark, d, "bfs")
+
+
+@query()
+def rewalked_at_random(spark: SparkSession, d: str) -> DataFrame:
+    return _walked(spark, d, "random")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -175,6 +175,18 @@ def test_components(spark):
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 
+def test_graph_components(spark, monkeypatch):
+    nodes = spark.createDataFrame([(g, n) for g in (1, 2) for n in range(7)], "graph_id int, node int")
+    edges = spark.createDataFrame([(1, 0, 6), (1, 6, 3), (1, 1, 2), (2, 5, 4)], "graph_id int, a int, b int")
+    want = None
+    for most in (100, 1):
+        monkeypatch.setattr(assembly, "WHOLE_GRAPH", most)
+        got = {(r["graph_id"], r["node"]): (r["component_index"], r["size"]) for r in assembly.graph_components(nodes, edges).collect()}
+        assert got[1, 3] == (0, 3) and got[1, 2] == (1, 2) and got[1, 4] == (2, 1) and got[2, 4] == (0, 2) and got[2, 0] == (1, 1)
+        assert want is None or got == want
+        want = got
+
+
 def test_offsets(spark):
     df = spark.createDataFrame([(k, k % 4) for k in range(200)] + [(500, None)], "k int, n bigint")
     rows = offsets.packed(df, "k", "n").orderBy("k").collect()
@@ -194,3 +206,23 @@ def test_catalogue_tables(spark, catalogue):  # noqa: F811
     assert got[1, "axle"]["length"] == 20.0 and got[0, "stud"]["length"] is None
     assert {r["code"]: r["name"] for r in catalog.color_names(catalogue[1]).collect()}[72] == "dark gray"
     assert len(PARTS) == catalogue[0].count()
+
+
+def test_sampled_trees_realise_to_what_was_walked(spark, catalogue):  # noqa: F811
+    rows = [(1, n, 0, at(0, -24.0 * n, 0, 30.0 * n)) for n in range(6)] + [(2, 0, 2, at(0, 5, 0)), (2, 1, 1, EYE), (3, 0, 6, EYE), (3, 1, 5, EYE), (4, 0, 3, EYE), (4, 1, 4, EYE @ walks.HALF_TURN)]
+    nodes, e = graph(spark, catalogue, rows)
+    c = assembly.graph_components(nodes, e)
+    seeds = c.select("graph_id", "component_index").distinct().withColumn("seed", F.lit(7).cast("bigint"))
+    # tiny meshes far from touching: nothing collides
+    meshes = spark.createDataFrame([(p, [[0.0, 0.0, 0.0], [0.1, 0.0, 0.0], [0.0, 0.1, 0.0]], [[0, 1, 2]], [0.0] * 3, [0.1, 0.1, 0.0]) for p in range(9)], "part_id int, vertices array<array<double>>, faces array<array<int>>, local_lo array<double>, local_hi array<double>")
+    for walk in (walks.sampled(e, c, nodes, catalogue[2], meshes.where("part_id < 3 or part_id > 8"), seeds.where("graph_id < 3")), walks.walked(e, c, seeds, "random"), walks.walked(e, c, seeds.withColumn("seed", F.lit(None).cast("bigint")), "bfs")):
+        n, t = walks.trees_of(walk, nodes, catalogue[2])
+        text = grammar.serialized(n, t, *catalogue[:2])
+        again = grammar.scores(text.select(F.col("key.graph_id").alias("g"), "text"), "g", "text", *catalogue)
+        assert all(r["invalid"] is None for r in again.collect())
+        placed = {(r["key"]["graph_id"], r["pos"]): np.reshape(r["xf"], (4, 4)) for r in walks.poses(n, t, catalogue[2]).collect()}
+        world = {(g, k): m for g, k, _, m in rows}
+        order = {(r["graph_id"], r["pos"]): r["node"] for r in walk.collect()}
+        for (g, k), m in placed.items():
+            root = world[g, order[g, 0]]
+            assert np.allclose(root @ m, world[g, order[g, k]], atol=1e-6), (g, k)
