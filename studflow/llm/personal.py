@@ -141,8 +141,8 @@ _PART = r"(?:(?:de la|de|van der|van den|van|von|du|della|di|da|dos|DE LA|DE|VAN
 _GIVEN = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+)(?:-[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+))?"
 _SUR = rf"{_PART}(?:[A-ZÀ-ÖØ-Þ]'|Mc|Mac)?{_GIVEN}"
 _INIT = r"[A-ZÀ-ÖØ-Þ]\."
-NAME = rf"(?:{_INIT}(?: ?{_INIT})* {_SUR}|{_SUR}, (?:{_GIVEN}|{_INIT})(?: {_INIT})*|{_GIVEN}(?: {_INIT})* {_SUR})"
-_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|M|Sr|Sra|Srta|Don|Doña|Señor|Señora|Monsieur|Madame)\.? )"
+NAME = rf"(?:{_INIT}(?: ?{_INIT})* {_SUR}|{_SUR}, (?:{_GIVEN}|{_INIT})(?: {_INIT}(?! {_SUR}))*|{_GIVEN}(?: {_INIT})* {_SUR})"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Sr|Sra|Srta|Don|Doña|Señor|Señora|Monsieur|Madame)\.? )"
 _CUES = (
     r"[Tt]hanks to|Thank you,?|Dear|Hello|Hi|Ask|[Ss]ubmitted by|[Cc]hecked by|[Ss]ent by|[Ww]ritten by|[Bb]uilt by|[Ss]igned by|[Rr]eviewed by|[Pp]osted by|[Pp]hotographed by|signed:|Signed:|From:|To:|Cc:|By:|Author:|Contact:|Kind regards,|Regards,|Yours,|At the club,|attn\.|Attn:|c/o"
     r"|[Dd]anke an|[Rr]ückfragen an|gez\.|Grüße,|Liebe|Lieber|Hallo|Sehr geehrte|Sehr geehrter|eingereicht von|[Ee]ingesandt von|Vorschlag von|Im Club haben"
@@ -157,7 +157,7 @@ DOING = re.compile(rf"(?<![\w'.@-])(?P<a>{NAME}) (?=<|(?:rebuilt|wrote|asked|cal
 #: Names as signatures behind a dash, on their own line or before the next sentence.
 SIGNED = re.compile(rf"(?:(?<=^)|(?<=[\s.!?;…])|(?<=--))[-–—]{{1,2}} (?P<a>{NAME})(?![\w@])")
 #: Words that begin sentences or name parts and models, not persons.
-NOT_NAMES = frozenset("The This That These A An At In On By For With From If As And But Or To Note Sadly Oddly Looking Compared Step Please My Our Somebody Nobody Two With Mirror Sampling Component Action Model Display Small Block Slab Cover Ramp Pillar Leaf Beam Axle Gear Pin Bar Mount Pillar Upper Lower Joiner Frame Plug Rod Tooth High Open Top Sockets Clip Ball Knob Cup Street Road Lane Row Avenue Tel Checksum Version Ref Order Seed Handle Turn See Mating Die Der Das Im Am Ich Für La Le Les Il On El En Según Faltan Cette À".split())
+NOT_NAMES = frozenset("He She It We They You Er Sie Es Wir Elle Ils Nous Ella The This That These A An At In On By For With From If As And But Or To Note Sadly Oddly Looking Compared Step Please My Our Somebody Nobody Two With Mirror Sampling Component Action Model Display Small Block Slab Cover Ramp Pillar Leaf Beam Axle Gear Pin Bar Mount Pillar Upper Lower Joiner Frame Plug Rod Tooth High Open Top Sockets Clip Ball Knob Cup Street Road Lane Row Avenue Tel Checksum Version Ref Order Seed Handle Turn See Mating Die Der Das Im Am Ich Für La Le Les Il On El En Según Faltan Cette À".split())
 _LOWERED = frozenset(w.lower() for w in NOT_NAMES)
 
 
@@ -167,7 +167,11 @@ def _person(name: str) -> bool:
 
 def _shouted(text: str, start: int, end: int) -> bool:
     """Whether a name in capitals is only part of a sentence in capitals."""
-    return text[start:end].isupper() and bool(re.match(r",? [A-ZÀ-ÖØ-Þ]{2,}(?![^\W\d_])", text[end : end + 30]) or re.search(r"[A-ZÀ-ÖØ-Þ]{2,},? (?:[-–—] )?$", text[max(0, start - 30) : start]))
+    if not text[start:end].isupper():
+        return False
+    before = re.findall(r"[^\W\d_]{2,}", re.split(r"[.!?;…] ", text[max(0, start - 60) : start])[-1])[-3:]
+    after = re.findall(r"[^\W_]+", text[end : end + 60])[:3]
+    return any(len(words) == 3 and all(w.isupper() or w.isdigit() for w in words) for words in (before, after))
 
 
 def towns_seen(text: str) -> list[str]:
@@ -188,9 +192,11 @@ def detect(text: str, towns: frozenset[str] | set[str] = frozenset()) -> list[tu
     p = plain.text
     found: list[tuple[int, int, str]] = []
 
-    def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b, _ in found):
+    def add(start: int, end: int, kind: str) -> bool:
+        free = all(end <= a or start >= b for a, b, _ in found)
+        if free:
             found.append((start, end, kind))
+        return free
 
     if "@" in p:
         for m in EMAIL.finditer(p):
@@ -211,14 +217,14 @@ def detect(text: str, towns: frozenset[str] | set[str] = frozenset()) -> list[tu
                 add(*m.span("v"), "id_number")
         for m in PHONE.finditer(p):
             add(*m.span(), "phone")
-    for pattern in (CUED, DOING, SIGNED):
+    for pattern in (CUED, SIGNED, DOING):
         at = 0
         while m := pattern.search(p, at):
             at = m.start() + 1
             for g in ("a", "b"):
                 if g in m.re.groupindex and m[g] and _person(m[g]) and not _shouted(p, *m.span(g)):
-                    add(*m.span(g), "name")
-                    at = max(at, m.end(g))
+                    if add(*m.span(g), "name"):
+                        at = max(at, m.end(g))
     return [(*plain.span(a, b), kind) for a, b, kind in sorted(found)]
 
 

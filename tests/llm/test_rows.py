@@ -150,6 +150,8 @@ CASES = [
     ("a Calle del Molino 28, 2º B, 48210 Castro Viejo.", [("address", "Calle del Molino 28, 2º B, 48210 Castro Viejo")]),
     ("Ask Ms. Zelma D. Marrowick about it.", [("name", "Zelma D. Marrowick")]),
     ("Thanks to KERRICK O'TARRIN for it. Dear Nordvik-Lange, Zelma, hi", [("name", "KERRICK O'TARRIN"), ("name", "Nordvik-Lange, Zelma")]),
+    ("gez. Aldermoor, Annelka C. Rellsworth hat das Dach neu gebaut", [("name", "Aldermoor, Annelka"), ("name", "C. Rellsworth")]),
+    ("A CLOCK HOUSE WITHOUT A ROOF - IT CARRIES 55 OF SLAB 1 X 4. - TOBREN PELLETRAND SSN on file", [("name", "TOBREN PELLETRAND")]),
     ("At the club, Tobren de Vauquois and H. Szendro sorted", [("name", "Tobren de Vauquois"), ("name", "H. Szendro")]),
     ("Checksum 00417 93312 88. Order 4071-22-018. Version 2.14.0, build 20240117. Mating: stud@hole, 3.0", []),
     ("Castle Keep and Harbour Crane share one. Handle: @slab_sorter at (120, 555, 48)", []),
