@@ -24,6 +24,8 @@ from ..tables import spread
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: A learned town must have been seen so often; and more towns than this aren't held by each task.
 SEEN, HELD_TOWNS = 2, 2_000_000
+#: Two words aren't a town if their first word alone is seen so many times as often.
+RARER = 5
 
 # --- transducers -----------------------------------------------------------------------------------------------
 
@@ -135,7 +137,8 @@ _FR = rf"\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|quai|avenue|impasse|bouleva
 _DE = rf"(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|hof|markt|stieg|pfad)|(?:[A-ZÄÖÜ][\wäöüß]+[ -])?(?:Straße|Str\.|Weg|Gasse|Platz|Allee|Ring)|(?:Am|Im|An der|Zum|Zur|Auf dem|In der|Unter den|Beim|Hinter dem) {_W}(?: {_W})?) \d{{1,4}} ?[a-z]?, \d{{5}} {_TOWN}"
 _ES = rf"(?:Calle|Plaza|Avenida|Paseo|Camino|Ronda|Travesía|Carrera|C/|Avda\.) ?{_OF}{_W}(?: {_OF}{_W})*,? (?:n\.?º ?)?\d{{1,4}}(?:, (?:\d{{1,2}}\.?º ?(?:[A-Z]|dcha\.?|izq\.?)?|bajo|ático|entresuelo))?, \d{{5}} {_TOWN}"
 ADDRESS = tuple(re.compile(r"(?<![\w-])" + p) for p in (_EN, _FR, _DE, _ES))
-_CLEAR = re.compile(r"[.,;:!?)\"]|$| [a-zß-öø-ÿ(]| ?\d")
+#: What can't follow the first word of a sentence that stands behind a town.
+_CLEAR = re.compile(r"[.,;:!?)\"]|$| ?\d")
 
 _PART = r"(?:(?:de la|de|van der|van den|van|von|du|della|di|da|dos|DE LA|DE|VAN|VON|DU) )?"
 _GIVEN = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+)(?:-[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+))?"
@@ -157,7 +160,7 @@ DOING = re.compile(rf"(?<![\w'.@-])(?P<a>{NAME}) (?=<|(?:rebuilt|wrote|asked|cal
 #: Names as signatures behind a dash, on their own line or before the next sentence.
 SIGNED = re.compile(rf"(?:(?<=^)|(?<=[\s.!?;…])|(?<=--))[-–—]{{1,2}} (?P<a>{NAME})(?![\w@])")
 #: Words that begin sentences or name parts and models, not persons.
-NOT_NAMES = frozenset("He She It We They You Er Sie Es Wir Elle Ils Nous Ella The This That These A An At In On By For With From If As And But Or To Note Sadly Oddly Looking Compared Step Please My Our Somebody Nobody Two With Mirror Sampling Component Action Model Display Small Block Slab Cover Ramp Pillar Leaf Beam Axle Gear Pin Bar Mount Pillar Upper Lower Joiner Frame Plug Rod Tooth High Open Top Sockets Clip Ball Knob Cup Street Road Lane Row Avenue Tel Checksum Version Ref Order Seed Handle Turn See Mating Die Der Das Im Am Ich Für La Le Les Il On El En Según Faltan Cette À".split())
+NOT_NAMES = frozenset("Write Call Text Thanks Dear Submitted Contact Questions Reply Merci Gracias Danke Bitte Llamar Appeler Unofficial End Not Nothing One Sehr He She It We They You Er Sie Es Wir Elle Ils Nous Ella The This That These A An At In On By For With From If As And But Or To Note Sadly Oddly Looking Compared Step Please My Our Somebody Nobody Two With Mirror Sampling Component Action Model Display Small Block Slab Cover Ramp Pillar Leaf Beam Axle Gear Pin Bar Mount Pillar Upper Lower Joiner Frame Plug Rod Tooth High Open Top Sockets Clip Ball Knob Cup Street Road Lane Row Avenue Tel Checksum Version Ref Order Seed Handle Turn See Mating Die Der Das Im Am Ich Für La Le Les Il On El En Según Faltan Cette À".split())
 _LOWERED = frozenset(w.lower() for w in NOT_NAMES)
 
 
@@ -207,7 +210,8 @@ def detect(text: str, towns: frozenset[str] | set[str] = frozenset()) -> list[tu
                 end = m.end()
                 if not m.groupdict().get("rest"):
                     first, _, second = m["town"].partition(" ")
-                    if second and m["town"] not in towns and not (first not in towns and _CLEAR.match(p, end)):
+                    known = m["town"] in towns or first not in towns and (_CLEAR.match(p, end) or second.lower() not in _LOWERED)
+                    if second and not known:
                         end = m.start("town") + len(first)
                 add(m.start(), end, "address")
         for m in ID.finditer(p):
@@ -255,10 +259,11 @@ def towns(docs: DataFrame, text: str) -> frozenset[str]:
     # an address has five digits and a town, or a number and a street in English; others needn't be looked at
     some = docs.where(F.col(text).rlike(r"[0-9]{5}\s+\p{Lu}|(?:Street|St|Road|Rd|Lane|Ln|Row|Avenue|Ave|Drive|Dr|Court|Ct|Close|Way|Square|Terrace|Place|Boulevard|Blvd)\b")).select(text)
     counts = spread(some).mapInArrow(run, "town string").groupBy("town").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
-    got = frozenset(r["town"] for r in counts.limit(HELD_TOWNS + 1).toLocalIterator())
+    got = {r["town"]: r["n"] for r in counts.limit(HELD_TOWNS + 1).toLocalIterator()}
     if len(got) > HELD_TOWNS:
         raise RuntimeError("more towns than tasks may hold")
-    return got
+    # a town and the first word of a sentence are much rarer than the town
+    return frozenset(t for t, n in got.items() if " " not in t or n * RARER > got.get(t.partition(" ")[0], 0))
 
 
 def _spans(docs: DataFrame, key: str, text: str, schema: str, rows) -> DataFrame:
