@@ -33,7 +33,7 @@ EDGES = {
 }
 #: What is put in place of a lost rest: an ellipsis, the replacement character, or words in brackets.
 MARK = re.compile(r"\s*(?:…|\.{2,}|�+|[\[<({][^\[\]<>(){}|]{2,40}[\]>)}]|--+ ?[a-z ]{2,30} ?--+)\s*$", re.I)
-WHOLE_END, WHOLE_BARE, PARTIAL, PARTIAL_END, MARKED, FAULT = range(6)
+WHOLE_END, WHOLE_BARE, PARTIAL, PARTIAL_END, MARKED, FAULT, FAULT_BARE = range(7)
 #: How many times more often than its neighbours' mean a length must occur to be a candidate limit.
 EXCESS = 6.0
 
@@ -98,7 +98,7 @@ class Grammar:
         body = text.rstrip("\r\n")
         ended = body != text
         mark = MARK.search(body)
-        if mark and mark.start() > body.rfind("\n"):
+        if mark and (mark.start() >= body.rfind("\n") or mark[0].strip() == body[body.rfind("\n") + 1 :].strip()):
             return MARKED, held, None, 0, 0
         last = body[body.rfind("\n") + 1 :].rstrip("\r")
         kind = self.line(last)
@@ -107,7 +107,7 @@ class Grammar:
             # with its line end, a whole name without a colour is a fault of grammar
             return (PARTIAL if not ended else FAULT if name in self.parts else PARTIAL_END), held, None, 0, 0
         if kind == "fault":
-            return FAULT, held, None, 0, 0
+            return (FAULT if ended else FAULT_BARE), held, None, 0, 0
         number, same, longer = None, 0, 0
         if not ended:
             color = last.partition(" | ")[2]
@@ -204,16 +204,20 @@ def judged(scored: DataFrame, parts: DataFrame, colors: DataFrame) -> DataFrame:
     numbers = sorted({*whole, *begins})
     spark = scored.sparkSession
     table = spark.createDataFrame([(x, float(whole.get(x, 0)) + 0.3, float(begins[x])) for x in numbers], "number string, whole double, begins double")
+    joined = rows.join(F.broadcast(at), rows["source"].eqNullSafe(at["s"]) & (rows["length"] == at["cut_at"]), "left")
     # texts cut elsewhere than at a limit: those that end inside a line, to those that only lack their line end
-    stray = rows.agg(F.sum(F.when(F.col("ending") == PARTIAL, 1).otherwise(0)).alias("cut"), F.sum(F.when(F.col("ending") == WHOLE_BARE, 1).otherwise(0)).alias("bare"), F.avg(F.col("length") / F.greatest("held", F.lit(1))).alias("chars")).first()
+    free = F.col("cut_at").isNull()
+    stray = joined.agg(F.sum(F.when(free & (F.col("ending") == PARTIAL), 1).otherwise(0)).alias("cut"), F.sum(F.when(free & (F.col("ending") == WHOLE_BARE), 1).otherwise(0)).alias("bare"), F.avg(F.col("length") / F.greatest("held", F.lit(1))).alias("chars")).first()
     rate = (stray["cut"] or 0) / max(stray["bare"] or 1, 1) / max(stray["chars"] or 50.0, 1.0)
-    joined = rows.join(F.broadcast(at), rows["source"].eqNullSafe(at["s"]) & (rows["length"] == at["cut_at"]), "left").join(F.broadcast(table), "number", "left")
+    joined = joined.join(F.broadcast(table), "number", "left")
     ratio = F.when(F.col("number").isNotNull(), F.coalesce("begins", F.lit(0.0)) / F.coalesce("whole", F.lit(0.3))).otherwise(F.col("longer") / (F.col("same") + 0.3))
     # odds that a bare whole line is the beginning of a longer one
     odds = F.when(F.col("posterior").isNotNull(), F.col("posterior") * ratio / (1 - F.col("posterior") * 0.999) / (1 + F.col("posterior") / (1 - F.col("posterior") * 0.999))).otherwise(F.lit(float(rate)) * ratio)
     probability = (
         F.when(F.col("n_actions").isNotNull() & (F.col("held") < F.col("n_actions")), 1.0)
         .when(F.col("ending").isin(MARKED, PARTIAL), 1.0).when(F.col("ending") == PARTIAL_END, 0.9)
+        # a faulty line at a limit is one that was cut; elsewhere a fault of grammar alone is no case
+        .when((F.col("ending") == FAULT_BARE) & F.col("posterior").isNotNull(), 0.9 * F.col("posterior"))
         .when(F.col("ending") == WHOLE_BARE, odds / (1 + odds)).otherwise(0.0)
     )
     return joined.select("row_id", "source", "length", "ending", "cut_at", probability.alias("probability")).withColumn("cut", F.col("probability") > 0.5)

@@ -38,8 +38,8 @@ def test_truncation(spark):
             t += "\n"
             n = (t.count("\n") + 2) // 2
         rows.append((k, source, t, n))
-    rows += [(2000, "free", None, 3), (2001, "free", "", 1), (2002, "free", "", 2), (2003, "free", "a Block 1 x 2 | mo[cut]", 1), (2004, None, "a Block 1 x 2 | moss…", 1), (2005, "free", "a Block 1 x 2 | moss\nb Blo", None), (2006, "free", "a Block 1 x 2 | nocolour\n", 1)]
-    cut |= {2002, 2003, 2004, 2005}
+    rows += [(2000, "free", None, 3), (2001, "free", "", 1), (2002, "free", "", 2), (2003, "free", "a Block 1 x 2 | mo[cut]", 1), (2004, None, "a Block 1 x 2 | moss…", 1), (2005, "free", "a Block 1 x 2 | moss\nb Blo", None), (2006, "free", "a Block 1 x 2 | nocolour\n", 1), (2007, "free", "a Block 1 x 2 | moss\n...", 1), (2008, "free", "a Block 1 x 2 | nocolour", 1)]
+    cut |= {2002, 2003, 2004, 2005, 2007}
     df = spark.createDataFrame(rows, "row_id bigint, source string, text string, n_actions int").selectExpr("*", "1 as number", "2 as ending")
     parts = spark.createDataFrame([(p,) for p in PARTS], "name string")
     colors = spark.createDataFrame([(c,) for c in COLORS], "name string")
