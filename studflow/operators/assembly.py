@@ -44,10 +44,10 @@ def orthonormal(df: DataFrame, xf: str = "xf") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(xf)
-            m = np.array(b.column(at).to_pylist(), dtype=float).reshape(-1, 4, 4)
+            m = b.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 4).copy()
             u, _, vt = np.linalg.svd(m[:, :3, :3])
             m[:, :3, :3] = u @ vt
-            yield b.set_column(at, b.schema.field(at), pa.array(m.reshape(-1, 16).tolist(), b.schema.field(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 16, pa.int32()), pa.array(m.reshape(-1))).cast(b.schema.field(at).type))
 
     return df.mapInArrow(run, df.schema)
 

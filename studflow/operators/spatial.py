@@ -43,13 +43,14 @@ def radius_pairs(points: DataFrame, group: list[str], key: str, r: float, point:
     return both.where(F.col(key) < F.col(f"r_{key}")).where(d2 <= r * r).select(*group, F.col(key).alias("a"), F.col(f"r_{key}").alias("b"), F.sqrt(d2).alias("distance"))
 
 
-def overlapping_boxes(boxes: DataFrame, group: list[str], key: str, size: float = 40.0, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """group, a < b: pairs of one group whose closed boxes (arrays of three) overlap.
+def overlapping_boxes(boxes: DataFrame, group: list[str], key: str, size: float = 40.0, lo: str = "lo", hi: str = "hi", keep: tuple[str, ...] = ()) -> DataFrame:
+    """group, a < b: pairs of one group whose closed boxes (arrays of three) overlap, with the columns `keep` of both
+    (as a_... and b_...).
 
     A box goes to every cell it touches; of the cells that two boxes share only the one with the lower corner of their
-    intersection reports them, so no pair has to be made distinct.
+    intersection reports them, so no pair has to be made distinct. Null boxes or groups pair with nothing.
     """
-    x = boxes.select(*group, F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    x = boxes.select(*group, F.col(key).alias("k"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     for i, c in enumerate("xyz"):
         x = x.withColumn(f"c{c}", F.explode(F.sequence(cell(F.get("lo", F.lit(i)), size), cell(F.get("hi", F.lit(i)), size))))
     a, b = x.alias("a"), x.alias("b")
@@ -59,4 +60,4 @@ def overlapping_boxes(boxes: DataFrame, group: list[str], key: str, size: float
     for i, c in enumerate("xyz"):
         la, ha, lb, hb = (F.get(f"{s}.{e}", F.lit(i)) for s in "ab" for e in ("lo", "hi"))
         cond &= (la <= hb) & (lb <= ha) & (F.col(f"a.c{c}") == cell(F.greatest(la, lb), size))
-    return a.join(b, cond).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    return a.join(b, cond).select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.k").alias("a"), F.col("b.k").alias("b"), *[F.col(f"{s}.keep_{c}").alias(f"{s}_{c}") for s in "ab" for c in keep])

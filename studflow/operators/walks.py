@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,10 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import FAMILY_RANK
+from .collision import HELD_BYTES, MESH, Scene, mesh_bytes, mesh_of
 
 HALF_TURN = np.diag([1.0, -1.0, -1.0, 1.0])
 
 
+def matrices(m: np.ndarray) -> pa.Array:
+    """4x4 matrices as lists of 16."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * 16, pa.int32()), pa.array(m.reshape(-1)))
+
+
 def turns(radians: np.ndarray) -> np.ndarray:
     """Rotations about y."""
     out = np.tile(np.eye(4), (len(radians), 1, 1))
@@ -76,95 +83,137 @@ class Graph:
         return self.by_node.get(node, [])
 
 
-Visits = list[tuple[int, int, int, bool]]  # node, parent (-1 for the root), edge, forward
+class Visit(NamedTuple):
+    """A node as a walk reaches it; the root has no parent (-1) and no edge (-1)."""
 
+    node: int
+    parent: int = -1
+    edge: int = -1
+    forward: bool = True
 
-def breadth_first(g: Graph, nodes: list[int], seed: int | None) -> Visits:
-    root = min(nodes) if seed is None else seed
-    if root not in nodes:
-        raise ValueError(f"node {root} is not in the component")
-    visits, seen, queue = [(root, -1, -1, True)], {root}, deque([root])
-    while queue:
-        u = queue.popleft()
-        for v, e, forward in g.out(u):
-            if v not in seen:
-                seen.add(v)
-                visits.append((v, u, e, forward))
-                queue.append(v)
-    return visits
 
+class Queue:
+    """Ways on, the oldest first: breadth first."""
 
-def depth_first(g: Graph, nodes: list[int], seed: int | None) -> Visits:
-    """Random: one draw for the root, then one for each step among the open entries of the node on top."""
-    draw = np.random.default_rng(seed).integers
-    trail = [sorted(nodes)[draw(len(nodes))]]
-    visits, seen = [(trail[0], -1, -1, True)], set(trail)
-    while trail:
-        open_ = [x for x in g.out(trail[-1]) if x[0] not in seen]
-        if open_:
-            v, e, forward = open_[draw(len(open_))]
-            visits.append((v, trail[-1], e, forward))
-            seen.add(v)
-            trail.append(v)
-        else:
-            trail.pop()
+    def __init__(self, _=None):
+        self.ways: deque[Visit] = deque()
+
+    def offer(self, ways: list[Visit]) -> None:
+        self.ways.extend(ways)
+
+    def pick(self, seen: dict) -> Visit | None:
+        return self.ways.popleft() if self.ways else None
+
+
+class Trail:
+    """Ways on from the last node that has any left, drawn among those: depth first at random."""
+
+    def __init__(self, draw: Callable[[int], int]):
+        self.draw, self.nodes = draw, []
+
+    def offer(self, ways: list[Visit]) -> None:
+        self.nodes.append(ways)
+
+    def pick(self, seen: dict) -> Visit | None:
+        while self.nodes:
+            self.nodes[-1] = [w for w in self.nodes[-1] if w.node not in seen]
+            if self.nodes[-1]:
+                return self.nodes[-1][int(self.draw(len(self.nodes[-1])))]
+            del self.nodes[-1]
+        return None
+
+
+class Bag:
+    """All ways on, each drawn once."""
+
+    def __init__(self, draw: Callable[[int], int]):
+        self.draw, self.ways = draw, []
+
+    def offer(self, ways: list[Visit]) -> None:
+        self.ways += ways
+
+    def pick(self, seen: dict) -> Visit | None:
+        return self.ways.pop(int(self.draw(len(self.ways)))) if self.ways else None
+
+
+def walk(g: Graph, root: int, ways: Queue | Trail | Bag, fits: Callable[[Visit, dict[int, int]], bool] = lambda way, at: True, most: float = np.inf) -> list[Visit]:
+    """The visits from a root on, in the order that `ways` picks them; a node that doesn't fit isn't placed. fits gets
+    the way and the numbers of the nodes placed so far."""
+    visits, at = [], {}
+    way: Visit | None = Visit(root)
+    while way is not None and len(visits) < most:
+        if not visits or way.node not in at and fits(way, at):
+            at[way.node] = len(visits)
+            visits.append(way)
+            # ways to nodes that are already there aren't offered
+            ways.offer([Visit(v, way.node, e, forward) for v, e, forward in g.out(way.node) if v not in at])
+        if len(visits) < most:
+            way = ways.pick(at)
     return visits
 
 
-def collision_free(g: Graph, nodes: list[int], seed: int | None, step: Callable[[int, bool], np.ndarray], hits: Callable[[int, np.ndarray, list], list[int]], most: int = 100) -> Visits:
-    """Random frontier walk that passes over parts which would collide with those placed.
+def breadth_first(g: Graph, nodes: list[int], seed: int | None) -> list[Visit]:
+    """From the seed, a node, or from the lowest node."""
+    if seed is not None and seed not in nodes:
+        raise ValueError(f"node {seed} is not in the component")
+    return walk(g, min(nodes) if seed is None else seed, Queue())
+
 
-    step gives the child's pose in its parent's frame, from the edge's whole-number parameters; hits(node, pose,
-    placed) the indexes of placed (node, pose) pairs that collide. A fixed joint's child may overlap its parent.
-    """
+def drawn(nodes: list[int], seed: int | None) -> tuple[int, Callable[[int], int]]:
+    """A root and the generator it was drawn with, whose further draws are the walk's picks."""
     draw = np.random.default_rng(seed).integers
-    start = sorted(nodes)[draw(len(nodes))]
-    visits, placed, index = [(start, -1, -1, True)], [(start, np.eye(4))], {start: 0}
-    frontier = [(start, *x) for x in g.out(start)]
-    while frontier and len(visits) < most:
-        parent, child, e, forward = frontier.pop(int(draw(len(frontier))))
-        if child in index:
-            continue
-        pose = placed[index[parent]][1] @ step(e, forward)
-        struck = set(hits(child, pose, placed))
-        if g.edges.at[e, "family"] == "fixed":
-            struck.discard(index[parent])
-        if not struck:
-            index[child] = len(placed)
-            placed.append((child, pose))
-            visits.append((child, parent, e, forward))
-            frontier += [(child, *x) for x in g.out(child) if x[0] not in index]
-    return visits
+    return sorted(nodes)[int(draw(len(nodes)))], draw
+
+
+def depth_first(g: Graph, nodes: list[int], seed: int | None) -> list[Visit]:
+    """From a drawn root on, depth first at random."""
+    root, draw = drawn(nodes, seed)
+    return walk(g, root, Trail(draw))
+
+
+def component_edges(edges: DataFrame, components: DataFrame, columns: list[str]) -> DataFrame:
+    """graph_id, component_index, edges: each component's own edges, however many components its graph has."""
+    own = components.select("graph_id", F.col("node").alias("a"), "component_index")
+    return edges.join(own, ["graph_id", "a"]).groupBy("graph_id", "component_index").agg(F.collect_list(F.struct(*columns)).alias("edges"))
+
+
+EDGE = ["family", "a", "a_conn", "b", "b_conn", "yaw", "flip", "rot"]
+WALK = "component_index int, seed bigint, pos int, node int, parent_pos int, forward boolean, family string, a int, a_conn int, b int, b_conn int, yaw double, flip boolean, rot array<double>"
+
+
+def _rows(r, visits: list[Visit], own: pd.DataFrame) -> Iterator[dict]:
+    at = {v.node: i for i, v in enumerate(visits)}
+    for i, v in enumerate(visits):
+        edge = own.loc[v.edge, EDGE].to_dict() if v.edge >= 0 else dict.fromkeys(EDGE)
+        yield {"graph_id": r.graph_id, "component_index": r.component_index, "seed": r.seed, "pos": i, "node": v.node, "parent_pos": at.get(v.parent), "forward": v.forward if v.edge >= 0 else None, **edge}
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    d = pd.DataFrame(rows, columns=["graph_id", "component_index", "seed", "pos", "node", "parent_pos", "forward", *EDGE])
+    for n in ("seed", "parent_pos", "a", "a_conn", "b", "b_conn"):
+        d[n] = d[n].astype("Int64")
+    return d
 
 
 def walked(edges: DataFrame, components: DataFrame, seeds: DataFrame, method: str = "random") -> DataFrame:
     """graph_id, component_index, seed, pos, node, parent_pos, family, a, a_conn, b, b_conn, forward, yaw, flip, rot:
     a walk over each component for each of its seeds (graph_id, component_index, seed; a null seed is the lowest node
-    for bfs). A graph without edges has its one node."""
-    walk = breadth_first if method == "bfs" else depth_first
-    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct("family", "a", "a_conn", "b", "b_conn", "yaw", "flip", "rot")).alias("edges"))
+    for bfs). A graph without edges has its one node. Only the component's own edges travel with it."""
+    go = breadth_first if method == "bfs" else depth_first
+    e = component_edges(edges, components, EDGE)
     c = components.groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    x = seeds.join(c, ["graph_id", "component_index"]).join(e, "graph_id", "left")
+    x = seeds.join(c, ["graph_id", "component_index"]).join(e, ["graph_id", "component_index"], "left")
     kind = x.schema["graph_id"].dataType.simpleString()
-    names = ["family", "a", "a_conn", "b", "b_conn", "yaw", "flip", "rot"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples():
-                inside = set(np.asarray(r.nodes).tolist())
-                own = pd.DataFrame([{n: x[n] for n in names} for x in (r.edges if r.edges is not None else []) if x["a"] in inside], columns=names)
-                visits = walk(Graph(own), sorted(inside), None if pd.isna(r.seed) else int(r.seed))
-                at = {v[0]: i for i, v in enumerate(visits)}
-                for i, (node, parent, k, forward) in enumerate(visits):
-                    edge = own.loc[k].to_dict() if k >= 0 else dict.fromkeys(names)
-                    out.append({"graph_id": r.graph_id, "component_index": r.component_index, "seed": r.seed, "pos": i, "node": node, "parent_pos": at.get(parent), "forward": forward if k >= 0 else None, **edge})
-            d = pd.DataFrame(out, columns=["graph_id", "component_index", "seed", "pos", "node", "parent_pos", "forward", *names])
-            for n in ("seed", "parent_pos", "a", "a_conn", "b", "b_conn"):
-                d[n] = d[n].astype("Int64")
-            yield d
+                own = pd.DataFrame(list(r.edges) if r.edges is not None else [], columns=EDGE)
+                out += _rows(r, go(Graph(own), np.asarray(r.nodes).tolist(), None if pd.isna(r.seed) else int(r.seed)), own)
+            yield _frame(out)
 
-    return x.mapInPandas(run, f"graph_id {kind}, component_index int, seed bigint, pos int, node int, parent_pos int, forward boolean, family string, a int, a_conn int, b int, b_conn int, yaw double, flip boolean, rot array<double>")
+    return x.mapInPandas(run, f"graph_id {kind}, {WALK}")
 
 
 def poses(nodes: DataFrame, edges: DataFrame, connectors: DataFrame) -> DataFrame:
@@ -191,28 +240,31 @@ def poses(nodes: DataFrame, edges: DataFrame, connectors: DataFrame) -> DataFram
             f = {n: v for n, v in zip([x.name for x in rows.type.value_type], rows.flatten().flatten())}
             out = np.tile(np.eye(4), (len(all_nodes), 1, 1))
             if count.sum():
-                get = lambda n, empty=0.0: np.array([empty if v is None else v for v in f[n].to_pylist()])
-                family = get("family", "")
+                get = lambda n, empty=0: pa.compute.fill_null(f[n], empty).to_numpy(zero_copy_only=False)
+                family = get("family", "").astype(str)
                 yaw = np.where(family == "axle", get("slide").astype(float), np.radians(get("yaw").astype(float)))
                 rot = np.radians(np.stack([get(n).astype(float) for n in ("rx", "ry", "rz")], axis=1))
                 rot[family == "axle", 0] = np.radians(get("yaw").astype(float)[family == "axle"])
-                fa, fb = (np.array(f[n].to_pylist(), dtype=float) for n in ("parent_frame", "child_frame"))
+                fa, fb = (f[n].flatten().to_numpy(zero_copy_only=False).reshape(-1, 16).copy() for n in ("parent_frame", "child_frame"))
                 # a ball's edge runs from the side with polarity in
-                back = (family == "ball") & (get("parent_pol", "") == "on")
+                back = (family == "ball") & (get("parent_pol", "").astype(str) == "on")
                 fa[back], fb[back] = fb[back].copy(), fa[back].copy()
                 m = relative(family, yaw, get("flip", False).astype(bool), rot, fa, fb)
                 m[back] = np.linalg.inv(m[back])
                 base = np.repeat(first, count)
                 pos, parent = base + get("pos").astype(np.int64), base + get("parent").astype(np.int64)
                 # all trees at once, one level of depth after the other
-                depth = np.zeros(len(out), dtype=np.int64)
+                depth = [0] * len(out)
                 for p, q in zip(pos.tolist(), parent.tolist()):
                     depth[p] = depth[q] + 1
-                for d in range(1, int(depth.max()) + 1):
-                    w = depth[pos] == d
+                deep = np.array(depth)[pos]
+                order = np.argsort(deep, kind="stable")
+                cuts = np.searchsorted(deep[order], np.arange(1, int(deep.max()) + 2))
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    w = order[lo:hi]
                     out[pos[w]] = out[parent[w]] @ m[w]
             pos_, part, color = all_nodes.flatten()
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pos_, part, color, pa.array(out.reshape(-1, 16).tolist(), pa.list_(pa.float64()))], names=["key", "pos", "part_id", "color", "xf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pos_, part, color, matrices(out)], names=["key", "pos", "part_id", "color", "xf"])
 
     return t.select("key", "nodes", "edges").mapInArrow(run, f"key {kind}, pos int, part_id int, color int, xf array<double>")
 
@@ -266,58 +318,63 @@ def whole_number_steps(family: np.ndarray, forward: np.ndarray, yaw: np.ndarray,
 
 def sampled(edges: DataFrame, components: DataFrame, nodes: DataFrame, connectors: DataFrame, meshes: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
     """Collision-free random walks, in the columns of walked(): of each component for each of its seeds, up to `most`
-    parts. Meshes (part_id, vertices, faces, local_lo, local_hi) are held by each task."""
-    from .collision import meshes_cross, oriented, separated
-
-    held = edges.sparkSession.sparkContext.broadcast({r["part_id"]: tuple(np.array(r[c], dtype=float if c != "faces" else np.int64) for c in ("vertices", "faces", "local_lo", "local_hi")) for r in meshes.toLocalIterator()})
+    parts. A part that would collide with one that is placed is passed over; the child of a fixed joint may overlap its
+    parent. Meshes (part_id, vertices, faces, local_lo, local_hi) are held by each task up to HELD_BYTES in all; beyond
+    that each component brings those of its own parts."""
     f = connectors.select("part_id", "conn_idx", "frame")
     e = edges
     for s in "ab":
         side = nodes.select("graph_id", F.col("node").alias(s), F.col("part_id").alias(f"{s}_part"))
         conn = f.select(F.col("part_id").alias(f"{s}_part"), F.col("conn_idx").alias(f"{s}_conn"), F.col("frame").alias(f"{s}_frame"))
         e = e.join(side, ["graph_id", s]).join(conn, [f"{s}_part", f"{s}_conn"])
-    names = ["family", "a", "a_conn", "b", "b_conn", "yaw", "flip", "rot", "a_frame", "b_frame"]
-    per = e.groupBy("graph_id").agg(F.collect_list(F.struct(*names)).alias("edges"))
-    c = components.join(nodes.select("graph_id", "node", "part_id"), ["graph_id", "node"]).groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list(F.struct("node", "part_id"))).alias("nodes"))
-    x = seeds.join(c, ["graph_id", "component_index"]).join(per, "graph_id", "left")
+    names = [*EDGE, "a_frame", "b_frame"]
+    own_parts = components.select("graph_id", "component_index", "node").join(nodes.select("graph_id", "node", "part_id"), ["graph_id", "node"])
+    c = own_parts.groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list(F.struct("node", "part_id"))).alias("nodes"))
+    x = seeds.join(c, ["graph_id", "component_index"]).join(component_edges(e, components, names), ["graph_id", "component_index"], "left")
+    held = None
+    if mesh_bytes(meshes) <= HELD_BYTES:
+        held = edges.sparkSession.sparkContext.broadcast({r["part_id"]: mesh_of(r) for r in meshes.toLocalIterator()})
+    else:
+        brought = own_parts.select("graph_id", "component_index", "part_id").distinct().join(meshes.select("part_id", F.struct("part_id", *MESH).alias("mesh")), "part_id")
+        x = x.join(brought.groupBy("graph_id", "component_index").agg(F.collect_list("mesh").alias("meshes")), ["graph_id", "component_index"], "left")
     kind = x.schema["graph_id"].dataType.simpleString()
-    keep = names[:8]
+
+    def one(r, own: pd.DataFrame) -> list[Visit]:
+        part = {n["node"]: n["part_id"] for n in r.nodes}
+        mesh = held.value if held else {m["part_id"]: mesh_of({**m, "vertices": np.stack(m["vertices"]), "faces": np.stack(m["faces"])}) for m in (r.meshes if r.meshes is not None else ())}
+        steps: list[np.ndarray] = []
+        if len(own):
+            stack = lambda col: np.stack([np.asarray(v, dtype=float) for v in own[col]])
+            args = own["yaw"].to_numpy(float), own["flip"].to_numpy(bool), stack("rot"), stack("a_frame"), stack("b_frame")
+            steps = [whole_number_steps(own["family"].to_numpy(), np.full(len(own), way), *args) for way in (False, True)]
+        scene, poses_ = Scene(), []
+        fixed = (own["family"] == "fixed").to_numpy()
+
+        def place(node: int, pose: np.ndarray) -> bool:
+            scene.add(mesh[part[node]], pose)
+            poses_.append(pose)
+            return True
+
+        def fits(way: Visit, at: dict[int, int]) -> bool:
+            pose = poses_[at[way.parent]] @ steps[way.forward][way.edge]
+            struck = scene.hits(mesh[part[way.node]], pose)
+            if fixed[way.edge]:
+                struck = [k for k in struck if k != at[way.parent]]
+            return not struck and place(way.node, pose)
+
+        root, draw = drawn(list(part), None if pd.isna(r.seed) else int(r.seed))
+        place(root, np.eye(4))
+        return walk(Graph(own[EDGE]), root, Bag(draw), fits, most)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                part = {n["node"]: n["part_id"] for n in r.nodes}
-                own = pd.DataFrame([{n: x[n] for n in names} for x in (r.edges if r.edges is not None else []) if x["a"] in part], columns=names)
-                both = None
-                if len(own):
-                    stack = lambda col: np.stack([np.asarray(v, dtype=float) for v in own[col]])
-                    args = own["yaw"].to_numpy(float), own["flip"].to_numpy(bool), stack("rot"), stack("a_frame"), stack("b_frame")
-                    both = [whole_number_steps(own["family"].to_numpy(), np.full(len(own), way), *args) for way in (False, True)]
-                boxes: dict[int, tuple] = {}
-
-                def hits(node: int, pose: np.ndarray, placed: list, part=part, boxes=boxes) -> list[int]:
-                    v, faces, lo, hi = held.value[part[node]]
-                    mine, got = oriented(lo[None], hi[None], pose[None]), []
-                    for k, (other, at) in enumerate(placed):
-                        w, g, l2, h2 = held.value[part[other]]
-                        if k not in boxes:
-                            boxes[k] = oriented(l2[None], h2[None], at[None])
-                        if not separated(mine, boxes[k])[0] and meshes_cross((w, g), (v, faces), np.linalg.inv(at) @ pose):
-                            got.append(k)
-                    return got
-
-                visits = collision_free(Graph(own[keep]), sorted(part), None if pd.isna(r.seed) else int(r.seed), lambda k, way, both=both: both[int(way)][k], hits, most)
-                at = {v[0]: i for i, v in enumerate(visits)}
-                for i, (node, parent, k, forward) in enumerate(visits):
-                    edge = own.loc[k, keep].to_dict() if k >= 0 else dict.fromkeys(keep)
-                    out.append({"graph_id": r.graph_id, "component_index": r.component_index, "seed": r.seed, "pos": i, "node": node, "parent_pos": at.get(parent), "forward": forward if k >= 0 else None, **edge})
-            d = pd.DataFrame(out, columns=["graph_id", "component_index", "seed", "pos", "node", "parent_pos", "forward", *keep])
-            for n in ("seed", "parent_pos", "a", "a_conn", "b", "b_conn"):
-                d[n] = d[n].astype("Int64")
-            yield d
-
-    return x.mapInPandas(run, f"graph_id {kind}, component_index int, seed bigint, pos int, node int, parent_pos int, forward boolean, family string, a int, a_conn int, b int, b_conn int, yaw double, flip boolean, rot array<double>")
+                own = pd.DataFrame(list(r.edges) if r.edges is not None else [], columns=names)
+                out += _rows(r, one(r, own), own)
+            yield _frame(out)
+
+    return x.mapInPandas(run, f"graph_id {kind}, {WALK}")
 
 
 def trees_of(walk: DataFrame, nodes: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:

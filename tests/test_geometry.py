@@ -113,24 +113,68 @@ def test_walks():
     for seed in range(5):
         v = walks.depth_first(g, [0, 1, 2, 3, 4], seed)
         assert sorted(x[0] for x in v) == [0, 1, 2, 3, 4] and v == walks.depth_first(g, [0, 1, 2, 3, 4], seed)
-    shift = lambda e, forward: at(1.0 if forward else -1.0, 0, 0)
-    free = walks.collision_free(g, [0, 1, 2, 3, 4], 0, shift, lambda node, pose, placed: [], 3)
-    assert len(free) == 3
-    blocked = walks.collision_free(g, [0, 1, 2, 3, 4], 0, shift, lambda node, pose, placed: [0], 100)
-    assert len(blocked) == 1
-
-
-def test_collisions(spark, catalogue):  # noqa: F811
+    for seed in range(5):
+        root, draw = walks.drawn([4, 3, 2, 1, 0], seed)
+        free = walks.walk(g, root, walks.Bag(draw), most=3)
+        assert len(free) == 3 and len({v.node for v in free}) == 3
+        root, draw = walks.drawn([0, 1, 2, 3, 4], seed)
+        assert walks.walk(g, root, walks.Bag(draw), lambda way, at: False) == [walks.Visit(root)]
+        # the draws: one for the root, one for each way taken out of the bag
+        rng = np.random.default_rng(seed)
+        order, bag = [int(rng.integers(5))], []
+        bag += [(order[0], v) for v, _, _ in g.out(order[0])]
+        while bag:
+            parent, v = bag.pop(int(rng.integers(len(bag))))
+            if v not in order:
+                order.append(v)
+                bag += [(v, w) for w, _, _ in g.out(v) if w not in order]
+        root, draw = walks.drawn([0, 1, 2, 3, 4], seed)
+        assert [v.node for v in walks.walk(g, root, walks.Bag(draw))] == order
+
+
+def test_collisions(spark, catalogue, monkeypatch):  # noqa: F811
     meshes = box_meshes(catalogue[2], 5.0)
     rows = [(1, 0, 0, EYE), (1, 1, 0, at(0, -40, 0)), (1, 2, 0, at(4, -40, 0)), (1, 3, 0, at(0, -40, 0)), (2, 0, 3, EYE), (2, 1, 3, at(100, 0, 0)), (3, 0, 7, EYE), (3, 1, 8, at(1, 0, 0))]
     placed = spark.createDataFrame([(k, p, i, m.ravel().tolist()) for k, p, i, m in rows], "key int, pos int, part_id int, xf array<double>")
     pairs = collision.colliding_pairs(placed, meshes)
-    assert {tuple(r) for r in pairs.collect()} == {(1, 1, 2), (1, 1, 3), (1, 2, 3), (3, 0, 1)} | {p for p in [tuple(r) for r in pairs.collect()] if p == (1, 0, 1)}
+    # the part of 34 by 10 units at 0 and the one 40 above it are 6 apart; the others cross
+    want = {(1, 1, 2), (1, 1, 3), (1, 2, 3), (3, 0, 1)}
+    assert {tuple(r) for r in pairs.collect()} == want
+    monkeypatch.setattr(collision, "HELD_BYTES", -1)  # meshes joined to the pairs
+    assert {tuple(r) for r in collision.colliding_pairs(placed, meshes).collect()} == want
     fixed = spark.createDataFrame([(3, 1, 0)], "key int, pos int, parent int")
     got = {r["key"]: (r["collisions"], r["first"]) for r in collision.collisions(placed, pairs, fixed).collect()}
     assert got[2] == ([], 2) and got[3] == ([], 2) and got[1][0][-2:] == [2, 3]
-    with pytest.raises(FileNotFoundError):
-        collision.colliding_pairs(placed.withColumn("part_id", F.lit(77)), meshes)
+    with pytest.raises(Exception, match="no mesh for part 77"):
+        collision.colliding_pairs(placed.withColumn("part_id", F.lit(77)), meshes).collect()
+
+
+def test_scene():
+    box = (np.array([[x, y, z] for x in (0.0, 1.0) for y in (0.0, 1.0) for z in (0.0, 1.0)]), np.array([[0, 1, 3], [0, 3, 2], [4, 6, 7], [4, 7, 5], [0, 4, 5], [0, 5, 1], [2, 3, 7], [2, 7, 6], [0, 2, 6], [0, 6, 4], [1, 5, 7], [1, 7, 3]]), np.zeros(3), np.ones(3))
+    scene = collision.Scene()
+    assert scene.hits(box, EYE) == []
+    for m in (EYE, at(3, 0, 0), at(0.5, 0.5, 0.5)):
+        scene.add(box, m)
+    assert scene.hits(box, at(0.9, 0.2, 0.1)) == [0, 2] and scene.hits(box, at(9, 0, 0)) == [] and scene.hits(box, at(3.2, 0.1, 0.1, 45)) == [1]
+
+
+def test_turned_boxes_apart_only_if_no_point_is_in_both():
+    r = np.random.default_rng(9)
+    n = 300
+    turn = np.linalg.qr(r.normal(size=(2 * n, 3, 3)))[0]
+    m = np.tile(np.eye(4), (2 * n, 1, 1))
+    m[:, :3, :3], m[:, :3, 3] = turn, r.normal(0, 1.5, (2 * n, 3))
+    lo, hi = -r.random((2 * n, 3)) - 0.1, r.random((2 * n, 3)) + 0.1
+    lo[5], hi[5] = [0, -1, -1], [0, 1, 1]  # a flat one
+    a, b = collision.Boxes(lo[:n], hi[:n], m[:n]), collision.Boxes(lo[n:], hi[n:], m[n:])
+    apart = collision.parted(a, b)
+    assert 20 < apart.sum() < n - 20
+    grid = np.stack(np.meshgrid(*[np.linspace(0, 1, 12)] * 3), axis=-1).reshape(-1, 3)
+    for k in range(n):
+        p = (lo[k] + grid * (hi[k] - lo[k])) @ m[k, :3, :3].T + m[k, :3, 3]
+        q = (p - m[n + k, :3, 3]) @ m[n + k, :3, :3]
+        inside = ((q >= lo[n + k]) & (q <= hi[n + k])).all(axis=1).any()
+        assert not (inside and apart[k])
 
 
 def test_boxes_apart_like_corners():
@@ -139,9 +183,9 @@ def test_boxes_apart_like_corners():
     lo, hi = -r.random((200, 3)) * 3, r.random((200, 3)) * 3
     m = np.tile(np.eye(4), (200, 1, 1))
     m[:, :3, 3] = r.normal(0, 3, (200, 3))
-    a, b = collision.oriented(lo[:100], hi[:100], m[:100]), collision.oriented(lo[100:], hi[100:], m[100:])
+    a, b = collision.Boxes(lo[:100], hi[:100], m[:100]), collision.Boxes(lo[100:], hi[100:], m[100:])
     want = ((lo[:100] + m[:100, :3, 3] > hi[100:] + m[100:, :3, 3]) | (lo[100:] + m[100:, :3, 3] > hi[:100] + m[:100, :3, 3])).any(axis=1)
-    assert (collision.separated(a, b) == want).all()
+    assert (collision.parted(a, b) == want).all()
 
 
 def test_joins_by_distance_and_box(spark):
