@@ -7,6 +7,7 @@ depends on nodes before it only, so all lines are checked at once and the text i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ARITY, AXLE_MATES, STUD_MATES, canonical_int, degree, flip, i2id, id2i, lookup, n_actions
@@ -19,16 +20,25 @@ def _node_name(line: Column) -> Column:
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_actions, n_lines, names (of all node lines, by position), line_no, line; a missing last line end is added.
+    """key, n_actions, n_lines, line_no, line, parent_name, child_name; a missing last line end is added.
 
-    Null texts and keys give no rows. Rows of a repeated key with different texts would mix: keys must be unique.
+    parent_name and child_name are the parts' names that an edge line joins, null for others; they are looked up while
+    the lines of a text are together, so that no line carries the names of all. Null texts and keys give no rows. Rows
+    of a repeated key with different texts would mix: keys must be unique.
     """
     t = F.when(F.endswith(F.col(text), F.lit("\n")), F.col(text)).otherwise(F.concat(F.col(text), F.lit("\n")))
     x = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), n_actions(F.col(text)).alias("n_actions"), F.split(t, "\n").alias("all"))
     x = x.select("key", "n_actions", F.expr("slice(all, 1, size(all) - 1)").alias("all"))
-    nodes = F.filter("all", lambda _, i: (i == 0) | (i % 2 == 1))
-    x = x.select("key", "n_actions", F.size("all").alias("n_lines"), F.transform(nodes, _node_name).alias("names"), "all")
-    return x.select("key", "n_actions", "n_lines", "names", F.posexplode("all").alias("line_no", "line"))
+    parent = lambda line: id2i(F.substring_index(line, " ", 1)).cast("int")
+    # the node line of part n is line 0 or 2n - 1
+    node = lambda n: F.get("all", F.when(n > 0, 2 * n - 1).otherwise(n))
+    entry = lambda line, i: F.struct(
+        line.alias("line"),
+        F.when((i > 0) & (i % 2 == 0), _node_name(node(parent(line)))).alias("parent_name"),
+        F.when((i > 0) & (i % 2 == 0), _node_name(F.get("all", i - 1))).alias("child_name"),
+    )
+    x = x.select("key", "n_actions", F.size("all").alias("n_lines"), F.posexplode(F.transform("all", entry)).alias("line_no", "e"))
+    return x.select("key", "n_actions", "n_lines", "line_no", "e.line", "e.parent_name", "e.child_name")
 
 
 def parsed_lines(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFrame, connectors: DataFrame) -> DataFrame:
@@ -59,14 +69,14 @@ def parsed_lines(df: DataFrame, key: str, text: str, parts: DataFrame, colors: D
         F.when(fam == "stud", degree(t(6))).when(fam == "axle", degree(t(7))).when(fam == "hinge", degree(t(7))).alias("yaw"),
         F.when(fam.isin("axle", "hinge"), flip(t(6))).alias("flip"), F.when(fam == "axle", canonical_int(t(8))).alias("slide"),
         F.when(fam == "ball", degree(t(6))).alias("rx"), F.when(fam == "ball", degree(t(7))).alias("ry"), F.when(fam == "ball", degree(t(8))).alias("rz"),
-        F.get("names", parent.cast("int")).alias("parent_name"), F.get("names", F.col("pair")).alias("child_name"),
+        "parent_name", "child_name",
     )
     p = parts.groupBy(F.col("name").alias("p_name")).agg(F.max("part_id").alias("part_id"))
     c = colors.groupBy(F.col("name").alias("c_name")).agg(F.max_by("code", "ord").alias("code"))
-    n = connector_counts(connectors).join(parts.select("part_id", "name"), "part_id").select("name", "sub", "pol", "n")
+    n = connector_counts(connectors).join(parts.select("part_id", "name"), "part_id").select("name", "sub", "pol", "n", "part_id")
     x = x.join(p, F.col("name") == F.col("p_name"), "left").join(c, F.col("color") == F.col("c_name"), "left")
     for side in ("parent", "child"):
-        m = n.select(F.col("name").alias("m_name"), F.col("sub").alias("m_sub"), F.col("pol").alias("m_pol"), F.col("n").alias(f"{side}_n"))
+        m = n.select(F.col("name").alias("m_name"), F.col("sub").alias("m_sub"), F.col("pol").alias("m_pol"), F.col("n").alias(f"{side}_n"), F.col("part_id").alias(f"{side}_part"))
         x = x.join(m, (F.col(f"{side}_name") == F.col("m_name")) & (F.col(f"{side}_sub") == F.col("m_sub")) & (F.coalesce(f"{side}_pol", F.lit("")) == F.coalesce("m_pol", F.lit(""))), "left").drop("m_name", "m_sub", "m_pol")
     mates = lambda pairs: F.concat_ws("+", F.least("parent_sub", "child_sub"), F.greatest("parent_sub", "child_sub")).isin(*["+".join(q) for q in pairs])
     right_node = F.col("label").rlike(r"^[a-z]+\z") & F.col("part_id").isNotNull() & F.col("code").isNotNull()
@@ -95,14 +105,13 @@ def scores(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFra
 def trees(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each text up to its first wrong pair.
 
-    nodes: key, pos, part_id, color (its code); edges: key, pos (of the child), parent, family, the subtypes,
-    polarities and connectors of both sides, and the family's parameters (others null).
+    nodes: key, pos, part_id, color (its code); edges: key, pos (of the child), parent, the parts of both, family, the
+    subtypes, polarities and connectors of both sides, and the family's parameters (others null).
     """
     x = parsed_lines(df, key, text, parts, colors, connectors)
-    cut = x.groupBy("key").agg(F.min(F.when(~F.col("ok"), F.col("pair"))).alias("bad"))
-    kept = x.join(cut, "key").where(F.col("bad").isNull() | (F.col("pair") < F.col("bad")))
+    kept = x.withColumn("bad", F.min(F.when(~F.col("ok"), F.col("pair"))).over(W.partitionBy("key"))).where(F.col("bad").isNull() | (F.col("pair") < F.col("bad")))
     nodes = kept.where("is_node").select("key", F.col("pair").alias("pos"), "part_id", F.col("code").alias("color"))
-    edges = kept.where("not is_node").select("key", F.col("pair").alias("pos"), F.col("parent").cast("int").alias("parent"), "family", "parent_sub", "child_sub", "parent_pol", "child_pol", F.col("parent_conn").cast("int").alias("parent_conn"), F.col("child_conn").cast("int").alias("child_conn"), "flip", "yaw", "slide", "rx", "ry", "rz")
+    edges = kept.where("not is_node").select("key", F.col("pair").alias("pos"), F.col("parent").cast("int").alias("parent"), "parent_part", "child_part", "family", "parent_sub", "child_sub", "parent_pol", "child_pol", F.col("parent_conn").cast("int").alias("parent_conn"), F.col("child_conn").cast("int").alias("child_conn"), "flip", "yaw", "slide", "rx", "ry", "rz")
     return nodes, edges
 
 

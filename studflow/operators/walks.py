@@ -219,13 +219,13 @@ def walked(edges: DataFrame, components: DataFrame, seeds: DataFrame, method: st
 def poses(nodes: DataFrame, edges: DataFrame, connectors: DataFrame) -> DataFrame:
     """key, pos, part_id, color, xf of trees (nodes key, pos, part_id, color; edges as the grammar gives them): the
     root lies at the origin, each child where its edge puts it relative to its parent."""
-    c = connectors.select("part_id", "sub", "pol", "subgroup_idx", "frame")
     x = edges
-    n = nodes.select("key", "pos", "part_id")
-    x = x.join(n.select("key", F.col("pos").alias("parent"), F.col("part_id").alias("pp")), ["key", "parent"]).join(n.select("key", "pos", F.col("part_id").alias("cp")), ["key", "pos"])
-    for s, part in (("parent", "pp"), ("child", "cp")):
-        d = c.select(F.col("part_id").alias(part), F.col("sub").alias(f"{s}_sub"), F.coalesce("pol", F.lit("")).alias(f"{s}_p"), F.col("subgroup_idx").alias(f"{s}_conn"), F.col("frame").alias(f"{s}_frame"))
-        x = x.withColumn(f"{s}_p", F.coalesce(f"{s}_pol", F.lit(""))).join(d, [part, f"{s}_sub", f"{s}_p", f"{s}_conn"])
+    # connectors are a table of the catalogue; a part's frames of a subtype and polarity are one row
+    c = connectors.groupBy("part_id", "sub", F.coalesce("pol", F.lit("")).alias("p")).agg(F.map_from_entries(F.collect_list(F.struct("subgroup_idx", "frame"))).alias("frames"))
+    for s in ("parent", "child"):
+        d = c.select(F.col("part_id").alias(f"{s}_part"), F.col("sub").alias(f"{s}_sub"), F.col("p").alias(f"{s}_p"), F.col("frames").alias(f"{s}_frames"))
+        x = x.withColumn(f"{s}_p", F.coalesce(f"{s}_pol", F.lit(""))).join(d, [f"{s}_part", f"{s}_sub", f"{s}_p"])
+        x = x.withColumn(f"{s}_frame", F.try_element_at(f"{s}_frames", F.col(f"{s}_conn"))).where(F.col(f"{s}_frame").isNotNull()).drop(f"{s}_frames")
     e = x.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "parent", "family", "parent_pol", "flip", "yaw", "slide", "rx", "ry", "rz", "parent_frame", "child_frame"))).alias("edges"))
     t = nodes.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "part_id", "color"))).alias("nodes")).join(e, "key", "left")
     kind = t.schema["key"].dataType.simpleString()
@@ -341,7 +341,7 @@ def sampled(edges: DataFrame, components: DataFrame, nodes: DataFrame, connector
 
     def one(r, own: pd.DataFrame) -> list[Visit]:
         part = {n["node"]: n["part_id"] for n in r.nodes}
-        mesh = held.value if held else {m["part_id"]: mesh_of({**m, "vertices": np.stack(m["vertices"]), "faces": np.stack(m["faces"])}) for m in (r.meshes if r.meshes is not None else ())}
+        mesh = held.value if held else {m["part_id"]: mesh_of(m) for m in (r.meshes if r.meshes is not None else ())}
         steps: list[np.ndarray] = []
         if len(own):
             stack = lambda col: np.stack([np.asarray(v, dtype=float) for v in own[col]])
@@ -393,4 +393,4 @@ def trees_of(walk: DataFrame, nodes: DataFrame, connectors: DataFrame) -> tuple[
         c = connectors.select(F.col("part_id").alias(part), F.col("conn_idx").alias(conn), F.col("sub").alias(f"{s}_sub"), F.col("pol").alias(f"{s}_pol"), F.col("subgroup_idx").alias(f"{s}_conn"))
         e = e.join(c, [part, conn])
     q = tree_edge(F.col("family"), way, F.col("yaw"), F.col("flip"), F.col("rot"))
-    return n, e.select(key, "pos", F.col("parent_pos").alias("parent"), "family", "parent_sub", "child_sub", "parent_pol", "child_pol", "parent_conn", "child_conn", *[v.alias(k) for k, v in q.items()])
+    return n, e.select(key, "pos", F.col("parent_pos").alias("parent"), "parent_part", F.col("part_id").alias("child_part"), "family", "parent_sub", "child_sub", "parent_pol", "child_pol", "parent_conn", "child_conn", *[v.alias(k) for k, v in q.items()])

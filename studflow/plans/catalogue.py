@@ -400,7 +400,8 @@ def path_poses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = _placed(spark, d).select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf")
+    # the nodes are read by each of the joins that find joints
+    nodes = checkpointed(_placed(spark, d).select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf"))
     return nodes, assembly.graph_edges(nodes, load(spark, d, "connectors"))
 
 
@@ -427,14 +428,15 @@ def box_meshes(connectors: DataFrame, margin: float = 4.0) -> DataFrame:
 def path_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Which placements of each path hit an earlier part, with boxes for meshes."""
     nodes, edges = _trees(spark, d)
-    placed = walks.poses(nodes, edges, load(spark, d, "connectors"))
+    placed = checkpointed(walks.poses(nodes, edges, load(spark, d, "connectors")))
     pairs = collision.colliding_pairs(placed, box_meshes(load(spark, d, "connectors")))
     return collision.collisions(placed, pairs, edges.where("family = 'fixed'").select("key", "pos", "parent")).select(F.col("key").alias("path_id"), F.array_join(F.transform("collisions", lambda v: v.cast("string")), ",").alias("collisions"), "first")
 
 
 def _walked(spark: SparkSession, d: str, method: str) -> DataFrame:
     parts, colors, connectors = _catalogue(spark, d)
-    nodes, edges = (checkpointed(x) for x in _graph(spark, d))  # each is used several times
+    nodes, edges = _graph(spark, d)
+    edges = checkpointed(edges)  # used several times
     comps = assembly.graph_components(nodes, edges)
     seeds = comps.where("size >= 2").select("graph_id", "component_index").distinct().withColumn("seed", F.lit(0 if method == "random" else None).cast("bigint"))
     text = grammar.serialized(*walks.trees_of(walks.walked(edges, comps, seeds, method), nodes, connectors), parts, colors)

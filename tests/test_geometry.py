@@ -7,6 +7,7 @@ from studflow.functions.scalar import AXLE_MATES, STUD_MATES
 from studflow.operators import assembly, catalog, collision, grammar, offsets, spatial, walks
 from studflow.operators.components import connected_components
 from studflow.plans.catalogue import box_meshes
+from studflow.tables import checkpointed
 
 from .test_grammar import CONNS, GOOD, PARTS, catalogue  # noqa: F401
 
@@ -21,7 +22,7 @@ def at(x, y, z, turn=0.0):
 
 def graph(spark, catalogue, rows):  # noqa: F811
     nodes = spark.createDataFrame([(g, n, p, 4, m.ravel().tolist()) for g, n, p, m in rows], "graph_id int, node int, part_id int, color int, xf array<double>")
-    return nodes, assembly.graph_edges(nodes, catalogue[2])
+    return nodes, checkpointed(assembly.graph_edges(nodes, catalogue[2]))
 
 
 @pytest.mark.parametrize("rows,want", [
@@ -93,8 +94,8 @@ def test_poses_and_walks_agree(spark, catalogue):  # noqa: F811
     got = {(r["key"], r["pos"]): np.reshape(r["xf"], (4, 4)) for r in placed.collect()}
     assert np.allclose(got[0, 1], at(0, -24, 0, 90)) and np.allclose(got[1, 1], at(0, 5, 0)) and np.allclose(got[0, 0], EYE)
     # joints found in the placed models, walked and decoded, give the same geometry again
-    n = placed.select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf")
-    e = assembly.graph_edges(n, catalogue[2])
+    n = checkpointed(placed.select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf"))
+    e = checkpointed(assembly.graph_edges(n, catalogue[2]))
     c = assembly.graph_components(n, e)
     assert c.select("graph_id", "component_index").distinct().count() == len(GOOD)
     again = {(r["graph_id"], r["node"]): np.reshape(r["xf"], (4, 4)) for r in walks.decoded(e, c, n, catalogue[2]).collect()}
@@ -150,7 +151,7 @@ def test_collisions(spark, catalogue, monkeypatch):  # noqa: F811
 
 
 def test_scene():
-    box = (np.array([[x, y, z] for x in (0.0, 1.0) for y in (0.0, 1.0) for z in (0.0, 1.0)]), np.array([[0, 1, 3], [0, 3, 2], [4, 6, 7], [4, 7, 5], [0, 4, 5], [0, 5, 1], [2, 3, 7], [2, 7, 6], [0, 2, 6], [0, 6, 4], [1, 5, 7], [1, 7, 3]]), np.zeros(3), np.ones(3))
+    box = collision.Mesh([[x, y, z] for x in (0.0, 1.0) for y in (0.0, 1.0) for z in (0.0, 1.0)], [[0, 1, 3], [0, 3, 2], [4, 6, 7], [4, 7, 5], [0, 4, 5], [0, 5, 1], [2, 3, 7], [2, 7, 6], [0, 2, 6], [0, 6, 4], [1, 5, 7], [1, 7, 3]], np.zeros(3), np.ones(3))
     scene = collision.Scene()
     assert scene.hits(box, EYE) == []
     for m in (EYE, at(3, 0, 0), at(0.5, 0.5, 0.5)):
