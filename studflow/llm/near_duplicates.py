@@ -2,8 +2,8 @@
 
 A set-similarity self-join over the distinct word runs of each record, by rare-first prefix filtering:
 
-1. one pass counts the runs in a table of fixed size, which gives the rare-first order (any fixed order is exact;
-   collisions in the table only make it a little less sharp);
+1. one pass counts the runs in a table that grows with the input, which gives the rare-first order (any fixed order
+   is exact; collisions in the table only make it less sharp);
 2. each record's runs are put in that order; its prefix is what two records of the wanted similarity must share at
    least one run of. The prefixes are shuffled by run, column-wise and packed, with a parity map of each record's
    set (two to four bits for each run in it);
@@ -29,13 +29,24 @@ from ..tables import checkpointed, spread
 from . import flat
 from .flat import pack, unpack
 
-SKETCH_BITS = 20
+#: The table of counts has a slot for every eight runs or so, within these bounds (2^20 to 2^24 slots).
+SKETCH_BITS = (20, 24)
+#: A count is kept as six times its binary logarithm in one byte: exact enough to order and to cut by, up to 4e12.
+STEPS = 6
+#: Runs are told apart by so many bits of their hash in the filters: 32, and more where there are more runs.
+TOKEN_BITS = (32, 43)
 #: Parity maps have 128 bits, or 2, 4, 8 ... times as many.
 LEVELS = 12
 #: A run whose count is above this is split into blocks of records that meet block by block.
 HOT = 200_000
 #: Pairs looked at in one go.
 CHUNK = 2_000_000
+#: Records taken together; their number has to fit 13 bits of a sort key.
+SLICE = 5_000
+#: Prefix entries of a bucket, which one task holds; and buckets of one round over the texts.
+ENTRIES, ROUND = 2_000_000, 16_000
+#: Copies of one class meet in blocks of so many.
+BLOCK = 500
 
 
 def runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,17 +57,37 @@ def runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, bounds, np.diff(of_text)
 
 
-def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How often runs occur, by the first bits of their hash: a table of 2^bits counts, whatever the input's size."""
-    chunk = 1 << 14
+def codes(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: 0 for none, else 1 and STEPS times the binary logarithm."""
+    return np.where(counts > 0, np.minimum(1 + np.round(STEPS * np.log2(np.maximum(counts, 1))), 255), 0).astype(np.uint8)
+
+
+def counts_of(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, np.round(2.0 ** ((code.astype(float) - 1) / STEPS)), 0).astype(np.int64)
+
+
+def sketch_bits(chars: float) -> int:
+    """For texts of so many characters; a run begins with each word, of about six characters."""
+    return int(np.clip(math.ceil(math.log2(max(chars / 6 / 8, 1))), *SKETCH_BITS))
+
+
+def token_bits(chars: float) -> int:
+    """So many that a run meets few others by chance: 16 for each run there is, where 43 bits are enough for that."""
+    return int(np.clip(math.ceil(math.log2(max(chars / 6, 1))) + 4, *TOKEN_BITS))
+
+
+def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS[0]) -> np.ndarray:
+    """How often runs occur, by the first bits of their hash: a table of 2^bits counts (as codes)."""
+    chunk = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            h, _, _ = runs(b.column(0).to_pylist(), n)
-            total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for lo in range(0, b.num_rows, SLICE):
+                h, _, _ = runs(b.column(0).slice(lo, SLICE).to_pylist(), n)
+                np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
         if total.any():
-            parts = total.astype(np.uint32).reshape(-1, chunk)
+            parts = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).reshape(-1, chunk)
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "counts": pa.array([pack(c=p) for p in parts], pa.binary())})
 
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -64,19 +95,21 @@ def sketch(texts: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
         total = np.zeros(chunk, dtype=np.int64)
         for blob in frame["counts"]:
             total += unpack(blob, "u4")[0]
-        return pd.DataFrame({"chunk": [key[0]], "counts": [pack(c=np.minimum(total, 0xFFFFFFFF).astype(np.uint32))]})
+        return pd.DataFrame({"chunk": [key[0]], "counts": [pack(c=codes(total))]})
 
-    out = texts.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    total = np.zeros(1 << bits, dtype=np.uint32)
+    # each task sends a whole table, so there are no more of them than cores
+    few = texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, 1)) if bits > SKETCH_BITS[0] else texts
+    out = few.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    total = np.zeros(1 << bits, dtype=np.uint8)
     for row in out.toLocalIterator():
-        total[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = unpack(bytes(row["counts"]), "u4")[0]
+        total[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = unpack(bytes(row["counts"]), "u1")[0]
     return total
 
 
 def prefix_lengths(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the probing prefix and of the shorter indexed prefix (for the smaller record of a pair).
 
-    One more than needed, as two runs of a record may have the same 32 bits.
+    One more than needed, as two runs of a record may have the same bits of their hash.
     """
     probe = size - np.ceil(t * size - 1e-9).astype(np.int64) + 2
     index = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 2
@@ -120,15 +153,16 @@ class Maps:
         return out
 
 
-def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, buckets: int, bits: int = TOKEN_BITS[0], wanted: tuple[int, int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings) of the records, for the buckets wanted[0] to wanted[1]."""
     h, bounds, words = runs(texts, n)
     enough = words >= min_words
     sizes = np.where(enough, np.diff(bounds), 0)
     keep = np.repeat(enough, np.diff(bounds))
     h = h[keep]
     keys, bounds = keys[enough], np.concatenate(([0], np.cumsum(sizes[enough])))
-    # runs are told apart by 32 bits of their hash here, by 44 when a pair is verified
-    h, bounds = flat.distinct_in_text(h, bounds, 32)
+    # runs are told apart by these bits of their hash here, by 44 when a pair is verified
+    h, bounds = flat.distinct_in_text(h, bounds, bits)
     size = np.diff(bounds)
     if not len(size):
         return
@@ -151,38 +185,42 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     parity = (np.bincount(start[rec] + bit, minlength=start[-1]) & 1).astype(np.uint8)
     maps = np.packbits(parity, bitorder="little").view(np.uint64)
     # rare first: by count, then by the run's hash
-    bits = int(len(counts)).bit_length() - 1
-    often = np.minimum(counts[(h >> np.uint64(32 - bits)).astype(np.int64)], 0x3FFFF).astype(np.uint64)
-    order = np.sort((rec.astype(np.uint64) << np.uint64(50)) | (often << np.uint64(32)) | h)
+    slot = int(len(counts)).bit_length() - 1
+    low = flat.U((1 << bits) - 1)
+    count_of = lambda h: counts[(h >> flat.U(bits - slot)).astype(np.int64)]
+    h = np.sort((rec.astype(np.uint64) << flat.U(bits + 8)) | (count_of(h).astype(np.uint64) << flat.U(bits)) | h) & low
     place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
     probe, _ = prefix_lengths(size, t)
-    often = (order >> np.uint64(32)) & np.uint64(0x3FFFF)
-    sel = (place < probe[rec]) & (often > 1) & leads[rec]
-    h, often, rec, place = order[sel] & np.uint64(0xFFFFFFFF), often[sel], rec[sel], place[sel]
-    token, side = h.astype(np.uint32), np.zeros(len(h), dtype=np.uint8)
+    sel = np.flatnonzero((place < probe[rec]) & leads[rec])
+    often = counts_of(count_of(h[sel]))
+    sel, often = sel[often > 1], often[often > 1]
+    token, rec, place = h[sel], rec[sel], place[sel]
+    side = np.zeros(len(token), dtype=np.uint8)
     hot = np.flatnonzero(often > HOT)
     if len(hot):
         # a hot run meets in blocks: block r of its records goes to every pair of blocks that has r
-        blocks = -(-often[hot].astype(np.int64) // HOT)
+        blocks = -(-often[hot] // HOT)
         row = (ids[rec[hot]] % blocks.astype(np.uint64)).astype(np.int64)
         times = np.repeat(np.arange(len(hot)), blocks)
         other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        low, high = np.minimum(row[times], other), np.maximum(row[times], other)
-        pair = flat.mix(h[hot][times] + (low * 65537 + high).astype(np.uint64) * flat.MIX_B)
+        lower, high = np.minimum(row[times], other), np.maximum(row[times], other)
+        pair = flat.mix(token[hot][times] + flat.mix((lower << 32 | high).astype(np.uint64)))
         rest = often <= HOT
         src = hot[times]
-        new_side = np.where(low == high, 0, np.where(row[times] == low, 1, 2)).astype(np.uint8)
-        token = np.concatenate((token[rest], (pair >> np.uint64(32)).astype(np.uint32)))
+        new_side = np.where(lower == high, 0, np.where(row[times] == lower, 1, 2)).astype(np.uint8)
+        token = np.concatenate((token[rest], pair >> flat.U(64 - bits)))
         side = np.concatenate((side[rest], new_side))
         rec, place = np.concatenate((rec[rest], rec[src])), np.concatenate((place[rest], place[src]))
-    bucket = (flat.mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    bucket = (flat.mix(token) % flat.U(buckets)).astype(np.int64)
     home = np.full(len(size), -1, dtype=np.int64)
     home[rec[::-1]] = bucket[::-1]
     order = np.lexsort((token, bucket))
     token, side, rec, place, bucket = token[order], side[order], rec[order], place[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        lo, hi = cuts[b], cuts[b + 1]
+    first, last = wanted or (0, buckets)
+    cuts = np.searchsorted(bucket, np.arange(first, last + 1))
+    narrow = np.uint32 if bits <= 32 else np.uint64
+    for b in range(first, last):
+        lo, hi = cuts[b - first], cuts[b - first + 1]
         if lo == hi:
             continue
         used, local = np.unique(rec[lo:hi], return_inverse=True)
@@ -190,17 +228,14 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
         own = [(k, c) for k in np.flatnonzero(at_home) for c in copies.get(int(used[k]), ())]
         yield b, pack(
             ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=np.concatenate([maps[start[k] // 64 : start[k + 1] // 64] for k in used]), home=at_home.astype(np.uint8),
-            token=np.diff(token[lo:hi].astype(np.int64), prepend=0).astype(np.uint32), rec=local.astype(np.uint16), place=place[lo:hi].astype(np.uint32), side=side[lo:hi],
+            token=np.diff(token[lo:hi].astype(np.int64), prepend=0).astype(narrow), rec=local.astype(np.uint16), place=place[lo:hi].astype(np.uint32), side=side[lo:hi],
             copy_of=np.array([k for k, _ in own], dtype=np.uint16), copy=np.array([c for _, c in own], dtype=np.int64),
         )
 
 
-LAYOUT = ("u8", "i8", "u4", "u8", "u1", "u4", "u2", "u4", "u1", "u2", "i8")
-
-
-def _meet(blobs: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
+def _meet(blobs: list[bytes], t: float, bits: int = TOKEN_BITS[0]) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: the candidate pairs (of class representatives) and the (representative, copy) pairs."""
-    parts = [unpack(b, *LAYOUT) for b in blobs]
+    parts = [unpack(b, "u8", "i8", "u4", "u8", "u1", "u4" if bits <= 32 else "u8", "u2", "u4", "u1", "u2", "i8") for b in blobs]
     counts = np.array([len(p[0]) for p in parts])
     shift = np.concatenate(([0], np.cumsum(counts)))[:-1]
     ids, keys, size, home = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2, 4))
@@ -223,6 +258,8 @@ def _meet(blobs: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
     rec = leader[rec]
     size = size.astype(np.int64)
     _, index = prefix_lengths(size, t)
+    if bits > 32:  # numbered, to fit beside a size
+        token = np.unique(token, return_inverse=True)[1].astype(np.uint64)
     merged = (token << np.uint64(32)) | size[rec].astype(np.uint64)
     order = np.lexsort((side, rec, merged))
     merged, rec, place, side = merged[order], rec[order], place[order], side[order]
@@ -259,21 +296,31 @@ def _meet(blobs: list[bytes], t: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n: int = 5, min_words: int = 60, buckets: int | None = None) -> DataFrame:
-    """kind 0: pairs a < b of class representatives that may be similar; kind 1: a is the representative, b a copy."""
+    """kind 0: pairs a < b of class representatives that may be similar; kind 1: a is the representative, b a copy.
+
+    A bucket is a share of the runs, about ENTRIES prefix entries whatever the input, and is held by one task; more
+    buckets than ROUND are taken in rounds over the texts.
+    """
     base = spread(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1) & F.col("key").isNotNull()))
-    counts = sketch(base.select("text"), n)
+    chars = float(base.agg(F.sum(F.length("text"))).first()[0] or 0)
+    bits = token_bits(chars)
+    counts = sketch(base.select("text"), n, sketch_bits(chars))
     if buckets is None:
-        # about four million prefix entries a bucket; at least a bucket a core
-        entries = 0.31 * float(counts.sum(dtype=np.float64))
+        # about a third of the runs are in prefixes; at least a bucket a core
         cores = df.sparkSession.sparkContext.defaultParallelism
-        buckets = int(min(32_000, max(cores, math.ceil(entries / 4e6))))
+        buckets = max(cores, math.ceil(0.31 * chars / 6 / ENTRIES))
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(_postings(b.column(0).to_numpy(), b.column(1).to_pylist(), n, threshold, min_words, shared.value, buckets))
-            if rows:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.large_binary())})
+    def post(wanted: tuple[int, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, SLICE):
+                    b = batch.slice(lo, SLICE)
+                    rows = list(_postings(b.column(0).to_numpy(), b.column(1).to_pylist(), n, threshold, min_words, shared.value, buckets, bits, wanted))
+                    if rows:
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] - wanted[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.large_binary())})
+
+        return run
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[bytes]] = {}
@@ -281,16 +328,20 @@ def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(k, []).append(blob)
         for k in list(by):
-            pairs, members = _meet(by.pop(k), threshold)
+            pairs, members = _meet(by.pop(k), threshold, bits)
             for kind, x in ((0, pairs), (1, members)):
                 for at in range(0, len(x), 100_000):
                     y = x[at : at + 100_000]
                     yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(y), kind), pa.int32()), "a": pa.array(y[:, 0], pa.int64()), "b": pa.array(y[:, 1], pa.int64())})
 
-    posted = base.mapInArrow(post, "bucket int, blob binary")
-    # the buckets are the partitions
-    placed = posted.repartitionById(buckets, F.col("bucket"))
-    return placed.mapInArrow(meet, "kind int, a bigint, b bigint")
+    out = None
+    for lo in range(0, buckets, ROUND):
+        wanted = lo, min(lo + ROUND, buckets)
+        posted = base.mapInArrow(post(wanted), "bucket int, blob binary")
+        # the buckets are the partitions
+        met = posted.repartitionById(wanted[1] - lo, F.col("bucket")).mapInArrow(meet, "kind int, a bigint, b bigint")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n: int = 5) -> DataFrame:
@@ -301,7 +352,7 @@ def verified(pairs: DataFrame, df: DataFrame, key: str, text: str, *, threshold:
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(lo, SLICE) for x in batches for lo in range(0, x.num_rows, SLICE)):
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keys, first = np.unique(np.concatenate((a, b)), return_index=True)
             ta, tb = batch.column(2), batch.column(3)
@@ -343,15 +394,31 @@ def similar_classes(df: DataFrame, key: str, text: str, **options) -> tuple[Data
 
 
 def similar_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """key_a < key_b: all pairs of similar records, those between copies of the linked classes included."""
+    """key_a < key_b: all pairs of similar records, those between copies of the linked classes included.
+
+    A class is cut into blocks of about BLOCK members, and blocks meet, so that no task gets all pairs of a large one.
+    """
     links, copies = similar_classes(df, key, text, **options)
     links = checkpointed(links)
     # members of each class that has copies; links between classes without copies need no join
     classes = checkpointed(copies.select(F.col("a").alias("rep"), F.col("b").alias("key")))
-    whole = classes.unionByName(classes.select("rep", F.col("rep").alias("key")).distinct())
-    within = whole.alias("x").join(whole.alias("y"), F.col("x.rep") == F.col("y.rep")).where(F.col("x.key") < F.col("y.key")).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
-    left = links.select("a", "b").join(whole.select(F.col("rep").alias("a"), F.col("key").alias("ka")), "a", "left").select(F.coalesce("ka", "a").alias("ka"), "b")
-    both = left.join(whole.select(F.col("rep").alias("b"), F.col("key").alias("kb")), "b", "left").select("ka", F.coalesce("kb", "b").alias("kb"))
+    sizes = classes.groupBy("rep").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("n"))
+    salts = 64
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    whole = classes.unionByName(sizes.select("rep", F.col("rep").alias("key"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    # the members' blocks; the salt spreads the members of a large class over the join
+    whole = checkpointed(whole.join(salted, ["rep", "salt"]).select("rep", "key", "n", F.pmod(F.xxhash64("key", "rep"), F.col("n")).cast("int").alias("block")))
+    met = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("rep", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    x, y = met.where("block = lo").alias("x"), met.where("block = hi").alias("y")
+    one = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.key") < F.col("y.key"))
+    within = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & one)
+    within = within.select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))
+    both = links.select("a", "b")
+    for s in "ab":
+        n = sizes.select(F.col("rep").alias(s), F.col("n").alias("n"))
+        both = both.join(n, s, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
+        own = whole.select(F.col("rep").alias(s), "block", F.col("key").alias(f"k{s}"))
+        both = both.join(own, [s, "block"], "left").withColumn(f"k{s}", F.coalesce(f"k{s}", s)).drop("block")
     across = both.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
     return across.unionByName(within)
 

@@ -78,6 +78,82 @@ def test_hot_runs_meet_in_blocks(spark, monkeypatch):
         assert a == b or (min(a, b), max(a, b)) in links
 
 
+def met(batches, counts, buckets=2, bits=32):
+    """The links and the members (copy: representative) of records posted batch by batch."""
+    blobs, links, members = {}, set(), {}
+    for rows in batches:
+        for b, blob in near_duplicates._postings(np.array([k for k, _ in rows]), [t for _, t in rows], 5, 0.7, 60, counts, buckets, bits):
+            blobs.setdefault(b, []).append(blob)
+    for x in blobs.values():
+        pairs, copies = near_duplicates._meet(x, 0.7, bits)
+        links |= {tuple(sorted(p)) for p in pairs.tolist()}
+        members |= {b: a for a, b in copies.tolist()}
+    return links, members
+
+
+@pytest.mark.parametrize("bits", [33, 43])
+def test_wider_hashes_find_the_same(spark, bits):
+    rows = list(enumerate(texts(6, 80)))
+    counts = near_duplicates.sketch(frame(spark, rows).select("body"), 5, 21)
+    links, members = met([rows], counts, 3, bits)
+    for a, b in similar(rows):
+        a, b = members.get(a, a), members.get(b, b)
+        assert a == b or (min(a, b), max(a, b)) in links
+
+
+def test_a_batch_of_any_size(spark):
+    # two true pairs among more records than a sort key once had room for, in one batch
+    r = random.Random(8)
+    body = [" ".join(f"{k}x{r.randrange(10**6)}" for _ in range(62)) for k in range(20_000)]
+    rows = list(enumerate([*body, body[3] + " more", body[19_990] + " more"]))
+    df = spark.createDataFrame(rows, "id bigint, body string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        got = {tuple(x) for x in near_duplicates.similar_pairs(df, "id", "body").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(3, 20_000), (19_990, 20_001)}
+
+
+def test_a_run_ten_times_as_hot(monkeypatch):
+    # one run in all of 300 records: cut into ten blocks, of which each pair meets; no bucket gets all of it
+    monkeypatch.setattr(near_duplicates, "HOT", 30)
+    r = random.Random(9)
+    hot = "h1 h2 h3 h4 h5"
+    rows = []
+    for k in range(0, 300, 2):
+        t = hot + " " + " ".join(f"{k}y{r.randrange(10**6)}" for _ in range(70))
+        rows += [(k, t), (k + 1, t + " end")]
+    counts = np.full(1 << 20, near_duplicates.codes(np.array([300]))[0], dtype=np.uint8)
+    assert abs(int(near_duplicates.counts_of(counts[:1])[0]) - 300) < 40
+    links, _ = met([rows[:150], rows[150:]], counts, 4)
+    assert {(k, k + 1) for k in range(0, 300, 2)} <= links
+    # 10 million records: 50 blocks
+    monkeypatch.setattr(near_duplicates, "HOT", 200_000)
+    counts[:] = near_duplicates.codes(np.array([10_000_000]))[0]
+    blobs = dict(near_duplicates._postings(np.array([1]), [rows[0][1]], 5, 0.7, 60, counts, 1))
+    postings = len(near_duplicates.unpack(blobs[0], "u8", "i8", "u4", "u8", "u1", "u4")[5])
+    prefix = int(near_duplicates.prefix_lengths(np.array([71]), 0.7)[0][0])
+    assert 45 * prefix <= postings <= 55 * prefix
+
+
+def test_large_classes_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    t = texts(11, 3, 90)
+    base = [x for x in t if len(x.split(" ")) >= 60] or [" ".join(WORDS[:80])]
+    rows = [(k, base[0] + " tail" * (k % 2)) for k in range(60)]
+    got = [tuple(x) for x in near_duplicates.similar_pairs(frame(spark, rows), "id", "body", buckets=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == similar(rows)
+
+
+def test_rounds_over_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "ROUND", 2)
+    rows = list(enumerate(texts(12, 60)))
+    got = [tuple(x) for x in near_duplicates.similar_pairs(frame(spark, rows), "id", "body", buckets=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == similar(rows)
+
+
 def test_groups(spark):
     rows = list(enumerate(texts(3, 80)))
     got = {r["key"]: r["class_id"] for r in near_duplicates.groups(frame(spark, rows), "id", "body").collect()}
