@@ -29,7 +29,7 @@ from ..tables import checkpointed, spread
 from . import flat
 from .flat import pack, unpack
 
-#: The table of counts has a slot for every eight runs or so, within these bounds (2^20 to 2^24 slots).
+#: The table of counts has a slot for every 64 runs or so, within these bounds (2^20 to 2^24 slots, a byte each).
 SKETCH_BITS = (20, 24)
 #: A count is kept as six times its binary logarithm in one byte: exact enough to order and to cut by, up to 4e12.
 STEPS = 6
@@ -68,7 +68,7 @@ def counts_of(code: np.ndarray) -> np.ndarray:
 
 def sketch_bits(chars: float) -> int:
     """For texts of so many characters; a run begins with each word, of about six characters."""
-    return int(np.clip(math.ceil(math.log2(max(chars / 6 / 8, 1))), *SKETCH_BITS))
+    return int(np.clip(math.ceil(math.log2(max(chars / 6 / 64, 1))), *SKETCH_BITS))
 
 
 def token_bits(chars: float) -> int:

@@ -95,6 +95,11 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def p7_program(spark: SparkSession, d: str) -> DataFrame:
+    """How many sequences are used, and how few any packing could use."""
+    return packing.report(load(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Items and documents that share at least 13 words in a row."""
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("item_id", "doc_id")
@@ -121,7 +126,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sources, p1_limits, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches, p7_found, p7_packed, p8_found, p8_documents, p8_items, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_sources, p1_limits, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_shared, p5_stretches, p7_found, p7_packed, p7_program, p8_found, p8_documents, p8_items, p9_found, p9_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

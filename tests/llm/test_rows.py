@@ -1,8 +1,10 @@
 """Truncation, splits, packing and personal information."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("studflow.llm")
@@ -116,20 +118,54 @@ def test_packing(spark):
             assert (p, o) == (k, at)
             at += n
     assert len(size) <= -(-sum(want.values()) // packing.CAPACITY) * 1.02 + 1
-    assert {x["key"] for x in packing.oversized(df, "doc_id", "text").collect()} == {9001, 9002}
+    report = packing.report(df, "doc_id", "text").first()
+    assert report["n_sequences"] == len(size) and report["n_tokens"] == sum(want.values()) and report["bound"] <= len(size)
+    assert {x["key"] for x in packing.oversized(df.where("doc_id > 600"), "doc_id", "text").collect()} == {9001, 9002}
     assert packing.packed(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_configurations_cover():
-    r = random.Random(5)
-    counts = {s: r.randrange(1, 400) for s in r.sample(range(1, 801), 60)}
-    plan, used = packing.configure(counts), Counter()
+def covered(plan, capacity):
+    used = Counter()
     for config, n in plan:
-        assert sum(s * a for s, a in config) <= 800
+        assert n > 0 and sum(s * a for s, a in config) <= capacity
         for s, a in config:
             used[s] += a * n
-    assert used == counts
-    assert sum(n for _, n in plan) <= sum(s * n for s, n in counts.items()) / 800 * 1.03 + 2
+    return used
+
+
+@pytest.mark.parametrize("seed,most,scale", [(5, 60, 1), (6, 300, 1), (7, 60, 1_000_000), (8, 5, 1000)])
+def test_configurations_cover(seed, most, scale):
+    r = random.Random(seed)
+    counts = {s: r.randrange(1, 400) * scale for s in r.sample(range(1, 801), most)}
+    plan, value, bound = packing.configure(counts, 800)
+    assert covered(plan, 800) == counts
+    n = sum(n for _, n in plan)
+    assert bound <= n
+    assert bound >= sum(s * n for s, n in counts.items()) / 800 - 1e-6
+    if most >= 60:
+        assert n <= bound * 1.02 + 2 and value <= bound * 1.02 + 1
+
+
+@pytest.mark.parametrize("counts", [{413: 10**9}, {900: 10**9}, {900: 10**9, 800: 10**9 + 1, 1600: 7}, {1: 10**9}])
+def test_as_many_items_as_may_be(counts):
+    began = time.time()
+    plan, value, bound = packing.configure(counts, 1600)
+    assert covered(plan, 1600) == counts and time.time() - began < 1
+    n = sum(n for _, n in plan)
+    assert bound <= n <= bound * 1.005 + 1
+
+
+def test_pricing_like_all_configurations():
+    sizes, value = np.array([2, 3, 5]), np.array([2.1, 3.3, 5.0])
+    all_ = [(a, b, c) for a in range(6) for b in range(4) for c in range(3) if 2 * a + 3 * b + 5 * c <= 11]
+    best = packing.best_values(sizes, value, 11)
+    assert best[-1] == pytest.approx(max(a * 2.1 + b * 3.3 + c * 5.0 for a, b, c in all_))
+    got = packing.columns(best, sizes, value, np.array([9.0, 9.0, 9.0]), 0.1, np.random.default_rng(0))
+    assert len(got) > 1
+    for k, a in got:
+        assert (sizes[k] * a).sum() <= 11 and (value[k] * a).sum() >= 0.9 * best[-1] - 1e-9
+    for k, a in packing.columns(best, sizes, value, np.array([1.0, 0.5, 0.0]), 0.9, np.random.default_rng(0)):
+        assert set(k) <= {0, 1} and (a == 1).all()
 
 
 CASES = [
