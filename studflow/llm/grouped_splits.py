@@ -11,12 +11,17 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+from ..tables import checkpointed
+
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Parts of a hash range that a bundle's components are counted in, so that no bundle is ranked in one task.
-RANKS = 1024
+#: Ways of writing one model that meet in one task; more are met block by block.
+WAYS = 1000
+#: Components of more rows than this are spread over so many parts of a join. A table of n rows has at most n / LARGE
+#: of them, so their names may be broadcast: some megabytes at ten billion rows.
+LARGE, SALTS = 100_000, 64
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _PLAIN = "".join(chr(0x21 + i) for i in range(94))
 
@@ -37,18 +42,6 @@ def model_of(source: Column) -> Column:
     return F.when(source.isNull(), None).when(bare.rlike(named), pick(named)).when(bare.rlike(anywhere), pick(anywhere)).otherwise(F.trim(s))
 
 
-def same_model(df: DataFrame, source: str) -> DataFrame:
-    """source_a < source_b: pairs of different strings that denote the same model.
-
-    Null sources pair with nothing. The strings of one model are few (ways of writing it), whatever its rows; they are
-    reduced to distinct ones before they meet.
-    """
-    s = df.select(F.col(source).alias("source")).where(F.col("source").isNotNull()).distinct().withColumn("model", model_of(F.col("source")))
-    a, b = s.select("model", F.col("source").alias("source_a")), s.select("model", F.col("source").alias("source_b"))
-    # UTF-8 bytes have the order of code points
-    return a.join(b, "model").where("source_a < source_b").select("source_a", "source_b")
-
-
 def min_cost_flow(edges: list[tuple[str, str, float, float]], source: str, sink: str) -> dict[tuple[str, str], float]:
     """The cheapest largest flow, by shortest augmenting paths. Edges are (from, to, capacity, cost); parallel edges
     between the same nodes add up in the result."""
@@ -139,30 +132,68 @@ def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float] = SHA
     return plan
 
 
-def splits(df: DataFrame, key: str, source: str, label: str | None = None, shares: dict[str, float] = SHARES) -> DataFrame:
-    """key, model, split for each row whose key isn't null; all rows of a model are in one split.
+def _part(model: Column, key: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("m"), model), F.concat(F.lit("r"), key.cast("string")))
 
-    A null source is a model of its own for each row (model is null). label names a boolean column whose share among a
-    model's rows, in quarters, is the component's profile.
-    """
+
+def _rows(df: DataFrame, key: str, source: str, label: str | None) -> DataFrame:
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), model_of(F.col(source)).alias("model"), (F.coalesce(F.col(label).cast("int"), F.lit(0)) if label else F.lit(0)).alias("label"))
-    rows = rows.withColumn("part", F.coalesce(F.concat(F.lit("m"), "model"), F.concat(F.lit("r"), F.col("key").cast("string"))))
-    comps = rows.groupBy("part").agg(F.count("*").alias("size"), F.floor(F.avg("label") * 4).cast("int").alias("profile")).withColumn("h", F.xxhash64("part")).withColumn("slot", F.pmod("h", F.lit(RANKS)).cast("int"))
-    slots = comps.groupBy("size", "profile", "slot").agg(F.count("*").alias("n"))
-    bundles = [(r["size"], r["profile"], r["n"]) for r in slots.groupBy("size", "profile").agg(F.sum("n").alias("n")).toLocalIterator()]
-    plan = allocate(bundles, shares)
-    names = list(shares)
+    return rows.withColumn("part", _part(F.col("model"), F.col("key")))
+
+
+def assigned(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """part, size, split of each component (part) of the rows."""
+    comps = rows.groupBy("part").agg(F.count("*").alias("size"), F.floor(F.avg("label") * 4).cast("int").alias("profile"))
+    bundles = [(r["size"], r["profile"], r["n"]) for r in comps.groupBy("size", "profile").agg(F.count("*").alias("n")).toLocalIterator()]
     limits = []
-    for (z, p), got in plan.items():
+    for (z, p), got in allocate(bundles, shares).items():
         at = 0
-        for s in names:
+        for s in shares:
             if got[s]:
                 limits.append((z, p, at, at + got[s], s))
                 at += got[s]
-    spark = df.sparkSession
-    table = spark.createDataFrame(limits, "size bigint, profile int, lo bigint, hi bigint, split string")
-    w = W.partitionBy("size", "profile").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    before = slots.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    ranked = comps.join(before, ["size", "profile", "slot"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("size", "profile", "slot").orderBy("h", "part")) - 1)
-    placed = ranked.join(table, ["size", "profile"]).where("rank >= lo and rank < hi").select("part", "split")
-    return rows.join(placed, "part").select("key", "model", "split")
+    # at most three rows a bundle, that is a size and profile; n rows have at most 5 * sqrt(2 n) of them, as different
+    # sizes add up, so a broadcast of some megabytes at a billion rows
+    table = rows.sparkSession.createDataFrame(limits, "z bigint, p int, lo bigint, hi bigint, split string")
+    # the members of a bundle are numbered by hash, whatever the bundle's size
+    within = (F.col("size") == F.col("z")) & (F.col("profile") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    return ranked(comps, ["size", "profile"], F.col("part")).join(F.broadcast(table), within).select("part", "size", "split")
+
+
+def splits(df: DataFrame, key: str, source: str, label: str | None = None, shares: dict[str, float] = SHARES) -> DataFrame:
+    """key, model, split for each row whose key isn't null; all rows of a model are in one split.
+
+    A null source is a model of its own for each row (model is null). label names a boolean column whose share among a
+    model's rows, in quarters, is the component's profile. Rows of a repeated key are rows of their own.
+    """
+    rows = _rows(df, key, source, label)
+    placed = checkpointed(assigned(rows, shares))
+    # a large component's rows are spread over the join, and its split repeated as often
+    large = placed.where(F.col("size") > LARGE).select(F.col("part").alias("large"))
+    own = rows.join(F.broadcast(large), F.col("part") == F.col("large"), "left")
+    own = own.withColumn("salt", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(F.col("size") > LARGE, F.lit(SALTS)).otherwise(1)
+    placed = placed.select("part", "split", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return own.join(placed, ["part", "salt"]).select("key", "model", "split")
+
+
+def same_model(df: DataFrame, key: str, source: str, label: str | None = None, shares: dict[str, float] = SHARES) -> DataFrame:
+    """source_a < source_b: pairs of different strings that denote one model, by the components that are given to the
+    splits; so the rows of both are in one split.
+
+    Null sources pair with nothing, and rows without a key are in no split. The strings are reduced to distinct ones,
+    and a model's strings to blocks of about WAYS, before they meet.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(F.col(source).alias("source")).distinct()
+    rows = rows.withColumn("part", _part(model_of(F.col("source")), F.lit(None)))
+    s = rows.join(assigned(_rows(df, key, source, label), shares).select("part", "split"), "part")
+    n = rows.groupBy("part").agg(F.ceil(F.count("*") / WAYS).cast("int").alias("n"))
+    # a model has few strings, all but always, and they are one block
+    x = s.join(n, "part").withColumn("block", F.pmod(F.xxhash64("source"), F.col("n")).cast("int"))
+    met = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("part", "split", "source", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    a, b = met.where("block = lo").alias("a"), met.where("block = hi").alias("b")
+    one = (F.col("a.lo") < F.col("a.hi")) | (F.col("a.source") < F.col("b.source"))
+    for c in ("part", "split", "lo", "hi"):
+        one &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    # UTF-8 bytes have the order of code points
+    return a.join(b, one).select(F.least("a.source", "b.source").alias("source_a"), F.greatest("a.source", "b.source").alias("source_b"))

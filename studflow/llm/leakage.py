@@ -24,6 +24,8 @@ RUN, GRAM = 13, 7
 WINDOW = RUN - GRAM + 1
 #: Up to so many words of items are held by each task (8 bytes each, and as much for their fingerprints).
 HELD_WORDS = 4_000_000
+#: Parts that a fingerprint's documents are spread over where items are shuffled.
+SALTS = 16
 
 
 @functools.cache
@@ -108,6 +110,65 @@ def _held(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFram
     return spread(typed).mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, n_words int")
 
 
+def _shuffled(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f, text, _ = fingerprints(*words(b.column(1).to_pylist()))
+            both = np.unique(np.stack((f.view(np.int64), text), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(both[:, 1])), pa.array(both[:, 0])], names=["k", "f"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, most = [], []
+            for k, (a, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                for _, _, n in Items([0], [a]).leaks([t]):
+                    keep.append(k)
+                    most.append(n)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(most, pa.int32())], names=["item_id", "doc_id", "n_words"])
+
+    # a print of many documents (a boilerplate) is spread over salts, and the items' side, which is small, repeated for each
+    left = spread(docs).mapInArrow(prints, f"k {kinds[1]}, f bigint").select(F.col("k").alias("doc_id"), "f", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = spread(items).mapInArrow(prints, f"k {kinds[0]}, f bigint").select(F.col("k").alias("item_id"), "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = left.join(right, ["f", "salt"]).select("item_id", "doc_id").distinct()
+    texts = pairs.join(items.select(F.col("item").alias("item_id"), F.col("text").alias("a")), "item_id").join(docs.select(F.col("doc").alias("doc_id"), F.col("text").alias("t")), "doc_id")
+    return texts.select("item_id", "doc_id", "a", "t").mapInArrow(extend, f"item_id {kinds[0]}, doc_id {kinds[1]}, n_words int")
+
+
+def leaks(self, texts: list[str]) -> list[tuple[int, int, int]]:
+        """(text, item, words) of all that share RUN words; words is the longest run that a hit extends to."""
+        h, of_text = words(texts)
+        f, text, at = fingerprints(h, of_text)
+        lo, hi = np.searchsorted(self.f, f, side="left"), np.searchsorted(self.f, f, side="right")
+        best: dict[tuple[int, int], int] = {}
+        for k in np.flatnonzero(hi > lo):
+            t = int(text[k])
+            a = h[of_text[t] : of_text[t + 1]]
+            for m in range(lo[k], hi[k]):
+                i = int(self.text[m])
+                first = self.of_text[i]
+                n = extended(a, int(at[k] - of_text[t]), self.h[first : self.of_text[i + 1]], int(self.at[m] - first))
+                if n >= RUN and n > best.get((t, i), 0):
+                    best[t, i] = n
+        return [(t, i, n) for (t, i), n in best.items()]
+
+
+def _held(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.toLocalIterator()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = Items([i for i, _ in held.value], [t for _, t in held.value])
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                got = all_.leaks(part.column(1).to_pylist())
+                keys = part.column(0).take(pa.array([t for t, _, _ in got], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([all_.ids[i] for _, i, _ in got], b.schema.field(2).type), keys, pa.array([n for _, _, n in got], pa.int32())], names=["item_id", "doc_id", "n_words"])
+
+    typed = docs.withColumn("i", F.lit(None).cast(kinds[0]))  # gives the item key's Arrow type
+    return spread(typed).mapInArrow(run, f"item_id {kinds[0]}, doc_id {kinds[1]}, n_words int")
+
+
 def _shuffled(docs: DataFrame, items: DataFrame, kinds: tuple[str, str]) -> DataFrame:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

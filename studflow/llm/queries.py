@@ -62,7 +62,7 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different source strings that denote one model."""
-    return grouped_splits.same_model(load(spark, d, "paths"), "source")
+    return grouped_splits.same_model(load(spark, d, "paths"), "path_id", "source", "complete_npz")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:

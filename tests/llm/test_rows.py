@@ -59,12 +59,22 @@ def test_truncation(spark):
 
 @pytest.mark.parametrize("a,b,same", [("keep-qeaca.npz", "pt\\Keep-qeaca.npz", True), ("keep-qeaca.npz", " KEEP–QEACA.NPZ.xz ", True), ("keep-qeaca", "Keep%2Dqeaca.npz", True), ("./graphs/keep_qeaca.NPZ", "Keep qeaca", True), ("keep-qeaca.npz", "mill-qeaca.npz", False), ("keep-qeaca.npz", "keep-qeacb.npz", False), ("pool/depot-aaaaa.npz", "depot-aaaaa", True)])
 def test_models(spark, a, b, same):
-    df = spark.createDataFrame([(a,), (b,), (None,), (b,)], "source string").selectExpr("source", "'x' as model")
-    got = [tuple(r) for r in grouped_splits.same_model(df, "source").collect()]
+    df = spark.createDataFrame([(1, a), (2, b), (3, None), (4, b)], "id int, source string").selectExpr("id", "source", "'x' as model", "1 as part")
+    got = [tuple(r) for r in grouped_splits.same_model(df, "id", "source").collect()]
     assert got == ([tuple(sorted((a, b)))] if same else [])
 
 
-def test_splits(spark):
+def test_many_ways_of_writing_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(grouped_splits, "WAYS", 4)
+    ways = ["x/" * k + "keep-qeaca" + ".npz" * (k % 2) for k in range(23)]
+    df = spark.createDataFrame(list(enumerate([*ways, *ways, "mill-qeaca"])), "id int, source string")
+    got = [tuple(r) for r in grouped_splits.same_model(df, "id", "source").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in ways for b in ways if a < b}
+
+
+@pytest.mark.parametrize("large", [100_000, 10])
+def test_splits(spark, monkeypatch, large):
+    monkeypatch.setattr(grouped_splits, "LARGE", large)
     r = random.Random(2)
     rows = []
     for m in range(150):
