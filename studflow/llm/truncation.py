@@ -1,14 +1,17 @@
 """Problem 1: texts that were cut off by a field limit or in transfer.
 
-Each source's lengths are taken as log-normal and right-censored at lengths that too many texts share; the fit by
-maximum likelihood gives how many whole texts such a length would have, and so the posterior that a text of that length
-was censored. This is weighed with how the text ends: inside a word or line, in a mark for lost text, in a line that is
-whole but whose last word is more often the beginning of a longer one, or in a whole line with its line end. A text
-that holds fewer actions than were counted when it was generated is cut however it ends.
+Each source's lengths are taken as log-normal and right-censored at its limits: lengths that more texts without a line
+end share than the fit can explain. All limits of a source are fitted together by maximum likelihood; the fit tells how
+many whole texts a limit's length would have, and so the posterior that a text of that length was censored. These are
+the prior odds of a row (elsewhere those of a stray cut, by source). They are multiplied by the evidence of the ending:
+how often cut and whole texts end inside a word or line, in a mark for lost text, in a faulty line, in a whole line with
+or without its line end, and whether a last number or colour is more often the beginning of a longer one. The rates are
+estimated from the rows themselves.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import spread
+from ..tables import checkpointed, spread
 
 #: The words of an edge line by family, in order, after the parent's letters (fixed values of the grammar).
 CONN, SUB, NUM, FLIP, POL = r"[a-z]+", r"[a-z]+", r"-?[0-9]+", r"(?:regular|flip)", r"(?:in|on)"
@@ -34,8 +37,10 @@ EDGES = {
 #: What is put in place of a lost rest: an ellipsis, the replacement character, or words in brackets.
 MARK = re.compile(r"\s*(?:…|\.{2,}|�+|[\[<({][^\[\]<>(){}|]{2,40}[\]>)}]|--+ ?[a-z ]{2,30} ?--+)\s*$", re.I)
 WHOLE_END, WHOLE_BARE, PARTIAL, PARTIAL_END, MARKED, FAULT, FAULT_BARE = range(7)
-#: How many times more often than its neighbours' mean a length must occur to be a candidate limit.
-EXCESS = 6.0
+#: A length is a candidate limit if so many texts without a line end, by chance, would be rarer than this in any source.
+CHANCE = 1e-3
+#: What is added to counts of endings that no whole text has by the problem's statement, and to those of others.
+NEVER, SEEN = 1e-4, 0.5
 
 
 def _words(part: str) -> list[str]:
@@ -47,11 +52,16 @@ class Grammar:
 
     def __init__(self, parts: set[str], colors: set[str]):
         self.parts, self.colors = parts, colors
-        begin = lambda names: {n[:k] for n in names for k in range(len(n))}
-        self.part_begins, self.color_begins = begin(parts), begin(colors)
+        self.part_order, self.color_order = sorted(parts), sorted(colors)
         self.longer = {c: [x for x in colors if x != c and x.startswith(c)] for c in colors}
         self.edge = {f: re.compile("[a-z]+ " + " ".join((f, *w))) for f, w in EDGES.items()}
 
+    @staticmethod
+    def begins(prefix: str, order: list[str]) -> bool:
+        """Whether some name in order begins with prefix and goes on."""
+        at = bisect.bisect_right(order, prefix)
+        return at < len(order) and order[at].startswith(prefix)
+
     def _edge_begins(self, words: list[str]) -> bool:
         """All words but the last are right, and the last is the beginning of a right one."""
         family, rest = words[1], words[2:]
@@ -84,13 +94,13 @@ class Grammar:
             return "begins" if self._edge_begins(words) else "fault"
         name, bar, color = rest.partition(" |")
         if not bar:
-            return "begins" if name in self.part_begins or name.rstrip(" ") in self.parts else "fault"
+            return "begins" if self.begins(name, self.part_order) or name.rstrip(" ") in self.parts else "fault"
         if color in ("", " "):
             return "begins"
         color = color[1:]
         if color in self.colors:
             return "whole"
-        return "begins" if color in self.color_begins or color.rstrip(" ") in self.colors and color.endswith(" ") else "fault"
+        return "begins" if self.begins(color, self.color_order) or color.rstrip(" ") in self.colors and color.endswith(" ") else "fault"
 
     def judge(self, text: str) -> tuple[int, int, str | None, int, int]:
         """Ending class, actions held, last number, and how often the text has the last colour and longer ones."""
@@ -121,11 +131,13 @@ class Grammar:
 
 def features(scored: DataFrame, parts: DataFrame, colors: DataFrame) -> DataFrame:
     """row_id, source, n_actions, length, ending, held, number, same, longer of each row with a text."""
-    vocabulary = {r[0] for r in parts.select("name").distinct().toLocalIterator() if r[0]}, {r[0] for r in colors.select("name").distinct().toLocalIterator() if r[0]}
+    # names of the catalogue: as many as there are parts and colours, not texts
+    names = {r[0] for r in parts.select("name").distinct().toLocalIterator() if r[0]}, {r[0] for r in colors.select("name").distinct().toLocalIterator() if r[0]}
+    vocabulary = scored.sparkSession.sparkContext.broadcast(names)
     rows = scored.where(F.col("text").isNotNull()).select("row_id", "source", F.col("n_actions").cast("bigint").alias("n_actions"), F.length("text").cast("bigint").alias("length"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Grammar(*vocabulary)
+        g = Grammar(*vocabulary.value)
         for b in batches:
             got = list(zip(*map(g.judge, b.column(4).to_pylist()))) or [()] * 5
             kinds = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -153,73 +165,100 @@ def fit_censored(z: np.ndarray, n: np.ndarray, censored: np.ndarray) -> tuple[fl
     return mu, sd
 
 
+def chance(n: float, expected: float) -> float:
+    """How likely a Poisson count of this mean is n or more, at most."""
+    if n <= expected:
+        return 1.0
+    # Chernoff's bound
+    return math.exp(min(0.0, n - expected - n * math.log(n / expected)))
+
+
 def limits(rows: DataFrame) -> DataFrame:
     """source, cut_at, n_at, mu, sigma, posterior: the lengths at which a source's texts are censored.
 
     Worked out for each source from the counts of its lengths, of which there are at most as many as characters in its
-    longest text.
+    longest text. All limits of a source are fitted together.
     """
-    counts = rows.where("length > 0").groupBy("source", "length").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ending") == WHOLE_END, 1).otherwise(0)).alias("ended"))
+    is_ = lambda *kinds: F.sum(F.when(F.col("ending").isin(*kinds), 1).otherwise(0))
+    counts = rows.where("length > 0").groupBy("source", "length").agg(F.count("*").alias("n"), is_(WHOLE_END).alias("ended"), is_(WHOLE_BARE).alias("bare"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("length")
-        x, n, ended = f["length"].to_numpy(), f["n"].to_numpy().astype(float), f["ended"].to_numpy().astype(float)
-        source, out = f["source"].iloc[0], []
-        # the mean count of a length nearby (15 percent to either side)
-        total = np.concatenate(([0.0], np.cumsum(n)))
+        x, n, ended, whole = (f[c].to_numpy().astype(float) for c in ("length", "n", "ended", "bare"))
+        source = f["source"].iloc[0]
+        z, open_ = np.log(x), n - ended  # texts with their line end aren't cut by a limit
+        # the mean count of a length nearby (15 percent to either side), which the fit may be wrong about
+        total = np.concatenate(([0.0], np.cumsum(open_)))
         lo, hi = np.searchsorted(x, 0.85 * x), np.searchsorted(x, 1.15 * x, side="right")
-        near = (total[hi] - total[lo] - n) / np.maximum(0.3 * x, 1)
-        # texts with their line end aren't cut by a limit; without one, as many as all have are to be expected
-        bare = n - ended
-        candidate = np.flatnonzero((bare >= 4) & (bare > EXCESS * np.maximum(near, 0.02)))
-        for c in candidate:
-            at = np.zeros(len(x), dtype=bool)
-            at[c] = True
-            mu, sd = fit_censored(np.log(x.astype(float)), n, at)
-            a = (math.log(x[c]) - mu) / sd
-            expected = n.sum() * math.exp(-0.5 * a * a) / (math.sqrt(2 * math.pi) * sd * x[c])
-            # of those without a line end: a quarter of whole texts lack it
-            posterior = 1 - min(1.0, 0.25 * expected / bare[c])
-            if posterior > 0.5:
-                out.append((source, int(x[c]), int(n[c]), mu, sd, posterior))
-        return pd.DataFrame(out, columns=["source", "cut_at", "n_at", "mu", "sigma", "posterior"])
+        near = (total[hi] - total[lo] - open_) / np.maximum(0.3 * x, 1)
+        at, mu, sd, posterior = np.zeros(len(x), dtype=bool), 0.0, 1.0, np.zeros(len(x))
+        seen = []
+        while True:
+            mu, sd = fit_censored(z, n, at)
+            # the share of this source's whole texts that lack their line end
+            lack = (whole[~at].sum() + SEEN) / ((whole + ended)[~at].sum() + 2 * SEEN)
+            a = (z - mu) / sd
+            # as many whole texts of this length without a line end as are to be expected
+            expected = np.maximum(lack * n.sum() * np.exp(-0.5 * a * a) / (math.sqrt(2 * math.pi) * sd * x), 1e-9)
+            posterior = 1 - np.minimum(1.0, expected / np.maximum(open_, 1e-9))
+            by_chance = np.array([chance(k, max(e, m, 0.02)) for k, e, m in zip(open_, expected, near)])
+            new = (by_chance < CHANCE / len(x)) & (posterior > 0.5)
+            if any((new == s).all() for s in seen):
+                break
+            seen.append(new)
+            at = new
+        return pd.DataFrame([(source, int(x[c]), int(n[c]), mu, sd, float(posterior[c])) for c in np.flatnonzero(at)], columns=["source", "cut_at", "n_at", "mu", "sigma", "posterior"])
 
     return counts.groupBy("source").applyInPandas(one, "source string, cut_at bigint, n_at bigint, mu double, sigma double, posterior double")
 
 
+def ending_odds(rows: DataFrame) -> dict[int, float]:
+    """For each kind of ending how much likelier it is of a cut text than of a whole one.
+
+    Texts at a limit count as cut by their posterior, others by the endings that only cut texts have.
+    """
+    never = F.col("ending").isin(PARTIAL, PARTIAL_END, MARKED)
+    p = F.when(never, 1.0).otherwise(F.coalesce("posterior", F.lit(0.0)))
+    got = {r["ending"]: r for r in rows.groupBy("ending").agg(F.sum(p).alias("cut"), F.sum(1 - p).alias("whole")).collect()}
+    count = lambda e, c: (got[e][c] if e in got else 0.0) + (NEVER if c == "whole" and e in (PARTIAL, PARTIAL_END, MARKED) else SEEN)
+    kinds = range(7)
+    cut, whole = (sum(count(e, c) for e in kinds) for c in ("cut", "whole"))
+    return {e: (count(e, "cut") / cut) / (count(e, "whole") / whole) for e in kinds}
+
+
 def judged(scored: DataFrame, parts: DataFrame, colors: DataFrame) -> DataFrame:
     """row_id, source, length, ending, cut_at, probability, cut for each row with a text.
 
     A null text is no text that was cut; an empty one holds one action at most. A null source is a source of its own.
     Repeated rows are judged alike. The vocabulary tables are read whole; extra columns are ignored.
     """
-    rows = features(scored, parts, colors).cache()
+    # a row's features are a few numbers; its text isn't kept
+    rows = checkpointed(features(scored, parts, colors))
     at = limits(rows).select(F.col("source").alias("s"), "cut_at", "posterior")
-    # how often last numbers are whole, and how often they begin longer ones: numbers of a few digits, so few rows
-    whole = {r["number"]: r["n"] for r in rows.where((F.col("ending") == WHOLE_END) & F.col("number").isNotNull() & (F.length("number") <= 6)).groupBy("number").agg(F.count("*").alias("n")).toLocalIterator()}
-    begins: Counter = Counter()
-    for number, n in whole.items():
-        for k in range(2, len(number)):
-            begins[number[:k]] += n
-    numbers = sorted({*whole, *begins})
-    spark = scored.sparkSession
-    table = spark.createDataFrame([(x, float(whole.get(x, 0)) + 0.3, float(begins[x])) for x in numbers], "number string, whole double, begins double")
-    joined = rows.join(F.broadcast(at), rows["source"].eqNullSafe(at["s"]) & (rows["length"] == at["cut_at"]), "left")
-    # texts cut elsewhere than at a limit: those that end inside a line, to those that only lack their line end
+    # a source has a few limits, so sources and limits are much fewer than rows
+    rows = checkpointed(rows.join(at, rows["source"].eqNullSafe(at["s"]) & (rows["length"] == at["cut_at"]), "left").drop("s"))
+    # how often last numbers are whole, and how often they begin longer ones: numbers of at most six characters
+    number = rows.where((F.col("ending") == WHOLE_END) & F.col("number").isNotNull() & (F.length("number") <= 6)).groupBy("number").agg(F.count("*").alias("n"))
+    begun = number.select(F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.length("number") - 1, F.lit(2))), lambda k: F.substring("number", F.lit(1), k))).alias("head"), "number", "n").where("head <> number").groupBy("head").agg(F.sum("n").alias("begins"))
+    table = number.join(begun, number["number"] == begun["head"], "full").select(F.coalesce("number", "head").alias("number"), (F.coalesce("n", F.lit(0)) + 0.3).alias("whole"), F.coalesce("begins", F.lit(0)).cast("double").alias("begins"))
+    # texts cut elsewhere than at a limit, by source: those that end in a way that only cut texts have
     free = F.col("cut_at").isNull()
-    stray = joined.agg(F.sum(F.when(free & (F.col("ending") == PARTIAL), 1).otherwise(0)).alias("cut"), F.sum(F.when(free & (F.col("ending") == WHOLE_BARE), 1).otherwise(0)).alias("bare"), F.avg(F.col("length") / F.greatest("held", F.lit(1))).alias("chars")).first()
-    rate = (stray["cut"] or 0) / max(stray["bare"] or 1, 1) / max(stray["chars"] or 50.0, 1.0)
-    joined = joined.join(F.broadcast(table), "number", "left")
-    ratio = F.when(F.col("number").isNotNull(), F.coalesce("begins", F.lit(0.0)) / F.coalesce("whole", F.lit(0.3))).otherwise(F.col("longer") / (F.col("same") + 0.3))
-    # odds that a bare whole line is the beginning of a longer one
-    odds = F.when(F.col("posterior").isNotNull(), F.col("posterior") * ratio / (1 - F.col("posterior") * 0.999) / (1 + F.col("posterior") / (1 - F.col("posterior") * 0.999))).otherwise(F.lit(float(rate)) * ratio)
-    probability = (
-        F.when(F.col("n_actions").isNotNull() & (F.col("held") < F.col("n_actions")), 1.0)
-        .when(F.col("ending").isin(MARKED, PARTIAL), 1.0).when(F.col("ending") == PARTIAL_END, 0.9)
-        # a faulty line at a limit is one that was cut; elsewhere a fault of grammar alone is no case
-        .when((F.col("ending") == FAULT_BARE) & F.col("posterior").isNotNull(), 0.9 * F.col("posterior"))
-        .when(F.col("ending") == WHOLE_BARE, odds / (1 + odds)).otherwise(0.0)
-    )
+    stray = rows.groupBy("source").agg(
+        ((F.count_if(free & F.col("ending").isin(PARTIAL, PARTIAL_END, MARKED)) + SEEN) / (F.count_if(free) + 2 * SEEN)).alias("stray"),
+        F.coalesce(F.avg(F.col("length") / F.greatest("held", F.lit(1))), F.lit(50.0)).alias("chars"),
+    ).withColumnRenamed("source", "s")
+    joined = rows.join(stray, rows["source"].eqNullSafe(stray["s"])).drop("s").join(table, "number", "left")
+    prior = F.when(F.col("posterior").isNotNull(), F.least(F.col("posterior"), F.lit(1 - 1e-6))).otherwise(F.col("stray"))
+    evidence = F.create_map(*[F.lit(v) for e, v in ending_odds(rows).items() for v in (e, v)])
+    odds = prior / (1 - prior) * F.try_element_at(evidence, F.col("ending"))
+    # a whole line: of a text cut at a limit (or at any of an action's characters) its last word may have been longer.
+    # How often the word begins longer ones, to how often it is a whole one, is the evidence
+    longer = F.when(F.col("number").isNotNull(), F.coalesce("begins", F.lit(0.0)) / F.coalesce("whole", F.lit(0.3))).otherwise(F.col("longer") / (F.col("same") + 0.3))
+    word = F.when(F.col("posterior").isNotNull(), F.col("posterior")).otherwise(F.col("stray") / F.greatest("chars", F.lit(1.0))) * longer
+    # with its line end nothing is missing but actions
+    odds = F.when(F.col("ending") == WHOLE_BARE, word).when(F.col("ending") == WHOLE_END, 0.0).otherwise(odds)
+    missing = F.coalesce(F.col("held") < F.col("n_actions"), F.lit(False))
+    probability = F.when(missing, 1.0).otherwise(odds / (1 + odds))
     return joined.select("row_id", "source", "length", "ending", "cut_at", probability.alias("probability")).withColumn("cut", F.col("probability") > 0.5)
 
 
