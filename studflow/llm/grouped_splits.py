@@ -19,8 +19,8 @@ from ..tables import checkpointed
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: Ways of writing one model that meet in one task; more are met block by block.
 WAYS = 1000
-#: Components of more rows than this are spread over so many parts of a join. A table of n rows has at most n / LARGE
-#: of them, so their names may be broadcast: some megabytes at ten billion rows.
+#: The rows of a source with more of them than this are spread over so many parts of a join. A table of n rows has at
+#: most n / LARGE of these sources, so they may be broadcast: some megabytes at ten billion rows.
 LARGE, SALTS = 100_000, 64
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94))
 _PLAIN = "".join(chr(0x21 + i) for i in range(94))
@@ -132,18 +132,20 @@ def allocate(bundles: list[tuple[int, int, int]], shares: dict[str, float] = SHA
     return plan
 
 
-def _part(model: Column, key: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("m"), model), F.concat(F.lit("r"), key.cast("string")))
+def components(df: DataFrame, key: str, source: str, label: str | None) -> tuple[DataFrame, DataFrame]:
+    """(ways, comps): ways has each string of source with its part, the component it denotes; comps has each part with
+    its size in rows and its label profile, the rows without a source as parts of their own. Both are checkpointed, and
+    models are worked out once a string, not once a row."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"), (F.coalesce(F.col(label).cast("int"), F.lit(0)) if label else F.lit(0)).alias("label"))
+    ways = rows.where("source is not null").groupBy("source").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+    ways = checkpointed(ways.withColumn("model", model_of(F.col("source"))).withColumn("part", F.concat(F.lit("m"), "model")))
+    lone = rows.where("source is null").select(F.concat(F.lit("r"), F.col("key").cast("string")).alias("part"), F.lit(1).cast("bigint").alias("n"), F.col("label").cast("bigint").alias("labels"))
+    both = ways.select("part", "n", "labels").unionByName(lone)
+    return ways, checkpointed(both.groupBy("part").agg(F.sum("n").alias("size"), F.floor(F.sum("labels") * 4 / F.sum("n")).cast("int").alias("profile")))
 
 
-def _rows(df: DataFrame, key: str, source: str, label: str | None) -> DataFrame:
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), model_of(F.col(source)).alias("model"), (F.coalesce(F.col(label).cast("int"), F.lit(0)) if label else F.lit(0)).alias("label"))
-    return rows.withColumn("part", _part(F.col("model"), F.col("key")))
-
-
-def assigned(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """part, size, split of each component (part) of the rows."""
-    comps = rows.groupBy("part").agg(F.count("*").alias("size"), F.floor(F.avg("label") * 4).cast("int").alias("profile"))
+def assigned(comps: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """part, size, split of each component."""
     bundles = [(r["size"], r["profile"], r["n"]) for r in comps.groupBy("size", "profile").agg(F.count("*").alias("n")).toLocalIterator()]
     limits = []
     for (z, p), got in allocate(bundles, shares).items():
@@ -154,7 +156,7 @@ def assigned(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
                 at += got[s]
     # at most three rows a bundle, that is a size and profile; n rows have at most 5 * sqrt(2 n) of them, as different
     # sizes add up, so a broadcast of some megabytes at a billion rows
-    table = rows.sparkSession.createDataFrame(limits, "z bigint, p int, lo bigint, hi bigint, split string")
+    table = comps.sparkSession.createDataFrame(limits, "z bigint, p int, lo bigint, hi bigint, split string")
     # the members of a bundle are numbered by hash, whatever the bundle's size
     within = (F.col("size") == F.col("z")) & (F.col("profile") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     return ranked(comps, ["size", "profile"], F.col("part")).join(F.broadcast(table), within).select("part", "size", "split")
@@ -166,15 +168,18 @@ def splits(df: DataFrame, key: str, source: str, label: str | None = None, share
     A null source is a model of its own for each row (model is null). label names a boolean column whose share among a
     model's rows, in quarters, is the component's profile. Rows of a repeated key are rows of their own.
     """
-    rows = _rows(df, key, source, label)
-    placed = checkpointed(assigned(rows, shares))
-    # a large component's rows are spread over the join, and its split repeated as often
-    large = placed.where(F.col("size") > LARGE).select(F.col("part").alias("large"))
-    own = rows.join(F.broadcast(large), F.col("part") == F.col("large"), "left")
-    own = own.withColumn("salt", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(F.col("size") > LARGE, F.lit(SALTS)).otherwise(1)
-    placed = placed.select("part", "split", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return own.join(placed, ["part", "salt"]).select("key", "model", "split")
+    ways, comps = components(df, key, source, label)
+    placed = checkpointed(assigned(comps, shares))
+    # a source's many rows are spread over the join, and its split repeated as often
+    salts = F.when(F.col("n") > LARGE, F.lit(SALTS)).otherwise(1)
+    of = ways.join(placed.select("part", "split"), "part").select(F.col("source").alias("way"), "model", "split", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    large = ways.where(F.col("n") > LARGE).select(F.col("source").alias("large"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(source).alias("source"))
+    own = rows.where("source is not null").join(F.broadcast(large), F.col("source") == F.col("large"), "left")
+    own = own.withColumn("salt", F.when(F.col("large").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("large")
+    named = own.join(of, (own["source"] == of["way"]) & (own["salt"] == of["salt"])).select("key", "model", "split")
+    lone = rows.where("source is null").select("key", F.concat(F.lit("r"), F.col("key").cast("string")).alias("part"))
+    return named.unionByName(lone.join(placed, "part").select("key", F.lit(None).cast("string").alias("model"), "split"))
 
 
 def same_model(df: DataFrame, key: str, source: str, label: str | None = None, shares: dict[str, float] = SHARES) -> DataFrame:
@@ -184,10 +189,9 @@ def same_model(df: DataFrame, key: str, source: str, label: str | None = None, s
     Null sources pair with nothing, and rows without a key are in no split. The strings are reduced to distinct ones,
     and a model's strings to blocks of about WAYS, before they meet.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(F.col(source).alias("source")).distinct()
-    rows = rows.withColumn("part", _part(model_of(F.col("source")), F.lit(None)))
-    s = rows.join(assigned(_rows(df, key, source, label), shares).select("part", "split"), "part")
-    n = rows.groupBy("part").agg(F.ceil(F.count("*") / WAYS).cast("int").alias("n"))
+    ways, comps = components(df, key, source, label)
+    s = ways.select("source", "part").join(assigned(comps, shares).select("part", "split"), "part")
+    n = ways.groupBy("part").agg(F.ceil(F.count("*") / WAYS).cast("int").alias("n"))
     # a model has few strings, all but always, and they are one block
     x = s.join(n, "part").withColumn("block", F.pmod(F.xxhash64("source"), F.col("n")).cast("int"))
     met = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("part", "split", "source", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
