@@ -117,12 +117,12 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The personal information in documents, each value once a document."""
-    return personal.found(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return personal.found(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "parts")).withColumnRenamed("key", "doc_id")
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The documents with placeholders."""
-    return personal.redact(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return personal.redact(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "parts")).withColumnRenamed("key", "doc_id")
 
 
 def queries() -> dict[str, Query]:
