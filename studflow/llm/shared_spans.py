@@ -4,11 +4,12 @@ A window is SPAN characters in a row. Each window is anchored at the smallest of
 pieces, which depends on the window's own characters only, so equal windows of different records have equal anchors.
 One pass over the texts gives the anchors (one in about 90 characters) and the hashes of a few windows at each;
 anchors of two or more records are recurring. Only at recurring anchors every window is hashed, and a window that two
-records have is shared. So no span is missed, wherever it starts, and no two records are compared as a pair.
+records have is shared. So no span is missed, wherever it starts, and no two records are compared as a pair. Windows are
+told apart by two hashes of 96 bits in all: among 10^12 windows two different ones agree with a chance of 1 in 10^5.
 
 The named method streams all documents through Aho-Corasick automata of the recurring passages. The number of such
-passages grows with the corpus, so that all documents times all shards grow as its square; the README has figures.
-Here the recurring passages are confirmed and located by their anchors instead.
+passages grows with the corpus, so that all documents times all shards grow as its square; the README has figures of
+such a run. Here the recurring passages are confirmed and located by their anchors instead.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WIDTH = SPAN - GRAM + 1
 PROBES = (0, 64, 128)
 #: Code points worked on at once, unless one text is longer.
 SLICE = 600_000
+OTHER = U(0xA0761D6478BD642F)
 _INVERSE = U(pow(int(flat.MULT), -1, 1 << 64))
 
 
@@ -49,6 +51,9 @@ class Anchors:
         np.multiply.accumulate(self.inverse, out=self.inverse)
         self.sums = np.zeros(n + 1, dtype=U)
         np.cumsum((cp.astype(U) * flat.MIX_A + flat.MIX_B) * power[:n], out=self.sums[1:])
+        # a second sum, for windows that have to be told apart by more than 64 bits
+        self.more = np.zeros(n + 1, dtype=U)
+        np.cumsum(flat.mix(cp.astype(U) + OTHER) * power[:n], out=self.more[1:])
         self.starts = starts
         length = np.diff(starts) - 1
         windows = np.maximum(length - SPAN + 1, 0)
@@ -78,6 +83,10 @@ class Anchors:
     def hashes(self, start: np.ndarray, size: int) -> np.ndarray:
         return flat.mix((self.sums[start + size] - self.sums[start]) * self.inverse[start])
 
+    def checks(self, start: np.ndarray) -> np.ndarray:
+        """Another 32 bits of the windows that begin here."""
+        return (flat.mix((self.more[start + SPAN] - self.more[start]) * self.inverse[start]) >> U(32)).astype(np.uint32)
+
 
 def sliced(keys: np.ndarray, texts: list[str], extra: list | None = None) -> Iterator[tuple[np.ndarray, list[str], list | None]]:
     lo, size = 0, 0
@@ -88,11 +97,11 @@ def sliced(keys: np.ndarray, texts: list[str], extra: list | None = None) -> Ite
             lo, size = k + 1, 0
 
 
-def recurring(h: np.ndarray, key: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
-    """For each entry, whether its hash occurs with two keys, or is known to."""
-    order = np.argsort(h, kind="stable")
-    hs, ks = h[order], key[order]
-    first = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1]))) if len(hs) else np.zeros(0, dtype=np.int64)
+def recurring(h: np.ndarray, check: np.ndarray, key: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """For each entry, whether its hash (64 bits and 32 more) occurs with two keys, or is known to."""
+    order = np.lexsort((check, h))
+    hs, cs, ks = h[order], check[order], key[order]
+    first = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])))) if len(hs) else np.zeros(0, dtype=np.int64)
     if not len(first):
         return np.zeros(0, dtype=bool)
     many = np.minimum.reduceat(ks, first) != np.maximum.reduceat(ks, first)
@@ -103,6 +112,12 @@ def recurring(h: np.ndarray, key: np.ndarray, known: np.ndarray | None = None) -
     return out
 
 
+def one_of_each(h: np.ndarray, check: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One of the entries `at` for each hash."""
+    order = at[np.lexsort((check[at], h[at]))]
+    return order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])))] if len(order) else order
+
+
 def _by_bucket(bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -118,13 +133,14 @@ def _entries(keys: np.ndarray, texts: list[str], buckets: int) -> Iterator[tuple
     Of a hash known to recur in the batch, one entry goes to the hash's bucket, and all its occurrences, as settled
     ones (known 2), to buckets by their key, so that no hash gathers more than an entry or two a batch.
     """
-    h, rec, pos, kind = [], [], [], []
+    h, check, rec, pos, kind = [], [], [], [], []
     base = 0
     for k, t, _ in sliced(keys, texts):
         a = Anchors(t)
         if len(a.pos):
             off = a.starts[a.text]
             h.append(a.hashes(a.pos, GRAM))
+            check.append(np.zeros(len(a.pos), dtype=np.uint32))
             rec.append(base + a.text)
             pos.append(a.pos - off)
             kind.append(np.zeros(len(a.pos), dtype=np.uint8))
@@ -132,30 +148,31 @@ def _entries(keys: np.ndarray, texts: list[str], buckets: int) -> Iterator[tuple
                 s = a.pos - d
                 ok = np.flatnonzero((s >= a.low) & (s <= a.high))
                 h.append(a.hashes(s[ok], SPAN) ^ flat.MIX_B)
+                check.append(a.checks(s[ok]))
                 rec.append(base + a.text[ok])
                 pos.append(s[ok] - off[ok])
                 kind.append(np.ones(len(ok), dtype=np.uint8))
         base += len(t)
     if not h:
         return
-    h, rec, pos, kind = np.concatenate(h), np.concatenate(rec), np.concatenate(pos), np.concatenate(kind)
+    h, check, rec, pos, kind = (np.concatenate(x) for x in (h, check, rec, pos, kind))
     key = keys[rec]
-    here = recurring(h, key)
+    here = recurring(h, check, key)
     # settled occurrences go by key; a window's is only that its record has one
     own = np.flatnonzero(here)
-    lead = own[np.unique(h[own], return_index=True)[1]]
+    lead = one_of_each(h, check, own)
     rest = np.flatnonzero(~here)
     at = np.concatenate((rest, lead, own))
     known = np.repeat(np.array([0, 1, 2], dtype=np.uint8), [len(rest), len(lead), len(own)])
     bucket = np.where(known == 2, flat.mix(key[at].astype(U)) % U(buckets), h[at] % U(buckets)).astype(np.int64)
-    yield from _by_bucket(bucket, buckets, h=h[at], key=key[at], pos=pos[at].astype(np.uint32), kind=kind[at], known=known)
+    yield from _by_bucket(bucket, buckets, h=h[at], check=check[at], key=key[at], pos=pos[at].astype(np.uint32), kind=kind[at], known=known)
 
 
 def _occurrences(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    h, key, pos, kind, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "i8", "u4", "u1", "u1") for b in blobs)))
+    h, check, key, pos, kind, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "u4", "i8", "u4", "u1", "u1") for b in blobs)))
     settled = known == 2
     open_ = np.flatnonzero(~settled)
-    many = recurring(h[open_], key[open_], known[open_])
+    many = recurring(h[open_], check[open_], key[open_], known[open_])
     # an entry known to recur stands for occurrences that come as settled ones
     take = np.concatenate((np.flatnonzero(settled), open_[many & (known[open_] == 0)]))
     h, key, pos, kind = h[take], key[take], pos[take], kind[take]
@@ -207,7 +224,7 @@ def occurrences(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
 
 def _windows(keys: np.ndarray, texts: list[str], places: list[list[int]], buckets: int) -> Iterator[tuple[int, bytes]]:
     """Second pass: all windows of the anchors at these places; known as in the first pass."""
-    h, rec, start, bucket = [], [], [], []
+    h, check, rec, start, bucket = [], [], [], [], []
     base = 0
     for _, t, p in sliced(keys, texts, places):
         a = Anchors(t)
@@ -218,24 +235,25 @@ def _windows(keys: np.ndarray, texts: list[str], places: list[list[int]], bucket
             who = np.repeat(use, n)
             s = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + a.low[who]
             h.append(a.hashes(s, SPAN))
+            check.append(a.checks(s))
             rec.append(base + a.text[who])
             start.append(s - a.starts[a.text[who]])
             bucket.append(np.repeat((a.hashes(a.pos[use], GRAM) % U(buckets)).astype(np.int64), n))
         base += len(t)
     if not h:
         return
-    h, rec, start, bucket = np.concatenate(h), np.concatenate(rec), np.concatenate(start), np.concatenate(bucket)
+    h, check, rec, start, bucket = (np.concatenate(x) for x in (h, check, rec, start, bucket))
     key = keys[rec]
-    here = recurring(h, key)
+    here = recurring(h, check, key)
     own = np.flatnonzero(here)
-    lead = own[np.unique(h[own], return_index=True)[1]]
+    lead = one_of_each(h, check, own)
     rest = np.flatnonzero(~here)
     # settled windows as stretches of window starts
     key_, lo, hi = stretches(key[own], start[own])
     by_key = (flat.mix(key_.astype(U)) % U(buckets)).astype(np.int64)
     at = np.concatenate((rest, lead))
     known = np.repeat(np.array([0, 1], dtype=np.uint8), [len(rest), len(lead)])
-    yield from _by_bucket(np.concatenate((bucket[at], by_key)), buckets, h=np.concatenate((h[at], np.zeros(len(lo), dtype=U))), key=np.concatenate((key[at], key_)), lo=np.concatenate((start[at], lo)).astype(np.uint32), hi=np.concatenate((start[at], hi)).astype(np.uint32), known=np.concatenate((known, np.full(len(lo), 2, dtype=np.uint8))))
+    yield from _by_bucket(np.concatenate((bucket[at], by_key)), buckets, h=np.concatenate((h[at], np.zeros(len(lo), dtype=U))), check=np.concatenate((check[at], np.zeros(len(lo), dtype=np.uint32))), key=np.concatenate((key[at], key_)), lo=np.concatenate((start[at], lo)).astype(np.uint32), hi=np.concatenate((start[at], hi)).astype(np.uint32), known=np.concatenate((known, np.full(len(lo), 2, dtype=np.uint8))))
 
 
 def stretches(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,10 +268,10 @@ def stretches(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _covered(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    h, key, lo, hi, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "i8", "u4", "u4", "u1") for b in blobs)))
+    h, check, key, lo, hi, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "u4", "i8", "u4", "u4", "u1") for b in blobs)))
     settled = known == 2
     open_ = np.flatnonzero(~settled)
-    many = recurring(h[open_], key[open_], known[open_])
+    many = recurring(h[open_], check[open_], key[open_], known[open_])
     take = open_[many & (known[open_] == 0)]
     k, a, b = stretches(key[take], lo[take].astype(np.int64))
     return {"key": np.concatenate((k, key[settled])), "first": np.concatenate((a, lo[settled])), "last": np.concatenate((b, hi[settled]))}
