@@ -1,15 +1,15 @@
-"""Problem 5: long exact spans shared between records.
-
-A window is SPAN characters in a row. Each window is anchored at the smallest of the hashes of its GRAM-character
-pieces, which depends on the window's own characters only, so equal windows of different records have equal anchors.
-One pass over the texts gives the anchors (one in about 90 characters) and the hashes of a few windows at each;
-anchors of two or more records are recurring. Only at recurring anchors every window is hashed, and a window that two
-records have is shared. So no span is missed, wherever it starts, and no two records are compared as a pair. Windows are
-told apart by two hashes of 96 bits in all: among 10^12 windows two different ones agree with a chance of 1 in 10^5.
-
-The named method streams all documents through Aho-Corasick automata of the recurring passages. The number of such
-passages grows with the corpus, so that all documents times all shards grow as its square; the README has figures of
-such a run. Here the recurring passages are confirmed and located by their anchors instead.
+"""Problem 5: long exact spans shared between records, by automata of repeated phrases.
+
+1. A window is SPAN characters in a row. Each window is anchored at the smallest of the hashes of its GRAM-character
+   pieces, which depends on the window's own characters only, so equal windows of different records have equal anchors.
+   One pass over the texts gives the anchors (one in about 90 characters); anchors of two or more records mark the
+   phrases that may recur.
+2. The phrases are compiled into sharded Aho-Corasick automata of at most about PHRASES each. A record is streamed
+   through the automata of the shards that it has an anchor in, and no other, so that the work grows with the records
+   and not with records times shards; the automaton confirms the phrases letter by letter and locates all of them.
+3. At located phrases every window is hashed, and a window that two records have is shared. No two records are compared
+   as a pair. Windows are told apart by two hashes of 96 bits in all, beside the phrase: among 10^12 windows two
+   different ones agree with a chance of 1 in 10^5.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +30,9 @@ from .flat import U, pack, unpack
 
 SPAN, GRAM = 300, 128
 WIDTH = SPAN - GRAM + 1
-#: Windows that the first pass hashes: those that start so many characters before their anchor.
-PROBES = (0, 64, 128)
+#: Phrases of a shard's automaton, which stays small enough for fast memory; records that one task streams through it;
+#: partitions that shards are put in, several to one if need be.
+PHRASES, RECORDS, PARTS = 5_000, 20_000, 16_000
 #: Code points worked on at once, unless one text is longer.
 SLICE = 600_000
 OTHER = U(0xA0761D6478BD642F)
@@ -128,57 +130,43 @@ def _by_bucket(bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> Itera
 
 
 def _entries(keys: np.ndarray, texts: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """First pass: anchors (kind 0) and probed windows (kind 1), known: already seen with two keys in this batch.
+    """First pass: anchors; known 1: already seen with two keys in this batch.
 
     Of a hash known to recur in the batch, one entry goes to the hash's bucket, and all its occurrences, as settled
     ones (known 2), to buckets by their key, so that no hash gathers more than an entry or two a batch.
     """
-    h, check, rec, pos, kind = [], [], [], [], []
+    h, rec, pos = [], [], []
     base = 0
-    for k, t, _ in sliced(keys, texts):
+    for _, t, _ in sliced(keys, texts):
         a = Anchors(t)
         if len(a.pos):
-            off = a.starts[a.text]
             h.append(a.hashes(a.pos, GRAM))
-            check.append(np.zeros(len(a.pos), dtype=np.uint32))
             rec.append(base + a.text)
-            pos.append(a.pos - off)
-            kind.append(np.zeros(len(a.pos), dtype=np.uint8))
-            for d in PROBES:
-                s = a.pos - d
-                ok = np.flatnonzero((s >= a.low) & (s <= a.high))
-                h.append(a.hashes(s[ok], SPAN) ^ flat.MIX_B)
-                check.append(a.checks(s[ok]))
-                rec.append(base + a.text[ok])
-                pos.append(s[ok] - off[ok])
-                kind.append(np.ones(len(ok), dtype=np.uint8))
+            pos.append(a.pos - a.starts[a.text])
         base += len(t)
     if not h:
         return
-    h, check, rec, pos, kind = (np.concatenate(x) for x in (h, check, rec, pos, kind))
+    h, rec, pos = (np.concatenate(x) for x in (h, rec, pos))
     key = keys[rec]
+    check = np.zeros(len(h), dtype=np.uint32)
     here = recurring(h, check, key)
-    # settled occurrences go by key; a window's is only that its record has one
     own = np.flatnonzero(here)
     lead = one_of_each(h, check, own)
     rest = np.flatnonzero(~here)
     at = np.concatenate((rest, lead, own))
     known = np.repeat(np.array([0, 1, 2], dtype=np.uint8), [len(rest), len(lead), len(own)])
     bucket = np.where(known == 2, flat.mix(key[at].astype(U)) % U(buckets), h[at] % U(buckets)).astype(np.int64)
-    yield from _by_bucket(bucket, buckets, h=h[at], check=check[at], key=key[at], pos=pos[at].astype(np.uint32), kind=kind[at], known=known)
+    yield from _by_bucket(bucket, buckets, h=h[at], key=key[at], pos=pos[at].astype(np.uint32), known=known)
 
 
 def _occurrences(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    h, check, key, pos, kind, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "u4", "i8", "u4", "u1", "u1") for b in blobs)))
+    h, key, pos, known = (np.concatenate(x) for x in zip(*(unpack(b, "u8", "i8", "u4", "u1") for b in blobs)))
     settled = known == 2
     open_ = np.flatnonzero(~settled)
-    many = recurring(h[open_], check[open_], key[open_], known[open_])
+    many = recurring(h[open_], np.zeros(len(open_), dtype=np.uint32), key[open_], known[open_])
     # an entry known to recur stands for occurrences that come as settled ones
     take = np.concatenate((np.flatnonzero(settled), open_[many & (known[open_] == 0)]))
-    h, key, pos, kind = h[take], key[take], pos[take], kind[take]
-    proven = np.unique(key[kind == 1])
-    anchor = kind == 0
-    return {"key": np.concatenate((proven, key[anchor])), "pos": np.concatenate((np.full(len(proven), -1), pos[anchor])), "anchor": np.concatenate((np.zeros(len(proven), dtype=np.int64), h[anchor].view(np.int64)))}
+    return {"key": key[take], "pos": pos[take], "anchor": h[take].view(np.int64)}
 
 
 def _grouped(parts: DataFrame, buckets: int, f, schema: str) -> DataFrame:
@@ -208,11 +196,10 @@ def _buckets(df: DataFrame, entries: float) -> int:
 
 
 def occurrences(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """(records, places, buckets): the usable records; places has pos -1 for a record proven to share a window, else
-    an occurrence of a recurring anchor."""
+    """(records, places, buckets): the usable records, and key, pos and hash of the anchors that recur."""
     records = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where((F.length("text") >= SPAN) & F.col("key").isNotNull())
     chars = records.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = _buckets(df, chars / 36)
+    buckets = _buckets(df, chars / 80)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,6 +209,19 @@ def occurrences(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     return records, checkpointed(_grouped(parts, buckets, _occurrences, "key bigint, pos bigint, anchor bigint")), buckets
 
 
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        out.add_word(p)
+    out.make_automaton()
+    return out
+
+
+def located(machine: ahocorasick.Automaton, text: str) -> list[int]:
+    """Where the phrases begin in a text, all of them."""
+    return [end - size + 1 for end, size in machine.iter(text)]
+
+
 def _windows(keys: np.ndarray, texts: list[str], places: list[list[int]], buckets: int) -> Iterator[tuple[int, bytes]]:
     """Second pass: all windows of the anchors at these places; known as in the first pass."""
     h, check, rec, start, bucket = [], [], [], [], []
@@ -278,15 +278,45 @@ def _covered(blobs: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def stretches_at(records: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
-    """key, first, last: stretches of starts of windows that another record has, at these anchors."""
-    at = places.groupBy("key").agg(F.collect_list("pos").alias("places"))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _emit(_windows(b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), buckets))
-
-    parts = records.join(at, "key").select("key", "text", "places").mapInArrow(post, "bucket int, blob binary")
-    return _grouped(parts, buckets, _covered, "key bigint, first bigint, last bigint")
+    """key, first, last: stretches of starts of windows that another record has, at the phrases of these anchors."""
+    shards = max(1, math.ceil(places.select("anchor").distinct().count() / PHRASES))
+    at = places.select("key", "pos", "anchor", F.pmod("anchor", F.lit(shards)).alias("shard"))
+    # a record goes to each shard it has an anchor in; a shard of many records is spread over several tasks
+    route = at.select("key", "shard").distinct()
+    salts = route.groupBy("shard").agg(F.ceil(F.count("*") / RECORDS).cast("int").alias("salts"))
+    route = route.join(salts, "shard").select("key", "shard", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    texts = route.join(records, "key").select("shard", "salt", F.lit(1).alias("kind"), "key", "text")
+    # one record of each phrase gives its letters
+    one = at.groupBy("anchor", "shard").agg(F.min(F.struct("key", "pos")).alias("p")).select("shard", F.col("p.key").alias("key"), F.col("p.pos").alias("pos"))
+    phrases = one.join(records, "key").select("shard", F.substring("text", F.col("pos").cast("int") + 1, F.lit(GRAM)).alias("text")).join(salts, "shard")
+    phrases = phrases.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "text")
+    # partitions as full as there are shards for, at least one a core
+    parts = min(PARTS, max(shards, records.sparkSession.sparkContext.defaultParallelism))
+    rows = phrases.unionByName(texts).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, letters, machine = None, [], None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                b = batch.slice(lo, 2000)
+                keys, use, found = [], [], []
+                for shard, salt, kind, k, t in zip(*(c.to_pylist() for c in b.columns)):
+                    if current != (shard, salt):
+                        current, letters, machine = (shard, salt), [], None
+                    if kind == 0:
+                        letters.append(t)
+                        continue
+                    if machine is None:
+                        machine, letters = automaton(letters), []
+                    got = located(machine, t)
+                    if got:
+                        keys.append(k)
+                        use.append(t)
+                        found.append(got)
+                if keys:
+                    yield from _emit(_windows(np.array(keys, dtype=np.int64), use, found, buckets))
+
+    return _grouped(rows.mapInArrow(stream, "bucket int, blob binary"), buckets, _covered, "key bigint, first bigint, last bigint")
 
 
 def sharing_records(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -295,19 +325,12 @@ def sharing_records(df: DataFrame, key: str, text: str) -> DataFrame:
     Records with a null key or text, or of fewer characters, hold none; rows with one key are one record. Characters
     are code points, compared as they are.
     """
-    records, places, buckets = occurrences(df, key, text)
-    proven = places.where("pos = -1").select("key").distinct()
-    anchors = places.where("pos >= 0")
-    # anchors of records that aren't proven yet, wherever they occur
-    left = anchors.join(proven, "key", "left_anti").select("anchor").distinct()
-    more = stretches_at(records, anchors.join(left, "anchor", "left_semi"), buckets).select("key")
-    return proven.unionByName(more).distinct().withColumnRenamed("key", "record_key")
+    return stretches_at(*occurrences(df, key, text)).select(F.col("key").alias("record_key")).distinct()
 
 
 def shared_stretches(df: DataFrame, key: str, text: str) -> DataFrame:
     """record_key, start, end: the maximal stretches (0-based, end excluded) whose windows all occur elsewhere."""
-    records, places, buckets = occurrences(df, key, text)
-    found = stretches_at(records, places.where("pos >= 0"), buckets).select("key", F.col("first").alias("lo"), (F.col("last") + SPAN).alias("hi"))
+    found = stretches_at(*occurrences(df, key, text)).select("key", F.col("first").alias("lo"), (F.col("last") + SPAN).alias("hi"))
     w = W.partitionBy("key").orderBy("lo", "hi")
     seen = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(seen.isNull() | (seen < F.col("lo")), 1).otherwise(0)).withColumn("no", F.sum("new").over(w))

@@ -186,7 +186,18 @@ def covered(rows, span):
     return out
 
 
-def test_shared_spans(spark):
+def test_automata_locate_every_phrase():
+    text = "xabcabcy" * 3
+    got = shared_spans.located(shared_spans.automaton(["abc", "bca", "γ😀z"]), text + "γ😀z")
+    assert sorted(got) == sorted([i for i in range(24) if text[i : i + 3] in ("abc", "bca")] + [24])
+
+
+@pytest.mark.parametrize("phrases,records,parts", [(5000, 20_000, 16_000), (7, 5, 2)])
+def test_shared_spans(spark, monkeypatch, phrases, records, parts):
+    # many small shards, each spread over tasks and several in a partition, find the same
+    monkeypatch.setattr(shared_spans, "PHRASES", phrases)
+    monkeypatch.setattr(shared_spans, "RECORDS", records)
+    monkeypatch.setattr(shared_spans, "PARTS", parts)
     r = random.Random(7)
     alphabet = "abcdef \nγ😀"
     pool = ["".join(r.choice(alphabet) for _ in range(n)) for n in (299, 300, 301, 420, 700, 1500)]
