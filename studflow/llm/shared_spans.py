@@ -7,8 +7,9 @@
 2. The phrases are compiled into sharded Aho-Corasick automata of at most about PHRASES each. A record is streamed
    through the automata of the shards that it has an anchor in, and no other, so that the work grows with the records
    and not with records times shards; the automaton confirms the phrases letter by letter and locates all of them.
-3. At located phrases every window is hashed, and a window that two records have is shared. No two records are compared
-   as a pair. Windows are told apart by two hashes of 96 bits in all, beside the phrase: among 10^12 windows two
+3. At located phrases every window is hashed, and a window that two records have is shared. The records of a shard are
+   in one task, unless they are many; then those windows that aren't settled there meet by their phrase. No two records
+   are compared as a pair. Windows are told apart by two hashes of 96 bits in all, beside the phrase: among 10^12 windows two
    different ones agree with a chance of 1 in 10^5.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -32,19 +34,19 @@ SPAN, GRAM = 300, 128
 WIDTH = SPAN - GRAM + 1
 #: Phrases of a shard's automaton, which stays small enough for fast memory; records that one task streams through it;
 #: partitions that shards are put in, several to one if need be.
-PHRASES, RECORDS, PARTS = 5_000, 20_000, 16_000
+PHRASES, RECORDS, PARTS = 5_000, 40_000, 16_000
 #: Code points worked on at once, unless one text is longer.
 SLICE = 600_000
 OTHER = U(0xA0761D6478BD642F)
 _INVERSE = U(pow(int(flat.MULT), -1, 1 << 64))
 
 
-class Anchors:
-    """Anchors and window hashes of some texts, laid end to end."""
+class Sums:
+    """Hashes of pieces of some texts, laid end to end, by running sums."""
 
     def __init__(self, texts: list[str]):
-        cp, starts = flat.codepoints(texts)
-        n = len(cp)
+        cp, self.starts = flat.codepoints(texts)
+        self.n = n = len(cp)
         power = np.full(n + 1, flat.MULT)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
@@ -53,19 +55,31 @@ class Anchors:
         np.multiply.accumulate(self.inverse, out=self.inverse)
         self.sums = np.zeros(n + 1, dtype=U)
         np.cumsum((cp.astype(U) * flat.MIX_A + flat.MIX_B) * power[:n], out=self.sums[1:])
-        # a second sum, for windows that have to be told apart by more than 64 bits
-        self.more = np.zeros(n + 1, dtype=U)
-        np.cumsum(flat.mix(cp.astype(U) + OTHER) * power[:n], out=self.more[1:])
-        self.starts = starts
-        length = np.diff(starts) - 1
-        windows = np.maximum(length - SPAN + 1, 0)
+        self.cp, self.power = cp, power
+
+    def hashes(self, start: np.ndarray, size: int) -> np.ndarray:
+        return flat.mix((self.sums[start + size] - self.sums[start]) * self.inverse[start])
+
+    def checks(self, start: np.ndarray) -> np.ndarray:
+        """Another 32 bits of the windows that begin here."""
+        more = np.zeros(self.n + 1, dtype=U)
+        np.cumsum(flat.mix(self.cp.astype(U) + OTHER) * self.power[: self.n], out=more[1:])
+        return (flat.mix((more[start + SPAN] - more[start]) * self.inverse[start]) >> U(32)).astype(np.uint32)
+
+
+class Anchors(Sums):
+    """The anchors of all windows: for each its text and its place."""
+
+    def __init__(self, texts: list[str]):
+        super().__init__(texts)
+        windows = np.maximum(np.diff(self.starts) - SPAN, 0)  # a separator follows each text
         text = np.repeat(np.arange(len(texts)), windows)
         begin = np.concatenate(([0], np.cumsum(windows)))[:-1]
-        at = np.arange(len(text)) + (starts[:-1] - begin)[text]
+        at = np.arange(len(text)) + (self.starts[:-1] - begin)[text]
         if not len(at):
-            self.text = self.pos = self.low = self.high = at
+            self.text = self.pos = at
             return
-        v = self.hashes(np.arange(n - GRAM + 1), GRAM)
+        v = self.hashes(np.arange(self.n - GRAM + 1), GRAM)
         # 40 bits of the hash, then the position, later ones first
         v = (v & ~U(0xFFFFFF)) | (~np.arange(len(v), dtype=U) & U(0xFFFFFF))
         reach = 1
@@ -77,17 +91,7 @@ class Anchors:
         pos = at + ((((~v[at]) & U(0xFFFFFF)).astype(np.int64) - at) & 0xFFFFFF)
         new = np.ones(len(at), dtype=bool)
         new[1:] = (pos[1:] != pos[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        #: For each anchor its text, its place, and the first and the last window start that it stands for.
-        self.text, self.pos, self.low, self.high = text[first], pos[first], at[first], at[last]
-
-    def hashes(self, start: np.ndarray, size: int) -> np.ndarray:
-        return flat.mix((self.sums[start + size] - self.sums[start]) * self.inverse[start])
-
-    def checks(self, start: np.ndarray) -> np.ndarray:
-        """Another 32 bits of the windows that begin here."""
-        return (flat.mix((self.more[start + SPAN] - self.more[start]) * self.inverse[start]) >> U(32)).astype(np.uint32)
+        self.text, self.pos = text[new], pos[new]
 
 
 def sliced(keys: np.ndarray, texts: list[str], extra: list | None = None) -> Iterator[tuple[np.ndarray, list[str], list | None]]:
@@ -222,38 +226,47 @@ def located(machine: ahocorasick.Automaton, text: str) -> list[int]:
     return [end - size + 1 for end, size in machine.iter(text)]
 
 
-def _windows(keys: np.ndarray, texts: list[str], places: list[list[int]], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Second pass: all windows of the anchors at these places; known as in the first pass."""
-    h, check, rec, start, bucket = [], [], [], [], []
-    base = 0
-    for _, t, p in sliced(keys, texts, places):
-        a = Anchors(t)
-        if len(a.pos):
-            wanted = np.concatenate([np.asarray(x, dtype=np.int64) + a.starts[k] for k, x in enumerate(p)])
-            use = np.flatnonzero(np.isin(a.pos, wanted))
-            n = a.high[use] - a.low[use] + 1
-            who = np.repeat(use, n)
-            s = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + a.low[who]
-            h.append(a.hashes(s, SPAN))
-            check.append(a.checks(s))
-            rec.append(base + a.text[who])
-            start.append(s - a.starts[a.text[who]])
-            bucket.append(np.repeat((a.hashes(a.pos[use], GRAM) % U(buckets)).astype(np.int64), n))
-        base += len(t)
-    if not h:
-        return
-    h, check, rec, start, bucket = (np.concatenate(x) for x in (h, check, rec, start, bucket))
-    key = keys[rec]
-    here = recurring(h, check, key)
+class Windows(NamedTuple):
+    """Windows of records: two hashes, the record's key, the first character, and the bucket of the phrase in it."""
+
+    h: np.ndarray
+    check: np.ndarray
+    key: np.ndarray
+    start: np.ndarray
+    bucket: np.ndarray
+
+
+def _windows(keys: np.ndarray, texts: list[str], places: list[list[int]], buckets: int) -> Iterator[Windows]:
+    """Second pass: all windows that hold a phrase that begins at one of these places."""
+    for k, t, p in sliced(keys, texts, places):
+        a = Sums(t)
+        count = np.array([len(x) for x in p], dtype=np.int64)
+        who = np.repeat(np.arange(len(t)), count)
+        at = np.concatenate([np.asarray(x, dtype=np.int64) for x in p]) if len(p) else np.zeros(0, dtype=np.int64)
+        low, high = np.maximum(at - (SPAN - GRAM), 0), np.minimum(at, np.diff(a.starts)[who] - 1 - SPAN)
+        fits = high >= low
+        who, at, low, high = who[fits], at[fits], low[fits], high[fits]
+        n = high - low + 1
+        of = np.repeat(np.arange(len(n)), n)
+        start = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
+        begin = start + a.starts[who[of]]
+        bucket = (a.hashes(at + a.starts[who], GRAM) % U(buckets)).astype(np.int64)
+        yield Windows(a.hashes(begin, SPAN), a.checks(begin), k[who[of]], start, bucket[of])
+
+
+def _sent(w: Windows, buckets: int, whole: bool) -> Iterator[tuple[int, bytes]]:
+    """What has to be told of some windows: the stretches of those that recur among them, which go by key (known 2);
+    and unless these are all the records that have the phrases, the others, which may recur elsewhere, and one of each
+    that does here (known 0 and 1), which go by their phrase."""
+    here = recurring(w.h, w.check, w.key)
     own = np.flatnonzero(here)
-    lead = one_of_each(h, check, own)
-    rest = np.flatnonzero(~here)
-    # settled windows as stretches of window starts
-    key_, lo, hi = stretches(key[own], start[own])
-    by_key = (flat.mix(key_.astype(U)) % U(buckets)).astype(np.int64)
+    key, lo, hi = stretches(w.key[own], w.start[own])
+    none = np.zeros(0, dtype=np.int64)
+    lead, rest = (none, none) if whole else (one_of_each(w.h, w.check, own), np.flatnonzero(~here))
     at = np.concatenate((rest, lead))
-    known = np.repeat(np.array([0, 1], dtype=np.uint8), [len(rest), len(lead)])
-    yield from _by_bucket(np.concatenate((bucket[at], by_key)), buckets, h=np.concatenate((h[at], np.zeros(len(lo), dtype=U))), check=np.concatenate((check[at], np.zeros(len(lo), dtype=np.uint32))), key=np.concatenate((key[at], key_)), lo=np.concatenate((start[at], lo)).astype(np.uint32), hi=np.concatenate((start[at], hi)).astype(np.uint32), known=np.concatenate((known, np.full(len(lo), 2, dtype=np.uint8))))
+    known = np.repeat(np.array([0, 1, 2], dtype=np.uint8), [len(rest), len(lead), len(key)])
+    bucket = np.concatenate((w.bucket[at], (flat.mix(key.astype(U)) % U(buckets)).astype(np.int64)))
+    yield from _by_bucket(bucket, buckets, h=np.concatenate((w.h[at], np.zeros(len(key), dtype=U))), check=np.concatenate((w.check[at], np.zeros(len(key), dtype=np.uint32))), key=np.concatenate((w.key[at], key)), lo=np.concatenate((w.start[at], lo)).astype(np.uint32), hi=np.concatenate((w.start[at], hi)).astype(np.uint32), known=known)
 
 
 def stretches(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,25 +297,39 @@ def stretches_at(records: DataFrame, places: DataFrame, buckets: int) -> DataFra
     # a record goes to each shard it has an anchor in; a shard of many records is spread over several tasks
     route = at.select("key", "shard").distinct()
     salts = route.groupBy("shard").agg(F.ceil(F.count("*") / RECORDS).cast("int").alias("salts"))
-    route = route.join(salts, "shard").select("key", "shard", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    texts = route.join(records, "key").select("shard", "salt", F.lit(1).alias("kind"), "key", "text")
+    route = route.join(salts, "shard").select("key", "shard", "salts", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    texts = route.join(records, "key").select("shard", "salt", F.lit(1).alias("kind"), "salts", "key", "text")
     # one record of each phrase gives its letters
     one = at.groupBy("anchor", "shard").agg(F.min(F.struct("key", "pos")).alias("p")).select("shard", F.col("p.key").alias("key"), F.col("p.pos").alias("pos"))
     phrases = one.join(records, "key").select("shard", F.substring("text", F.col("pos").cast("int") + 1, F.lit(GRAM)).alias("text")).join(salts, "shard")
-    phrases = phrases.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "text")
+    phrases = phrases.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "salts", F.lit(0).cast("bigint").alias("key"), "text")
     # partitions as full as there are shards for, at least one a core
     parts = min(PARTS, max(shards, records.sparkSession.sparkContext.defaultParallelism))
     rows = phrases.unionByName(texts).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, letters, machine = None, [], None
+        current, letters, machine, held = None, [], None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from _emit(_sent(Windows(*(np.concatenate(x) for x in zip(*held))), buckets, current[2] == 1))
+                held.clear()
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
-                b = batch.slice(lo, 2000)
                 keys, use, found = [], [], []
-                for shard, salt, kind, k, t in zip(*(c.to_pylist() for c in b.columns)):
-                    if current != (shard, salt):
-                        current, letters, machine = (shard, salt), [], None
+
+                def hashed() -> None:
+                    if keys:
+                        held.extend(_windows(np.array(keys, dtype=np.int64), use, found, buckets))
+                    for x in (keys, use, found):
+                        x.clear()
+
+                for shard, salt, kind, salts_, k, t in zip(*(c.to_pylist() for c in batch.slice(lo, 2000).columns)):
+                    if current is None or current[:2] != (shard, salt):
+                        hashed()
+                        yield from told()
+                        current, letters, machine = (shard, salt, salts_), [], None
                     if kind == 0:
                         letters.append(t)
                         continue
@@ -313,8 +340,8 @@ def stretches_at(records: DataFrame, places: DataFrame, buckets: int) -> DataFra
                         keys.append(k)
                         use.append(t)
                         found.append(got)
-                if keys:
-                    yield from _emit(_windows(np.array(keys, dtype=np.int64), use, found, buckets))
+                hashed()
+        yield from told()
 
     return _grouped(rows.mapInArrow(stream, "bucket int, blob binary"), buckets, _covered, "key bigint, first bigint, last bigint")
 
