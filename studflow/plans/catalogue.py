@@ -41,13 +41,31 @@ def _rounded(c: Column, n: int = 6) -> Column:
 # --- problem 6 -------------------------------------------------------------------------------------------------
 
 
-@query()
+def _records_sql() -> str:
+    """CTE v: raw_id, the five fields, and the reason (null for good records)."""
+    per = lambda f: "CASE delim WHEN 'semicolon' THEN " + f(";") + " WHEN 'tab' THEN " + f("\\t") + " ELSE " + f(",") + " END"
+    field = lambda d: f'"(?:[^"]|"")*"|[^"{d}]*'
+    whole = per(lambda d: f"regexp_full_match(rec, '(?:{field(d)})(?:{d}(?:{field(d)}))*')")
+    parts = per(lambda d: f"regexp_extract_all('{d.replace('\\t', chr(9))}' || rec, '{d}({field(d)})', 1)")
+    n = "'0|[1-9][0-9]*'"
+    small = lambda c: f"(length({c}) < 19 OR length({c}) = 19 AND {c} <= '9223372036854775807')"
+    return f"""
+WITH r AS (SELECT raw_id, delim, CASE WHEN record LIKE '%' || chr(13) || chr(10) THEN left(record, -2) WHEN record LIKE '%' || chr(10) OR record LIKE '%' || chr(13) THEN left(record, -1) ELSE record END AS rec FROM raw_scored),
+q AS (SELECT raw_id, rec, {whole} AS quoted, {parts} AS f FROM r),
+u AS (SELECT raw_id, rec, quoted, list_transform(f, lambda x: CASE WHEN starts_with(x, '"') THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM q),
+e AS (SELECT raw_id, rec, quoted, len(f) AS n, f[1] AS id, f[2] AS sample, f[3] AS text, f[4] AS n_actions, f[5] AS invalid FROM u),
+v AS (SELECT *, CASE WHEN rec IS NULL THEN 'columns' WHEN NOT quoted THEN 'quoting' WHEN n <> 5 THEN 'columns'
+  WHEN regexp_full_match(id, '[\\s\\p{{Z}}]*') OR regexp_full_match(text, '[\\s\\p{{Z}}]*') OR NOT regexp_full_match(sample, {n}) OR NOT regexp_full_match(n_actions, {n}) OR n_actions = '0' OR NOT (invalid = '' OR regexp_full_match(invalid, {n}))
+    OR NOT {small('sample')} OR NOT {small('n_actions')} OR invalid <> '' AND NOT {small('invalid')} OR TRY_CAST(nullif(invalid, '') AS BIGINT) > TRY_CAST(n_actions AS BIGINT) THEN 'value' END AS reason FROM e)"""
+
+
+@query(_records_sql() + " SELECT raw_id, reason FROM v WHERE reason IS NOT NULL")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that can't be read, with the reason."""
     return records.bad_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
 
 
-@query()
+@query(_records_sql() + " SELECT raw_id, id, CAST(sample AS BIGINT) AS sample, text, CAST(n_actions AS BIGINT) AS n_actions, CAST(nullif(invalid, '') AS BIGINT) AS invalid FROM v WHERE reason IS NULL")
 def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     """The good records in typed columns."""
     return records.good_records(load(spark, d, "raw_scored"), "raw_id", "record", "delim").withColumnRenamed("key", "raw_id")
@@ -60,7 +78,8 @@ def _letters(s: str) -> str:
     return f"(CASE WHEN regexp_full_match({s}, '[a-z]{{1,13}}') THEN CAST(list_sum(list_transform(generate_series(1, length({s})), lambda i: (ascii(substr({s}, CAST(i AS INT), 1)) - 96) * power(26, length({s}) - i))) - 1 AS BIGINT) END)"
 
 
-def _score_sql(table: str, key: str, text: str) -> str:
+def _checked_sql(table: str, key: str, text: str) -> str:
+    """CTEs up to o: each pair's lines, with ok."""
     deg = lambda t: f"regexp_full_match({t}, '0|[1-9][0-9]?|[12][0-9][0-9]|3[0-5][0-9]')"
     mates = lambda pairs: "least(ps, cs) || '+' || greatest(ps, cs) IN (" + ", ".join(f"'{a}+{b}'" for a, b in pairs) + ")"
     return f"""
@@ -81,13 +100,17 @@ j AS (SELECT h.*, p.name IS NOT NULL AS has_part, q.name IS NOT NULL AS has_colo
   LEFT JOIN (SELECT DISTINCT name FROM parts) p ON h.nm = p.name LEFT JOIN (SELECT DISTINCT name FROM colors) q ON substr(h.line, h.bar + 3) = q.name
   LEFT JOIN c a ON h.pname = a.name AND h.ps = a.sub AND coalesce(h.pp, '') = a.pol
   LEFT JOIN c b ON h.cname = b.name AND h.cs = b.sub AND (CASE h.pp WHEN 'in' THEN 'on' WHEN 'on' THEN 'in' ELSE '' END) = b.pol),
-o AS (SELECT {key}, n_actions, n, pair, coalesce(CASE WHEN is_node THEN bar > 0 AND regexp_full_match(split_part(lft, ' ', 1), '[a-z]+') AND strpos(lft, ' ') > 0 AND has_part AND has_color
+o AS (SELECT {key}, n_actions, n, pair, is_node, line, nm, bar, coalesce(CASE WHEN is_node THEN bar > 0 AND regexp_full_match(split_part(lft, ' ', 1), '[a-z]+') AND strpos(lft, ' ') > 0 AND has_part AND has_color
   ELSE par < pair AND pc < pn AND cc < cn2 AND CASE fam
     WHEN 'stud' THEN len(w) = 7 AND {mates(S.STUD_MATES)} AND {deg('w[7]')}
     WHEN 'axle' THEN len(w) = 9 AND {mates(S.AXLE_MATES)} AND w[7] IN ('flip', 'regular') AND {deg('w[8]')} AND regexp_full_match(w[9], '0|-?[1-9][0-9]{{0,17}}')
     WHEN 'hinge' THEN len(w) = 8 AND pp IS NOT NULL AND w[7] IN ('flip', 'regular') AND {deg('w[8]')}
     WHEN 'ball' THEN len(w) = 9 AND pp IS NOT NULL AND {deg('w[7]')} AND {deg('w[8]')} AND {deg('w[9]')}
-    WHEN 'fixed' THEN len(w) = 6 AND pp IS NOT NULL ELSE FALSE END END, FALSE) AS ok FROM j)
+    WHEN 'fixed' THEN len(w) = 6 AND pp IS NOT NULL ELSE FALSE END END, FALSE) AS ok FROM j)"""
+
+
+def _score_sql(table: str, key: str, text: str) -> str:
+    return f"""{_checked_sql(table, key, text)}
 SELECT {key}, any_value(n_actions) AS n_actions, CAST(least(min(CASE WHEN NOT ok THEN pair END), CASE WHEN any_value(n) % 2 = 0 THEN any_value(n) // 2 END) AS INT) AS invalid FROM o GROUP BY {key}"""
 
 
@@ -107,7 +130,18 @@ def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return grammar.trees(load(spark, d, "paths"), "path_id", "path", *_catalogue(spark, d))
 
 
-@query()
+def _rewritten_sql() -> str:
+    c = lambda x: f"chr(CAST(97 + {x} AS INT))"
+    letters = f"CASE WHEN pair < 26 THEN {c('pair')} WHEN pair < 702 THEN {c('(pair - 26) // 26')} || {c('(pair - 26) % 26')} ELSE {c('(pair - 702) // 676')} || {c('(pair - 702) // 26 % 26')} || {c('(pair - 702) % 26')} END"
+    return f"""{_checked_sql("paths", "path_id", "path")},
+b AS (SELECT path_id, min(CASE WHEN NOT ok THEN pair END) AS bad FROM o GROUP BY path_id),
+k AS (SELECT o.* FROM o JOIN b USING (path_id) WHERE bad IS NULL OR pair < bad),
+i AS (SELECT name, arg_max(code, ord) AS code FROM colors GROUP BY name), z AS (SELECT code, arg_max(name, ord) AS color FROM colors GROUP BY code)
+SELECT path_id, string_agg(CASE WHEN is_node THEN {letters} || ' ' || nm || ' | ' || color ELSE line END, chr(10) ORDER BY pair, is_node DESC) || chr(10) AS text
+FROM k LEFT JOIN i ON is_node AND substr(line, bar + 3) = i.name LEFT JOIN z USING (code) GROUP BY path_id"""
+
+
+@query(_rewritten_sql())
 def path_rewritten(spark: SparkSession, d: str) -> DataFrame:
     """Each path parsed and written again, with canonical labels and colour names."""
     return grammar.serialized(*_trees(spark, d), *_catalogue(spark, d)[:2]).withColumnRenamed("key", "path_id")
@@ -289,6 +323,48 @@ def unpacked_offsets(spark: SparkSession, d: str) -> DataFrame:
     return offsets.unpacked(packed_offsets(spark, d), "o_orderkey")
 
 
+_MATES = lambda pairs: "least(a.sub, b.sub) || '+' || greatest(a.sub, b.sub) IN (" + ", ".join(f"'{x}+{y}'" for x, y in pairs) + ")"
+_DOT = lambda i, j: " + ".join(f"a.frame[{4 * k + i + 1}] * b.frame[{4 * k + j + 1}]" for k in range(3))
+_GRID = (10.0, 8.0, 10.0)  # places are rounded to it, so that parts stand where their connectors may meet
+_JOINTS = f"""
+n AS (SELECT vec_id AS node, CAST(vec_id % (SELECT count(*) FROM parts) AS INT) AS part_id, round(CAST(embedding[1] AS DOUBLE) * 9) * {_GRID[0]} AS x, round(CAST(embedding[2] AS DOUBLE) * 9) * {_GRID[1]} AS y, round(CAST(embedding[3] AS DOUBLE) * 9) * {_GRID[2]} AS z, CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE 1.0 END AS t FROM embeddings),
+m AS (SELECT node, conn_idx, kind, sub, pol, greatest(coalesce(length, 0), 4) AS r, x, y, z, list_transform(frame, lambda v, i: CASE WHEN i > 4 THEN t * v ELSE v END) AS frame FROM n JOIN connectors USING (part_id)),
+c AS (SELECT *, x + frame[4] AS px, y + frame[8] AS py, z + frame[12] AS pz FROM m),
+j AS (SELECT a.node AS a, a.conn_idx AS a_conn, b.node AS b, b.conn_idx AS b_conn, a.kind, a.sub AS a_sub, pow(a.px - b.px, 2) + pow(a.py - b.py, 2) + pow(a.pz - b.pz, 2) AS d2, {_DOT(1, 1)} AS along, {_DOT(2, 0)} AS zx, {_DOT(0, 0)} AS xx, {_DOT(0, 0)} + {_DOT(1, 1)} + {_DOT(2, 2)} AS trace,
+  -((b.px - a.px) * b.frame[2] + (b.py - a.py) * b.frame[6] + (b.pz - a.pz) * b.frame[10]) AS proj, -((b.px - a.px) * a.frame[2] + (b.py - a.py) * a.frame[6] + (b.pz - a.pz) * a.frame[10]) AS slide, a.r + b.r AS rr, CASE a.kind WHEN 'stud' THEN 'stud' ELSE a.kind END AS family
+  FROM c a JOIN c b ON a.node <> b.node AND abs(a.px - b.px) <= 3 + a.r + b.r AND abs(a.py - b.py) <= 3 + a.r + b.r AND abs(a.pz - b.pz) <= 3 + a.r + b.r
+  WHERE a.kind = 'stud' AND b.kind = 'hole' AND {_MATES(S.STUD_MATES)} OR a.kind = b.kind AND a.kind IN ('hinge', 'ball', 'fixed') AND a.sub = b.sub AND a.pol = 'in' AND b.pol = 'on' OR a.kind = 'axle' AND b.kind = 'axle' AND {_MATES(S.AXLE_MATES)} AND a.sub IN ('socket', 'cross', 'clip') AND b.sub NOT IN ('socket', 'cross', 'clip')),
+e AS (SELECT * FROM j WHERE CASE family WHEN 'axle' THEN abs(along) >= 0.9 AND d2 - proj * proj <= 9 AND (rr - abs(proj) >= 4 OR sqrt(greatest(0, 9 - greatest(d2 - proj * proj, 0))) >= 4 - (rr - abs(proj)) - 1e-4)
+  WHEN 'stud' THEN d2 <= 9 AND along >= 0.95 WHEN 'hinge' THEN d2 <= 9 AND abs(along) >= 0.95 WHEN 'ball' THEN d2 <= 9 ELSE d2 <= 9 AND (a_sub NOT IN ('0', '1', '2', '3') OR along >= 0.9999 AND trace >= 2.99) END)"""
+
+
+def _placed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of the catalogue, each placed at a point of a grid, every third upside down: the nodes of one graph."""
+    parts = load(spark, d, "parts").agg(F.count("*").alias("n"))
+    at = lambda k: F.round(F.get("embedding", F.lit(k)).cast("double") * 9) * _GRID[k]
+    turn = F.when(F.col("vec_id") % 3 == 0, -1.0).otherwise(1.0)
+    row = lambda k: [(turn if k else F.lit(1.0)) if i == k else F.lit(0.0) for i in range(3)] + [at(k)]
+    xf = F.array(*row(0), *row(1), *row(2), *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    return load(spark, d, "embeddings").join(F.broadcast(parts)).select(F.lit(0).alias("graph_id"), F.col("vec_id").cast("int").alias("node"), (F.col("vec_id") % F.col("n")).cast("int").alias("part_id"), F.lit(0).alias("color"), xf.alias("xf"))
+
+
+@query(f"WITH {_JOINTS} SELECT family, CAST(a AS INT) AS a, a_conn, CAST(b AS INT) AS b, b_conn, CASE WHEN family IN ('hinge', 'axle') THEN along < 0 ELSE FALSE END AS turned, CAST(CASE WHEN family = 'axle' THEN round(slide, 4) + 0.0 WHEN family IN ('stud', 'hinge') THEN round(cos(atan2(-(zx), xx)), 4) + 0.0 ELSE 0.0 END AS DOUBLE) AS measure FROM e")
+def part_joints(spark: SparkSession, d: str) -> DataFrame:
+    """All joints of parts placed on a grid, with their measures: the slide of axles, the cosine of the turn of studs and
+    hinges (whose sign at a half turn is a matter of the last bit)."""
+    e = assembly.graph_edges(_placed_parts(spark, d), load(spark, d, "connectors"))
+    measure = F.when(F.col("family") == "axle", F.col("yaw")).when(F.col("family").isin("stud", "hinge"), F.cos("yaw")).otherwise(0.0)
+    return e.select("family", "a", "a_conn", "b", "b_conn", F.col("flip").alias("turned"), _rounded(measure, 4).alias("measure"))
+
+
+@query(f"WITH RECURSIVE {_JOINTS}, g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT node, node AS low FROM n UNION SELECT g.b, w.low FROM w JOIN g ON g.a = w.node), l AS (SELECT node, min(low) AS low FROM w GROUP BY node), s AS (SELECT low, count(*) AS size FROM l GROUP BY low), o AS (SELECT low, size, row_number() OVER (ORDER BY size DESC, low) - 1 AS component_index FROM s) SELECT CAST(node AS INT) AS node, CAST(component_index AS INT) AS component_index, size FROM l JOIN o USING (low)")
+def part_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components of the same graph, the largest first."""
+    nodes = checkpointed(_placed_parts(spark, d))
+    c = assembly.graph_components(nodes, checkpointed(assembly.graph_edges(nodes, load(spark, d, "connectors"))))
+    return c.select("node", "component_index", F.col("size").cast("bigint").alias("size"))
+
+
 # --- captions and evaluation -----------------------------------------------------------------------------------
 
 _PROMPTS = "pr AS (SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS prompt_index, id, caption FROM captions WHERE caption IS NOT NULL), pk AS (SELECT prompt_index, coalesce(id, 'prompt_' || lpad(CAST(prompt_index AS VARCHAR), CAST(greatest(4, length(CAST(prompt_index AS VARCHAR))) AS INT), '0')) AS prompt_key, regexp_replace(caption, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS caption FROM pr)"
