@@ -69,7 +69,7 @@ def parsed_lines(df: DataFrame, key: str, text: str, parts: DataFrame, colors: D
         F.when(fam == "stud", degree(t(6))).when(fam == "axle", degree(t(7))).when(fam == "hinge", degree(t(7))).alias("yaw"),
         F.when(fam.isin("axle", "hinge"), flip(t(6))).alias("flip"), F.when(fam == "axle", canonical_int(t(8))).alias("slide"),
         F.when(fam == "ball", degree(t(6))).alias("rx"), F.when(fam == "ball", degree(t(7))).alias("ry"), F.when(fam == "ball", degree(t(8))).alias("rz"),
-        "parent_name", "child_name",
+        "parent_name", "child_name", "t",
     )
     p = parts.groupBy(F.col("name").alias("p_name")).agg(F.max("part_id").alias("part_id"))
     c = colors.groupBy(F.col("name").alias("c_name")).agg(F.max_by("code", "ord").alias("code"))
@@ -102,6 +102,95 @@ def scores(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFra
     return bad.select("key", "n_actions", F.least("bad", dangling).cast("int").alias("invalid"))
 
 
+def _said(text: Column) -> Column:
+    """A piece of a text in quotes, as messages show it."""
+    t = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    return F.when(F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"')), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _node_reason() -> Column:
+    return (
+        F.when(F.instr("line", " | ") == 0, F.concat(F.lit("node line missing ' | ': "), _said(F.col("line"))))
+        .when(F.col("name") == "", F.concat(F.lit("bad node: "), _said(F.col("line"))))
+        .when(~F.col("label").rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(F.col("label"))))
+        .when(F.col("part_id").isNull(), F.concat(F.lit("unknown part: "), _said(F.col("name"))))
+        .when(F.col("code").isNull(), F.concat(F.lit("unknown color: "), _said(F.col("color"))))
+    )
+
+
+def _edge_reason() -> Column:
+    """What is wrong first on an edge line, in the order in which its words are read."""
+    t = lambda i: F.get("t", F.lit(i))
+    fam = F.col("family")
+    named = fam.isin("stud", "axle")
+    letters = lambda i: F.when(~t(i).rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(t(i))))
+
+    def number(i: int, label: str) -> Column:
+        bad = F.when(~t(i).rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*\z"), F.concat(F.lit(f"{label} is not an integer: "), _said(t(i))))
+        return F.coalesce(bad, F.when(~t(i).rlike(r"^(0|-?[1-9][0-9]*)\z"), F.concat(F.lit(f"{label} has non-canonical form: "), _said(t(i)))))
+
+    degrees = lambda i: F.coalesce(number(i, "degree"), F.when(degree(t(i)).isNull(), F.concat(F.lit("degree "), t(i), F.lit(" not in [0, 360)"))))
+    turned = lambda i: F.when(flip(t(i)).isNull(), F.concat(F.lit("expected regular/flip, got "), _said(t(i))))
+
+    def connector(side: str, at: Column, word: Column) -> Column:
+        sub, pol = F.col(f"{side}_sub"), F.coalesce(f"{side}_pol", F.lit("None"))
+        part = F.col(f"{side}_id").cast("string")
+        none = F.when(F.col(f"{side}_n").isNull(), F.concat(F.lit("part "), part, F.lit(" has no "), sub, F.lit("/"), pol, F.lit(" connectors")))
+        wrong = F.when(~word.rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(word)))
+        far = F.when(F.coalesce(at >= F.col(f"{side}_n"), F.lit(True)), F.concat(sub, F.lit("/"), pol, F.lit("["), at.cast("string"), F.lit("] out of range for part "), part, F.lit(" (has "), F.col(f"{side}_n").cast("string"), F.lit(")")))
+        return F.coalesce(none, wrong, far)
+
+    joined = F.coalesce(connector("parent", F.col("parent_conn"), F.when(named, t(3)).otherwise(t(4))), connector("child", F.col("child_conn"), t(5)))
+    apart = lambda pairs: F.when(~F.concat_ws("+", F.least(t(2), t(4)), F.greatest(t(2), t(4))).isin(*["+".join(q) for q in pairs]), F.concat(F.lit("cannot mate subtypes "), t(2), F.lit("+"), t(4)))
+    sided = F.coalesce(letters(2), F.when(~t(3).isin("in", "on"), F.concat(F.lit("bad polarity: "), _said(t(3)))), joined)
+    own = (
+        F.when(fam == "stud", F.coalesce(joined, apart(STUD_MATES), degrees(6)))
+        .when(fam == "axle", F.coalesce(joined, apart(AXLE_MATES), turned(6), degrees(7), number(8, "slide")))
+        .when(fam == "hinge", F.coalesce(sided, turned(6), degrees(7)))
+        .when(fam == "ball", F.coalesce(sided, degrees(6), degrees(7), degrees(8)))
+        .otherwise(sided)
+    )
+    want = lookup(ARITY, fam)
+    return F.coalesce(
+        F.when(F.size("t") < 2, F.concat(F.lit("bad edge: "), _said(F.col("line")))),
+        F.when(want.isNull(), F.concat(F.lit("unknown edge family: "), _said(fam))),
+        F.when(F.size("t") != want, F.concat(fam, F.lit(" edge expected "), want.cast("string"), F.lit(" tokens, got "), F.size("t").cast("string"))),
+        letters(0),
+        F.when(F.coalesce(F.col("parent") >= F.col("pair"), F.lit(True)), F.concat(F.lit("bad parent ref: "), _said(t(0)))),
+        own,
+    )
+
+
+def errors(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFrame, connectors: DataFrame) -> DataFrame:
+    """key, n_parsed, error: the actions before the first wrong one, and what is wrong with it; error is null for a right
+    text.
+
+    Words are read from the left, a pair's node before its edge. A text that is right but lacks its last line end has
+    that error; an empty text has no line at all and is `empty`. Null texts give no row.
+    """
+    x = parsed_lines(df, key, text, parts, colors, connectors)
+    p = parts.groupBy(F.col("name").alias("n")).agg(F.max("part_id").alias("id"))
+    for side in ("parent", "child"):
+        x = x.join(p.select(F.col("n").alias(f"{side}_name"), F.col("id").alias(f"{side}_id")), f"{side}_name", "left")
+    reason = F.when(F.col("is_node"), _node_reason()).otherwise(_edge_reason())
+    x = x.withColumn("bad", F.when(~F.col("ok"), F.struct("pair", (~F.col("is_node")).alias("edge"), F.coalesce(reason, F.lit("wrong line")).alias("reason"))))
+    got = x.groupBy("key").agg(F.first("n_lines").alias("n_lines"), F.min("bad").alias("bad"))
+    own = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    last = F.substring_index(F.regexp_replace(F.col(text), r"\n\z", ""), "\n", -1)
+    own = own.select(F.col(key).alias("k"), last.alias("last"), F.endswith(F.col(text), F.lit("\n")).alias("ended"), (F.col(text) == "").alias("empty"))
+    x = got.join(own, F.col("key") == F.col("k"))
+    dangling = F.when(F.col("n_lines") % 2 == 0, F.floor(F.col("n_lines") / 2).cast("int"))
+    first = F.least(F.col("bad.pair"), dangling)
+    error = (
+        F.when(F.col("empty"), "empty")
+        .when(F.col("bad.pair").isNotNull() & (F.col("bad.pair") == first), F.col("bad.reason"))
+        .when(dangling.isNotNull(), F.concat(F.lit("dangling node without edge: "), _said(F.col("last"))))
+        .when(~F.col("ended"), "missing trailing newline")
+    )
+    n = F.when(F.col("empty"), 0).otherwise(F.coalesce(first, F.floor((F.col("n_lines") + 1) / 2).cast("int")))
+    return x.select("key", n.cast("int").alias("n_parsed"), error.alias("error"))
+
+
 def trees(df: DataFrame, key: str, text: str, parts: DataFrame, colors: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each text up to its first wrong pair.
 

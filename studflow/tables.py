@@ -21,10 +21,16 @@ def spread(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """df read back from the shared checkpoint folder, so that its lineage ends there and outlives lost executors.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one machine) it's a new
-    temporary one.
+    The folder is the session's spark.checkpoint.dir, which all executors share. Where none is set, a session on one
+    machine (tests, a bench) gets a temporary one; on a cluster that is an error, as a machine's own folder is lost with
+    the machine.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="studflow-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="studflow-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager)

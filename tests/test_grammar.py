@@ -135,3 +135,45 @@ def test_summary(spark):
     assert tuple(grammar.summary(df).first()) == (3, 2, 1, pytest.approx((3 + 1 + 3) / 3))
     assert tuple(grammar.summary(df.withColumn("collisions", F.when(F.col("n_actions") > 3, F.col("collisions")))).first()) == (3, 2, None, None)
     assert tuple(grammar.summary(df.limit(0)).first()) == (0, 0, None, None)
+
+
+N, M = "a Brick 1 x 1 | red\n", "b Brick 1 x 1 | blue\n"
+REASONS = [
+    ("", 0, "empty"),
+    ("\n", 0, "node line missing ' | ': ''"),
+    (GOOD[0], 2, None),
+    (GOOD[0][:-1], 2, "missing trailing newline"),
+    ("A Brick 1 x 1 | red\n", 0, "invalid letter ID: 'A'"),
+    ("a | red\n", 0, "bad node: 'a | red'"),
+    ("a Brick's | red\n", 0, "unknown part: \"Brick's\""),
+    ("a Brick 1 x 1 | rot\n", 0, "unknown color: 'rot'"),
+    (N + M, 1, "dangling node without edge: 'b Brick 1 x 1 | blue'"),
+    (N + M + "a\n", 1, "bad edge: 'a'"),
+    (N + M + "a glue x\n", 1, "unknown edge family: 'glue'"),
+    (N + M + "a stud stud a hole a\n", 1, "stud edge expected 7 tokens, got 6"),
+    (N + M + "7 stud stud a hole a 0\n", 1, "invalid letter ID: '7'"),
+    (N + M + "b stud stud a hole a 0\n", 1, "bad parent ref: 'b'"),
+    (N + M + "a stud tube a hole a 0\n", 1, "part 0 has no tube/None connectors"),
+    (N + M + "a stud stud b hole a 0\n", 1, "stud/None[1] out of range for part 0 (has 1)"),
+    (N + M + "a stud stud a stud a 0\n", 1, "cannot mate subtypes stud+stud"),
+    (N + M + "a stud stud a hole a x\n", 1, "degree is not an integer: 'x'"),
+    (N + M + "a stud stud a hole a 007\n", 1, "degree has non-canonical form: '007'"),
+    (N + M + "a stud stud a hole a 360\n", 1, "degree 360 not in [0, 360)"),
+    ("a Bush | red\nb Axle 2 | blue\na axle socket a axle a turned 0 -5\n", 1, "expected regular/flip, got 'turned'"),
+    ("a Bush | red\nb Axle 2 | blue\na axle socket a axle a flip 0 1.5\n", 1, "slide is not an integer: '1.5'"),
+    ("a Hinge In | red\nb Hinge On | blue\na hinge a up a a flip 359\n", 1, "bad polarity: 'up'"),
+    ("a Hinge In | red\nb Hinge On | blue\na hinge b in a a flip 359\n", 1, "part 3 has no 1/in connectors"),
+    (N + "b Brick | blue\na glue x\n", 1, "unknown part: 'Brick'"),
+]
+
+
+def test_what_is_wrong(spark, catalogue):
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(REASONS)] + [(99, None)], "id int, body string").selectExpr("*", "1 as t", "2 as bad")
+    got = {r["key"]: (r["n_parsed"], r["error"]) for r in grammar.errors(df, "id", "body", *catalogue).collect()}
+    assert got == {k: (n, e) for k, (_, n, e) in enumerate(REASONS)}
+    texts = broken(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    for r in grammar.errors(df, "id", "body", *catalogue).collect():
+        invalid = plain_score(texts[r["key"]])[1]
+        assert (r["error"] in (None, "missing trailing newline")) == (invalid is None) and r["error"] != "wrong line"
+        assert invalid is None or r["n_parsed"] == invalid
