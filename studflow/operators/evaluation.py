@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,3 +67,39 @@ def metric(pooled_: DataFrame) -> DataFrame:
 def worklist(prompts_: DataFrame, k: int) -> DataFrame:
     """Each prompt k times, with a sample number."""
     return prompts_.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+
+def required(prompts_: DataFrame, views_: DataFrame) -> DataFrame:
+    """prompts with their archive and views. Prompts without views fail the job, with their number and the first few."""
+    lost = missing(prompts_, views_).groupBy().agg(F.count("*").alias("n"), F.min(F.struct("prompt_index", "prompt_key")).alias("first"))
+
+    def fail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if n:
+                    raise FileNotFoundError(f"{n} prompts have no rendered views (first: {first})")
+        yield from ()
+
+    found = prompts_.join(views_, "prompt_index").select("prompt_index", "prompt_key", "caption", "archive", "views")
+    schema = found.schema
+    return found.unionByName(lost.select("n", "first.prompt_key").mapInArrow(fail, schema))
+
+
+def rows_of(scores: DataFrame, question: Column | None = None) -> DataFrame:
+    """prompt_index, prompt_key, caption, (question,) scores, max_score, mean_score: what an evaluation writes for each
+    prompt. scores: prompt_index, prompt_key, caption, view, score."""
+    by = ["prompt_index", "prompt_key", "caption"]
+    x = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("view", "score"))), lambda s: s["score"]).alias("scores"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
+    return x.select(*by, *([question.alias("question")] if question is not None else []), "scores", "max_score", "mean_score")
+
+
+def checked_prompts(prompts_: DataFrame) -> DataFrame:
+    """prompts, of which there must be any."""
+
+    def fail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.column(0)[0].as_py() == 0:
+                raise ValueError("no prompts found")
+        yield from ()
+
+    return prompts_.unionByName(prompts_.groupBy().agg(F.count("*").alias("n")).mapInArrow(fail, prompts_.schema))

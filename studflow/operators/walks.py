@@ -195,20 +195,27 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return d
 
 
+def _there(r) -> None:
+    if r.nodes is None:
+        raise ValueError(f"graph {r.graph_id} has no component {r.component_index}")
+
+
 def walked(edges: DataFrame, components: DataFrame, seeds: DataFrame, method: str = "random") -> DataFrame:
     """graph_id, component_index, seed, pos, node, parent_pos, family, a, a_conn, b, b_conn, forward, yaw, flip, rot:
     a walk over each component for each of its seeds (graph_id, component_index, seed; a null seed is the lowest node
-    for bfs). A graph without edges has its one node. Only the component's own edges travel with it."""
+    for bfs). A graph without edges has its one node. Only the component's own edges travel with it. A seed of a component
+    that its graph lacks fails the job."""
     go = breadth_first if method == "bfs" else depth_first
     e = component_edges(edges, components, EDGE)
     c = components.groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    x = seeds.join(c, ["graph_id", "component_index"]).join(e, ["graph_id", "component_index"], "left")
+    x = seeds.join(c, ["graph_id", "component_index"], "left").join(e, ["graph_id", "component_index"], "left")
     kind = x.schema["graph_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples():
+                _there(r)
                 own = pd.DataFrame(list(r.edges) if r.edges is not None else [], columns=EDGE)
                 out += _rows(r, go(Graph(own), np.asarray(r.nodes).tolist(), None if pd.isna(r.seed) else int(r.seed)), own)
             yield _frame(out)
@@ -330,7 +337,7 @@ def sampled(edges: DataFrame, components: DataFrame, nodes: DataFrame, connector
     names = [*EDGE, "a_frame", "b_frame"]
     own_parts = components.select("graph_id", "component_index", "node").join(nodes.select("graph_id", "node", "part_id"), ["graph_id", "node"])
     c = own_parts.groupBy("graph_id", "component_index").agg(F.sort_array(F.collect_list(F.struct("node", "part_id"))).alias("nodes"))
-    x = seeds.join(c, ["graph_id", "component_index"]).join(component_edges(e, components, names), ["graph_id", "component_index"], "left")
+    x = seeds.join(c, ["graph_id", "component_index"], "left").join(component_edges(e, components, names), ["graph_id", "component_index"], "left")
     held = None
     if mesh_bytes(meshes) <= HELD_BYTES:
         held = edges.sparkSession.sparkContext.broadcast({r["part_id"]: mesh_of(r) for r in meshes.toLocalIterator()})
@@ -370,6 +377,7 @@ def sampled(edges: DataFrame, components: DataFrame, nodes: DataFrame, connector
         for frame in frames:
             out = []
             for r in frame.itertuples():
+                _there(r)
                 own = pd.DataFrame(list(r.edges) if r.edges is not None else [], columns=names)
                 out += _rows(r, one(r, own), own)
             yield _frame(out)
@@ -394,3 +402,44 @@ def trees_of(walk: DataFrame, nodes: DataFrame, connectors: DataFrame) -> tuple[
         e = e.join(c, [part, conn])
     q = tree_edge(F.col("family"), way, F.col("yaw"), F.col("flip"), F.col("rot"))
     return n, e.select(key, "pos", F.col("parent_pos").alias("parent"), "parent_part", F.col("part_id").alias("child_part"), "family", "parent_sub", "child_sub", "parent_pol", "child_pol", "parent_conn", "child_conn", *[v.alias(k) for k, v in q.items()])
+
+
+def graphs_of(nodes: DataFrame, edges: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graphs that trees are, as assembly has them but without poses: nodes graph_id, node,
+    part_id, color; edges graph_id, family, a, a_conn, b, b_conn, yaw, flip, rot. The tree's whole numbers become
+    continuous ones; an edge runs from parent to child, except a ball's, which runs from the side with polarity in."""
+    c = connectors.select("part_id", "sub", F.coalesce("pol", F.lit("")).alias("p"), "subgroup_idx", "conn_idx")
+    e = edges
+    for s in ("parent", "child"):
+        d = c.select(F.col("part_id").alias(f"{s}_part"), F.col("sub").alias(f"{s}_sub"), F.col("p").alias(f"{s}_p"), F.col("subgroup_idx").alias(f"{s}_conn"), F.col("conn_idx").alias(f"{s}_at"))
+        e = e.withColumn(f"{s}_p", F.coalesce(f"{s}_pol", F.lit(""))).join(d, [f"{s}_part", f"{s}_sub", f"{s}_p", f"{s}_conn"])
+    back = (F.col("family") == "ball") & F.coalesce(F.col("parent_pol") == "on", F.lit(False))
+    either = lambda x, y: F.when(back, y).otherwise(x)
+    zero, angle = F.lit(0.0), lambda n: F.radians(F.col(n).cast("double"))
+    family = F.col("family")
+    e = e.select(
+        F.col("key").alias("graph_id"), "family",
+        either(F.col("parent"), F.col("pos")).alias("a"), either(F.col("parent_at"), F.col("child_at")).alias("a_conn"),
+        either(F.col("pos"), F.col("parent")).alias("b"), either(F.col("child_at"), F.col("parent_at")).alias("b_conn"),
+        F.when(family.isin("stud", "hinge"), angle("yaw")).when(family == "axle", F.col("slide").cast("double")).otherwise(zero).alias("yaw"),
+        F.when(family.isin("hinge", "axle"), F.col("flip")).otherwise(False).alias("flip"),
+        F.when(family == "axle", F.array(angle("yaw"), zero, zero)).when(family == "ball", F.array(angle("rx"), angle("ry"), angle("rz"))).otherwise(F.array(zero, zero, zero)).alias("rot"),
+    )
+    return nodes.select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color"), e
+
+
+def realised(nodes: DataFrame, edges: DataFrame, components: DataFrame, connectors: DataFrame) -> DataFrame:
+    """key, pos, part_id, color, xf of graphs without poses, as model texts want them. A graph of several components has
+    no frame that they share, and fails the job."""
+    several = components.where("component_index > 0").select("graph_id", "component_index")
+    kind = nodes.schema["graph_id"].dataType.simpleString()
+
+    def fail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raise ValueError(f"graph {batch.column(0)[0]} has no poses and more than one component, which share no frame")
+        yield from ()
+
+    lost = several.mapInArrow(fail, f"key {kind}, pos int, part_id int, color int, xf array<double>")
+    placed = decoded(edges, components, nodes, connectors).join(nodes.select("graph_id", "node", "part_id", "color"), ["graph_id", "node"])
+    return placed.select(F.col("graph_id").alias("key"), F.col("node").alias("pos"), "part_id", "color", "xf").unionByName(lost)

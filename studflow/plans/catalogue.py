@@ -365,6 +365,20 @@ def part_components(spark: SparkSession, d: str) -> DataFrame:
     return c.select("node", "component_index", F.col("size").cast("bigint").alias("size"))
 
 
+@query()
+def part_walks(spark: SparkSession, d: str) -> DataFrame:
+    """Collision-free walks over the same graph, written as texts; boxes stand in for meshes."""
+    parts, colors, connectors = _catalogue(spark, d)
+    code = colors.agg(F.min("code").alias("c"))
+    nodes = checkpointed(_placed_parts(spark, d).drop("color").join(F.broadcast(code)).select("graph_id", "node", "part_id", F.col("c").alias("color"), "xf"))
+    edges = checkpointed(assembly.graph_edges(nodes, connectors))
+    comps = checkpointed(assembly.graph_components(nodes, edges))
+    seeds = comps.where("size >= 2").select("graph_id", "component_index").distinct().withColumn("seed", F.lit(0).cast("bigint"))
+    walk = checkpointed(walks.sampled(edges, comps, nodes, connectors, box_meshes(connectors, 1.0), seeds))
+    text = grammar.serialized(*walks.trees_of(walk, nodes, connectors), parts, colors)
+    return text.select("key.component_index", "text")
+
+
 # --- captions and evaluation -----------------------------------------------------------------------------------
 
 _PROMPTS = "pr AS (SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS prompt_index, id, caption FROM captions WHERE caption IS NOT NULL), pk AS (SELECT prompt_index, coalesce(id, 'prompt_' || lpad(CAST(prompt_index AS VARCHAR), CAST(greatest(4, length(CAST(prompt_index AS VARCHAR))) AS INT), '0')) AS prompt_key, regexp_replace(caption, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS caption FROM pr)"
@@ -481,6 +495,19 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes, assembly.graph_edges(nodes, load(spark, d, "connectors"))
 
 
+@query()
+def path_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the graphs that paths are, with continuous parameters."""
+    _, e = walks.graphs_of(*_trees(spark, d), load(spark, d, "connectors"))
+    return e.select(F.col("graph_id").alias("path_id"), "family", "a", "a_conn", "b", "b_conn", _rounded(F.col("yaw"), 9).alias("yaw"), "flip", *[_rounded(F.get("rot", F.lit(k)), 9).alias(f"r{'xyz'[k]}") for k in range(3)])
+
+
+@query()
+def text_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each generated text, in words."""
+    return grammar.errors(load(spark, d, "scored"), "row_id", "text", *_catalogue(spark, d)).withColumnRenamed("key", "row_id")
+
+
 @query()
 def path_joints(spark: SparkSession, d: str) -> DataFrame:
     """All joints between the placed parts of each path, found from their connectors, as whole-number parameters."""

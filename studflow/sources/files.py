@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import lzma
+import os
 import re
 import tarfile
 import zipfile
@@ -42,6 +43,11 @@ def write_json_lines(df: DataFrame, path: str, order: list[str] | None = None) -
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def merge_shards(spark: SparkSession, shards: str, path: str, schema: str | None = None) -> None:
+    """The rows of generation shards (JSON lines with id and sample) as one folder of JSON lines, by id and sample."""
+    write_json_lines(read_json_lines(spark, shards, schema), path, ["id", "sample"])
+
+
 def number(v: float) -> str:
     """Rounded to six places, without a negative zero, in at most twelve digits."""
     return f"{round(v, 6) + 0.0:.12g}"
@@ -63,23 +69,42 @@ def model_texts(placed: DataFrame, parts: DataFrame) -> DataFrame:
     return lines.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")).select("key", F.concat(F.array_join(F.transform("l", lambda s: s["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
+def _folder(path: str):
+    """The file system of a folder, which is made if need be, and the folder's path in it."""
+    import pyarrow.fs as pafs
+
+    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    fs.create_dir(inner, recursive=True)
+    return fs, inner.rstrip("/")
+
+
 def write_text_files(df: DataFrame, folder: str, name: str, text: str, ending: str = ".ldr") -> None:
-    """One file a row, named by a column, in a folder that all executors share; of equal names the last one written stays."""
+    """One file a row, named by a column, in a folder that all executors share (local or of any file system that
+    pyarrow knows); of equal names the last one written stays."""
 
     def write(rows) -> None:
+        fs, inner = _folder(folder)
         for r in rows:
-            with open(f"{folder}/{r[0]}{ending}", "w", encoding="utf-8", newline="") as f:
-                f.write(r[1])
+            with fs.open_output_stream(f"{inner}/{r[0]}{ending}") as f:
+                f.write(r[1].encode("utf-8"))
 
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    _folder(folder)
     df.select(F.col(name).cast("string"), text).where(F.col(text).isNotNull()).foreachPartition(write)
 
 
 # --- catalogue files -------------------------------------------------------------------------------------------
 
 
+def catalogue_folder(root: str, version: str | None = None) -> str:
+    """The folder of a catalogue's version: the one named, or by STUDFLOW_CATALOG, or v1."""
+    return f"{root.rstrip('/')}/{version or os.environ.get('STUDFLOW_CATALOG', 'v1')}"
+
+
+def data_folder(path: str | None = None) -> str:
+    """Where large data (meshes) lie: the folder named, or by STUDFLOW_DATA, or one of the user's."""
+    return path or os.environ.get("STUDFLOW_DATA") or os.path.join(os.environ.get("XDG_DATA_HOME") or os.path.expanduser("~/.local/share"), "studflow")
+
+
 def read_names(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """ord, key, value: a JSON object's entries in file order."""
     x = spark.read.text(path, wholetext=True)
@@ -185,17 +210,33 @@ def read_meshes(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
 # --- render archives -------------------------------------------------------------------------------------------
 
 
+def _opened(path: str):
+    """A file of Hadoop's or a local path, to be read in pieces."""
+    import pyarrow.fs as pafs
+
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "rb")
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
+
+
 def read_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, name of all files in tar archives; only the headers are kept."""
+    """archive, name of all files in tar archives. A task opens its archives and goes from header to header, so that
+    no archive is held in memory, whatever its size; a packed one is read through once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                    names = [m.name for m in t if m.isfile()]
-                yield pd.DataFrame({"archive": [p.rsplit("/", 1)[-1]] * len(names), "name": names})
+            for p in b["path"]:
+                with _opened(p) as f, tarfile.open(fileobj=f) as t:
+                    for part in iter(lambda t=t: [m for _ in range(10_000) if (m := t.next()) is not None], []):
+                        t.members = []  # what was listed needn't be kept
+                        names = [m.name for m in part if m.isfile()]
+                        yield pd.DataFrame({"archive": [p.rsplit("/", 1)[-1]] * len(names), "name": names})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, name string")
+    # the content isn't selected, so Spark lists the files without reading them
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "archive string, name string")
 
 
 # --- graph archives --------------------------------------------------------------------------------------------
@@ -208,23 +249,46 @@ class _Range(InputPartition):
         self.lo, self.hi = lo, hi
 
 
+class Member:
+    """An array of an npz file that is read in ranges of its first axis: a packed member is inflated up to the range
+    and no further, piece by piece, and none of it is kept but the range."""
+
+    def __init__(self, archive: zipfile.ZipFile, name: str):
+        self.f = archive.open(f"{name}.npy")
+        version = np.lib.format.read_magic(self.f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        self.shape, fortran, self.dtype = read(self.f)
+        if fortran and len(self.shape) > 1:
+            raise ValueError(f"{name} isn't stored row by row")
+        self.row = int(np.prod(self.shape[1:], dtype=np.int64)) * self.dtype.itemsize
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        rest = lo * self.row
+        while rest > 0:
+            got = len(self.f.read(min(rest, 1 << 20)))
+            if not got:
+                raise ValueError("array ends before its range")
+            rest -= got
+        return np.frombuffer(self.f.read((hi - lo) * self.row), self.dtype).reshape(hi - lo, *self.shape[1:])
+
+
 class GraphArchiveReader(DataSourceReader):
     def __init__(self, path: str, per_task: int):
         self.path, self.per_task = path, per_task
 
     def partitions(self) -> list[_Range]:
-        with zipfile.ZipFile(self.path) as z, z.open("node_ptr.npy") as f:
-            n = len(np.lib.format.read_array(f)) - 1
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
+            n = Member(z, "node_ptr").shape[0] - 1
         return [_Range(k, min(k + self.per_task, n)) for k in range(0, n, self.per_task)] or [_Range(0, 0)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        with np.load(self.path, allow_pickle=False) as d:
-            if part.hi == part.lo:
-                return
-            nodes, edges = d["node_ptr"][part.lo : part.hi + 1].tolist(), d["edge_ptr"][part.lo : part.hi + 1].tolist()
-            cut = lambda name, at: d[name][at[0] : at[-1]]
+        if part.hi == part.lo:
+            return
+        with _opened(self.path) as f, zipfile.ZipFile(f) as z:
+            cut = lambda name, at: Member(z, name).rows(int(at[0]), int(at[-1]))
+            nodes, edges = (cut(n, (part.lo, part.hi + 1)).tolist() for n in ("node_ptr", "edge_ptr"))
             ids, colors = cut("part_ids", nodes), cut("colors", nodes)
-            poses = cut("transforms", nodes).reshape(-1, 16) if "transforms" in d.files else None
+            poses = cut("transforms", nodes).reshape(-1, 16) if "transforms.npy" in z.namelist() else None
             kind, idx, yaw, flip, rot = (cut(n, edges) for n in ("edge_kind", "edge_idx", "edge_yaw", "edge_flip", "edge_rot"))
         for k in range(part.hi - part.lo):
             n, e = slice(nodes[k] - nodes[0], nodes[k + 1] - nodes[0]), slice(edges[k] - edges[0], edges[k + 1] - edges[0])
@@ -249,9 +313,7 @@ class GraphArchive(DataSource):
 def write_graph_archives(graphs: DataFrame, folder: str) -> None:
     """One batched npz file for each partition of graphs (rows of GRAPH_SCHEMA, by graph number), so no task holds more
     than its own. A partition that mixes graphs with and without poses is rejected."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    _folder(folder)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -274,7 +336,12 @@ def write_graph_archives(graphs: DataFrame, folder: str) -> None:
             }
             if rooted.all():
                 out["transforms"] = np.concatenate([np.stack([np.asarray(m, dtype=float).reshape(4, 4) for m in x]) for x in f["transforms"]])
-            np.savez_compressed(f"{folder}/graphs-{TaskContext.get().partitionId():05d}.npz", **out)
+            fs, inner = _folder(folder)
+            # zip files are written in one go, so a task's archive is put together in memory first
+            whole = io.BytesIO()
+            np.savez_compressed(whole, **out)
+            with fs.open_output_stream(f"{inner}/graphs-{TaskContext.get().partitionId():05d}.npz") as sink:
+                sink.write(whole.getvalue())
         yield pd.DataFrame({"n": [len(f)]})
 
     graphs.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalar import first_text
 from ..operators.grammar import scores
+from ..tables import checkpointed
 
 SAMPLES = "id string, sample int, path string, text string"
 
@@ -20,9 +21,8 @@ def score_stream(spark: SparkSession, source: str, target: str, state: str, part
 
     def one(batch: DataFrame, no: int) -> None:
         x = batch.withColumn("text", first_text(F.col("path"), F.col("text"))).withColumn("key", F.monotonically_increasing_id())
-        x = x.persist()  # the key must be the same for both readings
+        x = checkpointed(x)  # the key must be the same for both readings, even if a block is lost between them
         s = scores(x, "key", "text", parts, colors, connectors)
         x.join(s, "key", "left").drop("key", "path").withColumn("batch", F.lit(no)).write.mode("append").parquet(target)
-        x.unpersist()
 
     return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -271,3 +271,27 @@ def test_sampled_trees_realise_to_what_was_walked(spark, catalogue):  # noqa: F8
         for (g, k), m in placed.items():
             root = world[g, order[g, 0]]
             assert np.allclose(root @ m, world[g, order[g, k]], atol=1e-6), (g, k)
+
+
+def test_trees_as_graphs(spark, catalogue):  # noqa: F811
+    df = spark.createDataFrame(list(enumerate(GOOD)), "id bigint, body string")
+    nodes, edges = grammar.trees(df, "id", "body", *catalogue)
+    n, e = walks.graphs_of(nodes, edges, catalogue[2])
+    n, e = checkpointed(n), checkpointed(e)
+    got = {r["graph_id"]: tuple(r)[1:6] + (round(r["yaw"], 6), r["flip"], [round(v, 6) for v in r["rot"]]) for r in e.collect()}
+    turn = round(np.pi / 2, 6)
+    assert got[0] == ("stud", 0, 1, 1, 0, turn, False, [0.0] * 3) and got[1] == ("axle", 0, 0, 1, 0, -5.0, False, [0.0] * 3)
+    # a ball's edge runs from the side with polarity in, here the child
+    assert got[3][:5] == ("ball", 1, 0, 0, 0) and got[3][7] == [round(np.radians(v), 6) for v in (1, 2, 3)]
+    # what the graph realises to is what the tree does
+    c = checkpointed(assembly.graph_components(n, e))
+    again = {(r["key"], r["pos"]): np.reshape(r["xf"], (4, 4)) for r in walks.realised(n, e, c, catalogue[2]).collect()}
+    want = {(r["key"], r["pos"]): np.reshape(r["xf"], (4, 4)) for r in walks.poses(nodes, edges, catalogue[2]).collect()}
+    assert set(again) == set(want) and all(np.allclose(again[k], want[k], atol=1e-9) for k in want)
+    # two components share no frame
+    loose = n.unionByName(spark.createDataFrame([(0, 7, 0, 4)], "graph_id bigint, node int, part_id int, color int"))
+    with pytest.raises(Exception, match="more than one component"):
+        walks.realised(loose, e, assembly.graph_components(loose, e), catalogue[2]).collect()
+    seeds = spark.createDataFrame([(0, 3, 1)], "graph_id bigint, component_index int, seed bigint")
+    with pytest.raises(Exception, match="has no component 3"):
+        walks.walked(e, c, seeds).collect()

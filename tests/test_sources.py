@@ -4,6 +4,7 @@ import lzma
 import tarfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from studflow.operators import assembly, evaluation, grammar
@@ -101,3 +102,45 @@ def test_stream(spark, catalogue, tmp_path):  # noqa: F811
     want = {(str(k), k): (2, None) for k in range(len(GOOD))} | {("x", 0): (2, 1), ("y", 0): (None, None)}
     assert got == want
     assert grammar.scores(spark.createDataFrame([(1, GOOD[0])], "k int, t string"), "k", "t", *catalogue).count() == 1
+
+
+def test_ranges_of_packed_arrays(spark, tmp_path):
+    import zipfile
+
+    a = np.arange(3000, dtype=np.int32).reshape(1000, 3)
+    np.savez_compressed(tmp_path / "a.npz", a=a, b=np.zeros((0, 2)))
+    with zipfile.ZipFile(tmp_path / "a.npz") as z:
+        assert (files.Member(z, "a").rows(10, 13) == a[10:13]).all() and files.Member(z, "a").rows(1000, 1000).shape == (0, 3)
+        assert files.Member(z, "b").shape == (0, 2)
+
+
+def test_large_archives_of_renders(spark, tmp_path):
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for k in range(12_000):
+            t.addfile(tarfile.TarInfo(f"k{k}/k{k}_0.png"))
+    assert files.read_members(spark, f"{tmp_path}/a.tar").selectExpr("count(distinct name)").first()[0] == 12_000
+
+
+def test_prompts_and_evaluation_rows(spark):
+    p = spark.createDataFrame([(0, "a", "one"), (1, "b", "two")], "prompt_index bigint, prompt_key string, caption string")
+    v = spark.createDataFrame([(0, "x.tar", ["a_0"]), (1, "x.tar", ["b_0"])], "prompt_index bigint, archive string, views array<string>")
+    assert evaluation.required(p, v).count() == 2
+    with pytest.raises(Exception, match="1 prompts have no rendered views"):
+        evaluation.required(p, v.where("prompt_index = 0")).collect()
+    assert evaluation.checked_prompts(p).count() == 2
+    with pytest.raises(Exception, match="no prompts found"):
+        evaluation.checked_prompts(p.limit(0)).collect()
+    s = spark.createDataFrame([(0, "a", "one", 1, 0.5), (0, "a", "one", 0, 0.25)], "prompt_index bigint, prompt_key string, caption string, view int, score double")
+    assert tuple(evaluation.rows_of(s).first()) == (0, "a", "one", [0.25, 0.5], 0.5, 0.375)
+
+
+def test_shards_and_folders(spark, tmp_path, monkeypatch):
+    for k, rows in enumerate(([("b", 0), ("a", 1)], [("a", 0)])):
+        (tmp_path / f"out.jsonl.shard{k}").write_text("".join(json.dumps({"id": i, "sample": s, "text": "t"}) + "\n" for i, s in rows))
+    files.merge_shards(spark, f"{tmp_path}/out.jsonl.shard*", f"{tmp_path}/merged", "id string, sample int, text string")
+    got = [json.loads(x) for f in sorted((tmp_path / "merged").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [(r["id"], r["sample"]) for r in got] == [("a", 0), ("a", 1), ("b", 0)]
+    monkeypatch.setenv("STUDFLOW_CATALOG", "v2")
+    monkeypatch.setenv("STUDFLOW_DATA", "/data")
+    assert files.catalogue_folder("/c/") == "/c/v2" and files.catalogue_folder("/c", "v3") == "/c/v3"
+    assert files.data_folder() == "/data" and files.data_folder("/x") == "/x"
