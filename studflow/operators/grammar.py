@@ -118,46 +118,53 @@ def _node_reason() -> Column:
     )
 
 
+#: What the words behind the connectors are, by family: degrees, a flip, an integer.
+_TAILS = {"stud": "d", "axle": "fdi", "hinge": "fd", "ball": "ddd", "fixed": ""}
+
+
+def _letters_reason(word: Column) -> Column:
+    return F.when(~word.rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(word)))
+
+
+def _word_reason(kind: Column, word: Column) -> Column:
+    label = F.when(kind == "d", "degree").otherwise("slide")
+    number = F.when(~word.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*\z"), F.concat(label, F.lit(" is not an integer: "), _said(word)))
+    number = F.coalesce(number, F.when(~word.rlike(r"^(0|-?[1-9][0-9]*)\z"), F.concat(label, F.lit(" has non-canonical form: "), _said(word))))
+    number = F.coalesce(number, F.when((kind == "d") & degree(word).isNull(), F.concat(F.lit("degree "), word, F.lit(" not in [0, 360)"))))
+    return F.when(kind == "f", F.when(flip(word).isNull(), F.concat(F.lit("expected regular/flip, got "), _said(word)))).otherwise(number)
+
+
+def _connector_reason(c: Column) -> Column:
+    name = F.concat(c["sub"], F.lit("/"), F.coalesce(c["pol"], F.lit("None")))
+    none = F.when(c["n"].isNull(), F.concat(F.lit("part "), c["part"].cast("string"), F.lit(" has no "), name, F.lit(" connectors")))
+    far = F.concat(name, F.lit("["), c["at"].cast("string"), F.lit("] out of range for part "), c["part"].cast("string"), F.lit(" (has "), c["n"].cast("string"), F.lit(")"))
+    return F.coalesce(none, _letters_reason(c["word"]), F.when(F.coalesce(c["at"] >= c["n"], F.lit(True)), far))
+
+
 def _edge_reason() -> Column:
-    """What is wrong first on an edge line, in the order in which its words are read."""
+    """What is wrong first on an edge line, in the order in which its words are read. Words are gone through by
+    transform, so that the expression stays small."""
     t = lambda i: F.get("t", F.lit(i))
     fam = F.col("family")
-    named = fam.isin("stud", "axle")
-    letters = lambda i: F.when(~t(i).rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(t(i))))
-
-    def number(i: int, label: str) -> Column:
-        bad = F.when(~t(i).rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*\z"), F.concat(F.lit(f"{label} is not an integer: "), _said(t(i))))
-        return F.coalesce(bad, F.when(~t(i).rlike(r"^(0|-?[1-9][0-9]*)\z"), F.concat(F.lit(f"{label} has non-canonical form: "), _said(t(i)))))
-
-    degrees = lambda i: F.coalesce(number(i, "degree"), F.when(degree(t(i)).isNull(), F.concat(F.lit("degree "), t(i), F.lit(" not in [0, 360)"))))
-    turned = lambda i: F.when(flip(t(i)).isNull(), F.concat(F.lit("expected regular/flip, got "), _said(t(i))))
-
-    def connector(side: str, at: Column, word: Column) -> Column:
-        sub, pol = F.col(f"{side}_sub"), F.coalesce(f"{side}_pol", F.lit("None"))
-        part = F.col(f"{side}_id").cast("string")
-        none = F.when(F.col(f"{side}_n").isNull(), F.concat(F.lit("part "), part, F.lit(" has no "), sub, F.lit("/"), pol, F.lit(" connectors")))
-        wrong = F.when(~word.rlike(r"^[a-z]+\z"), F.concat(F.lit("invalid letter ID: "), _said(word)))
-        far = F.when(F.coalesce(at >= F.col(f"{side}_n"), F.lit(True)), F.concat(sub, F.lit("/"), pol, F.lit("["), at.cast("string"), F.lit("] out of range for part "), part, F.lit(" (has "), F.col(f"{side}_n").cast("string"), F.lit(")")))
-        return F.coalesce(none, wrong, far)
-
-    joined = F.coalesce(connector("parent", F.col("parent_conn"), F.when(named, t(3)).otherwise(t(4))), connector("child", F.col("child_conn"), t(5)))
-    apart = lambda pairs: F.when(~F.concat_ws("+", F.least(t(2), t(4)), F.greatest(t(2), t(4))).isin(*["+".join(q) for q in pairs]), F.concat(F.lit("cannot mate subtypes "), t(2), F.lit("+"), t(4)))
-    sided = F.coalesce(letters(2), F.when(~t(3).isin("in", "on"), F.concat(F.lit("bad polarity: "), _said(t(3)))), joined)
-    own = (
-        F.when(fam == "stud", F.coalesce(joined, apart(STUD_MATES), degrees(6)))
-        .when(fam == "axle", F.coalesce(joined, apart(AXLE_MATES), turned(6), degrees(7), number(8, "slide")))
-        .when(fam == "hinge", F.coalesce(sided, turned(6), degrees(7)))
-        .when(fam == "ball", F.coalesce(sided, degrees(6), degrees(7), degrees(8)))
-        .otherwise(sided)
-    )
-    want = lookup(ARITY, fam)
+    named, want = fam.isin("stud", "axle"), lookup(ARITY, fam)
+    first = lambda reasons: F.get(F.array_compact(reasons), F.lit(0))
+    side = lambda s, word: F.struct(F.col(f"{s}_sub").alias("sub"), F.col(f"{s}_pol").alias("pol"), F.col(f"{s}_id").alias("part"), F.col(f"{s}_n").alias("n"), F.col(f"{s}_conn").alias("at"), word.alias("word"))
+    joined = first(F.transform(F.array(side("parent", F.when(named, t(3)).otherwise(t(4))), side("child", t(5))), _connector_reason))
+    pair = F.concat_ws("+", F.least(t(2), t(4)), F.greatest(t(2), t(4)))
+    mates = pair.isin(*["+".join(q) for q in STUD_MATES]) & (fam == "stud") | pair.isin(*["+".join(q) for q in AXLE_MATES]) & (fam == "axle")
+    tail = lookup(_TAILS, fam)
+    words = F.when(F.length(tail) > 0, F.transform(F.sequence(F.lit(0), F.length(tail) - 1), lambda i: _word_reason(F.substring(tail, i + 1, F.lit(1)), F.get("t", i + 6))))
     return F.coalesce(
         F.when(F.size("t") < 2, F.concat(F.lit("bad edge: "), _said(F.col("line")))),
         F.when(want.isNull(), F.concat(F.lit("unknown edge family: "), _said(fam))),
         F.when(F.size("t") != want, F.concat(fam, F.lit(" edge expected "), want.cast("string"), F.lit(" tokens, got "), F.size("t").cast("string"))),
-        letters(0),
+        first(F.transform(F.array(t(0)), _letters_reason)),
         F.when(F.coalesce(F.col("parent") >= F.col("pair"), F.lit(True)), F.concat(F.lit("bad parent ref: "), _said(t(0)))),
-        own,
+        F.when(~named, first(F.transform(F.array(t(2)), _letters_reason))),
+        F.when(~named & ~t(3).isin("in", "on"), F.concat(F.lit("bad polarity: "), _said(t(3)))),
+        joined,
+        F.when(named & ~mates, F.concat(F.lit("cannot mate subtypes "), t(2), F.lit("+"), t(4))),
+        first(words),
     )
 
 
