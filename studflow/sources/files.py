@@ -310,6 +310,13 @@ class GraphArchive(DataSource):
         return GraphArchiveReader(self.options["path"], int(self.options.get("graphs_per_task", "2000")))
 
 
+def archive_graphs(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an archive's graphs, as assembly has them; xf is null in archives without poses."""
+    n = archive.select(F.col("graph").alias("graph_id"), F.posexplode(F.arrays_zip("part_ids", "colors", F.coalesce("transforms", F.transform("part_ids", lambda _: F.lit(None).cast("array<double>"))).alias("poses"))).alias("node", "p"))
+    nodes = n.select("graph_id", "node", F.col("p.part_ids").alias("part_id"), F.col("p.colors").alias("color"), F.col("p.poses").alias("xf"))
+    return nodes, archive.select(F.col("graph").alias("graph_id"), F.explode("edges").alias("e")).select("graph_id", "e.*")
+
+
 def write_graph_archives(graphs: DataFrame, folder: str) -> None:
     """One batched npz file for each partition of graphs (rows of GRAPH_SCHEMA, by graph number), so no task holds more
     than its own. A partition that mixes graphs with and without poses is rejected."""
