@@ -37,18 +37,18 @@ FILL = 0.97
 Pattern = list[tuple[int, int]]
 
 
-def items(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, piece, n_pieces, n_tokens, token_from: each text as one item, or in pieces of CAPACITY tokens.
+def items(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
+    """key, piece, n_pieces, n_tokens, token_from: each text as one item, or in pieces of capacity tokens.
 
     Tokens are the bytes of the UTF-8 text and one closing token, so an empty text has one. Null keys or texts give no
     item; each row is an item, repeated or not.
     """
     size = (F.octet_length(text) + 1).cast("bigint")
     x = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), size.alias("size"))
-    n = F.ceil(F.col("size") / CAPACITY).cast("int")
+    n = F.ceil(F.col("size") / capacity).cast("int")
     x = x.select("key", "size", n.alias("n_pieces"), F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
-    start = F.col("piece").cast("bigint") * CAPACITY
-    return x.select("key", "piece", "n_pieces", F.least(F.lit(CAPACITY).cast("bigint"), F.col("size") - start).alias("n_tokens"), start.alias("token_from"))
+    start = F.col("piece").cast("bigint") * capacity
+    return x.select("key", "piece", "n_pieces", F.least(F.lit(capacity).cast("bigint"), F.col("size") - start).alias("n_tokens"), start.alias("token_from"))
 
 
 def _class():
@@ -60,19 +60,19 @@ def lengths(x: DataFrame) -> dict[int, int]:
     return {r["class"]: r["n"] for r in x.groupBy(_class().alias("class")).agg(F.count("*").alias("n")).toLocalIterator()}
 
 
-def oversized(df: DataFrame, key: str, text: str) -> DataFrame:
+def oversized(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """The keys of the texts that were packed in more than one piece."""
-    return packed(df, key, text).where("n_pieces > 1").select("key").distinct()
+    return packed(df, key, text, capacity).where("n_pieces > 1").select("key").distinct()
 
 
-def report(df: DataFrame, key: str, text: str) -> DataFrame:
+def report(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """One row: n_items, n_tokens, n_sequences, program (the value of the linear program as solved), bound (no packing
     of these items, in units of UNIT tokens, needs fewer), fill (the share of the sequences that isn't empty)."""
-    x = items(df, key, text)
+    x = items(df, key, text, capacity)
     total = x.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    plan, value, bound = configure(lengths(x))
+    plan, value, bound = configure(lengths(x), capacity // UNIT)
     n = sum(times for _, times in plan)
-    return df.sparkSession.createDataFrame([(total["n"], total["tokens"], n, value, bound, total["tokens"] / (n * CAPACITY) if n else 0.0)], "n_items bigint, n_tokens bigint, n_sequences bigint, program double, bound double, fill double")
+    return df.sparkSession.createDataFrame([(total["n"], total["tokens"], n, value, bound, total["tokens"] / (n * capacity) if n else 0.0)], "n_items bigint, n_tokens bigint, n_sequences bigint, program double, bound double, fill double")
 
 
 Column = tuple[np.ndarray, np.ndarray]  # class numbers and how often each is used
@@ -278,16 +278,16 @@ def configure(counts: dict[int, int], capacity: int = CAPACITY // UNIT) -> tuple
     return [(list(p), n) for p, n in merged.items()], program.value, program.bound
 
 
-def packed(df: DataFrame, key: str, text: str) -> DataFrame:
+def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
     """key, piece, n_pieces, sequence, position, offset, n_tokens, token_from.
 
     token_from is where the piece begins in its document, offset where it lies in its sequence. No sequence holds more
-    than CAPACITY tokens; a full piece of a longer document is a sequence of its own.
+    than capacity tokens (a multiple of UNIT); a full piece of a longer document is a sequence of its own.
     """
-    x = items(df, key, text).withColumn("class", _class())
+    x = items(df, key, text, capacity).withColumn("class", _class())
     counts = lengths(x)
     rows, at, base = [], dict.fromkeys(counts, 0), 0
-    for config, times in configure(counts)[0]:
+    for config, times in configure(counts, capacity // UNIT)[0]:
         slot = 0
         for size, a in config:
             rows.append((size, at[size], at[size] + a * times, base, a, slot))
