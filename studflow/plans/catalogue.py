@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import affine
 from ..functions import scalar as S
-from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, records, spatial, walks
+from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, pools, records, spatial, walks
 from ..tables import checkpointed, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,7 +447,7 @@ def pooled_metric(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT path, min(path_id) AS path_id, count(*) AS n FROM paths WHERE path IS NOT NULL GROUP BY path")
 def distinct_paths(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "paths").where("path is not null").groupBy("path").agg(F.min("path_id").alias("path_id"), F.count("*").alias("n"))
+    return pools.without_repeats([load(spark, d, "paths")], "path_id", "path").select(F.col("text").alias("path"), F.col("key").alias("path_id"), "n")
 
 
 @query("SELECT source, component_index, count(*) AS n_rows, count(*) FILTER (complete_component) AS n_complete, bool_and(nodes <= component_nodes) AS within FROM paths WHERE component_nodes >= 2 GROUP BY ALL")
@@ -457,12 +457,24 @@ def walked_components(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("source", "component_index").agg(F.count("*").alias("n_rows"), F.count_if("complete_component").alias("n_complete"), F.bool_and(F.col("nodes") <= F.col("component_nodes")).alias("within"))
 
 
+def _captions_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    paths = load(spark, d, "paths").where("source is not null").select(F.col("path_id").alias("key"), F.regexp_replace("source", r"\.npz\z", "").alias("id"), "path")
+    return load(spark, d, "captions").select(F.col("line_no").alias("key"), "id", "caption"), paths
+
+
 @query("SELECT c.id, count(DISTINCT c.line_no) AS n_captions, count(DISTINCT p.path_id) AS n_paths FROM captions c JOIN paths p ON c.id = regexp_replace(p.source, '\\.npz$', '') GROUP BY c.id")
 def captioned_models(spark: SparkSession, d: str) -> DataFrame:
     """Captions and paths by model, as their names are written; each side is counted before the join."""
-    c = load(spark, d, "captions").where("id is not null").groupBy("id").agg(F.countDistinct("line_no").alias("n_captions"))
-    p = load(spark, d, "paths").where("source is not null").groupBy(F.regexp_replace("source", r"\.npz\z", "").alias("id")).agg(F.countDistinct("path_id").alias("n_paths"))
-    return c.join(p, "id")
+    return pools.counted_pairs(*_captions_paths(spark, d))
+
+
+_BARE = "regexp_replace(source, '\\.npz$', '')"
+
+
+@query(f"WITH c AS (SELECT line_no, id, caption, row_number() OVER (PARTITION BY id ORDER BY line_no) - 1 AS k FROM captions WHERE id IS NOT NULL AND caption IS NOT NULL), q AS (SELECT {_BARE} AS id, path_id, path, row_number() OVER (PARTITION BY {_BARE} ORDER BY path_id) - 1 AS r FROM paths WHERE source IS NOT NULL AND path IS NOT NULL), n AS (SELECT id, least(count(*), 5) AS n FROM q GROUP BY id) SELECT line_no AS caption_key, path_id AS path_key, c.id, caption || chr(10) || path AS text, CAST(octet_length(encode(caption)) + 1 AS INT) AS masked FROM c JOIN n ON c.id = n.id JOIN q ON q.id = c.id AND q.r = c.k % n")
+def training_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """One path for each caption, to be trained on behind it."""
+    return pools.paired(*_captions_paths(spark, d))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
@@ -471,9 +483,12 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("j.k").alias("total"))
 
 
-@query("SELECT CAST(path_id % 8 AS INT) AS stripe, count(*) AS n, min(path_id) AS low, max(path_id) AS high FROM paths GROUP BY 1")
+@query("SELECT CAST(path_id % 8 AS INT) AS stripe, count(*) AS n, min(path_id) AS low, max(path_id // 8) AS last, count(*) AS restored FROM paths GROUP BY 1")
 def stripes(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "paths").groupBy(F.pmod("path_id", F.lit(8)).cast("int").alias("stripe")).agg(F.count("*").alias("n"), F.min("path_id").alias("low"), F.max("path_id").alias("high"))
+    """Paths dealt out to eight stripes, and how many get their number back from stripe and place."""
+    at, place = pools.stripe(F.col("path_id"), 8)
+    x = load(spark, d, "paths").select("path_id", at.alias("stripe"), place.alias("place"))
+    return x.groupBy("stripe").agg(F.count("*").alias("n"), F.min("path_id").alias("low"), F.max("place").alias("last"), F.count_if(pools.unstriped(F.col("stripe"), F.col("place"), 8) == F.col("path_id")).alias("restored"))
 
 
 # --- geometry of paths -----------------------------------------------------------------------------------------
