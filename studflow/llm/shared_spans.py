@@ -2,7 +2,7 @@
 
 1. A window is SPAN characters in a row. Each window is anchored at the smallest of the hashes of its GRAM-character
    pieces, which depends on the window's own characters only, so equal windows of different records have equal anchors.
-   One pass over the texts gives the anchors (one in about 90 characters); anchors of two or more records mark the
+   One pass over the texts gives the anchors (one in about 100 characters); anchors of two or more records mark the
    phrases that may recur.
 2. The phrases are compiled into sharded Aho-Corasick automata of at most about PHRASES each. A record is streamed
    through the automata of the shards that it has an anchor in, and no other, so that the work grows with the records
@@ -30,7 +30,7 @@ from ..tables import checkpointed, spread
 from . import flat
 from .flat import U, pack, unpack
 
-SPAN, GRAM = 300, 128
+SPAN, GRAM = 300, 96
 WIDTH = SPAN - GRAM + 1
 #: Phrases of a shard's automaton, which stays small enough for fast memory; records that one task streams through it;
 #: partitions that shards are put in, several to one if need be.
