@@ -402,12 +402,14 @@ def similar_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     links = checkpointed(links)
     # members of each class that has copies; links between classes without copies need no join
     classes = checkpointed(copies.select(F.col("a").alias("rep"), F.col("b").alias("key")))
-    sizes = classes.groupBy("rep").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("n"))
+    # classes of more than one block: a table of n rows has at most n / BLOCK of them
+    large = checkpointed(classes.groupBy("rep").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("n")).where("n > 1"))
     salts = 64
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    whole = classes.unionByName(sizes.select("rep", F.col("rep").alias("key"))).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    whole = classes.unionByName(classes.select("rep", F.col("rep").alias("key")).distinct()).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
     # the members' blocks; the salt spreads the members of a large class over the join
-    whole = checkpointed(whole.join(salted, ["rep", "salt"]).select("rep", "key", "n", F.pmod(F.xxhash64("key", "rep"), F.col("n")).cast("int").alias("block")))
+    blocks = F.coalesce("n", F.lit(1))
+    whole = checkpointed(whole.join(salted, ["rep", "salt"], "left").select("rep", "key", blocks.alias("n"), F.pmod(F.xxhash64("key", "rep"), blocks).cast("int").alias("block")))
     met = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("rep", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     x, y = met.where("block = lo").alias("x"), met.where("block = hi").alias("y")
     one = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.key") < F.col("y.key"))
@@ -415,7 +417,7 @@ def similar_pairs(df: DataFrame, key: str, text: str, **options) -> DataFrame:
     within = within.select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))
     both = links.select("a", "b")
     for s in "ab":
-        n = sizes.select(F.col("rep").alias(s), F.col("n").alias("n"))
+        n = large.select(F.col("rep").alias(s), "n")
         both = both.join(n, s, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
         own = whole.select(F.col("rep").alias(s), "block", F.col("key").alias(f"k{s}"))
         both = both.join(own, [s, "block"], "left").withColumn(f"k{s}", F.coalesce(f"k{s}", s)).drop("block")
