@@ -63,40 +63,42 @@ def nodes_of(placed: DataFrame, aliases: DataFrame, parts: DataFrame) -> tuple[D
 
 
 def placed_connectors(nodes: DataFrame, connectors: DataFrame) -> DataFrame:
-    """Each node's connectors with their world frame (wf), place (p) and axis (ax)."""
+    """Each node's connectors with their world frame (wf) and place (p)."""
     c = connectors.select("part_id", "conn_idx", "kind", "sub", "pol", "length", "frame")
     x = nodes.select("graph_id", "node", "part_id", "xf").join(c, "part_id")
     x = x.withColumn("wf", affine.product(F.col("xf"), F.col("frame"))).drop("xf", "frame", "part_id")
-    return x.withColumn("p", affine.column(F.col("wf"), 3)).withColumn("ax", affine.axis(F.col("wf")))
+    return x.withColumn("p", affine.column(F.col("wf"), 3))
 
 
 def mated(placed: DataFrame, longest: float) -> DataFrame:
     """graph_id, family, a, a_conn, b, b_conn, a_wf, b_wf: all mating pairs, a being the stud, the side with polarity
     in, or the holding side of an axle. longest: the greatest axle half-length in the catalogue.
 
-    A connector may mate with several others. The final predicates decide; the grid only brings candidates together.
+    A connector may mate with several others. All kinds meet in one join: those that can mate at all are a class, one of
+    its two sides goes to the cells within its reach, and the predicates decide.
     """
-    other = F.col("node") != F.col("r_node")
+    kind, sided = F.col("kind"), F.col("kind").isin("hinge", "ball", "fixed")
+    x = placed.select(
+        "graph_id", "node", "conn_idx", "kind", "sub", "length", "wf", "p",
+        F.when(kind.isin("stud", "hole"), "stud").when(kind == "axle", "axle").when(sided, F.concat("kind", F.lit("/"), "sub")).alias("class"),
+        F.when(sided, F.when(F.col("pol") == "in", True).when(F.col("pol") == "on", False)).when(kind == "axle", F.col("sub").isin(*HOLDING)).otherwise(kind == "stud").alias("leads"),
+        F.when(kind == "axle", 2 * max(longest, AXLE_RADIUS) + REACH).otherwise(REACH).alias("reach"), F.when(kind == "axle", 2.0).otherwise(8.0).alias("coarse"),
+    )
+    both = near(x.where("leads"), x.where("not leads"), ["graph_id", "class"], "reach", "coarse").where(F.col("node") != F.col("r_node"))
+    # the axes come from the frames, so they needn't travel
+    both = both.withColumn("along", affine.dot(affine.axis(F.col("wf")), affine.axis(F.col("r_wf"))))
     close = squared_distance(F.col("p"), F.col("r_p")) <= REACH**2
-    along = affine.dot(F.col("ax"), F.col("r_ax"))
-    cols = ["graph_id", "node", "conn_idx", "sub", "pol", "length", "wf", "p", "ax", "kind"]
-    x = placed.select(*cols)
     fits = lambda pairs: F.concat_ws("+", F.least("sub", "r_sub"), F.greatest("sub", "r_sub")).isin(*["+".join(q) for q in pairs])
-    stud = near(x.where("kind = 'stud'"), x.where("kind = 'hole'"), ["graph_id"], REACH).where(other & close & fits(STUD_MATES) & (along >= AXIS)).withColumn("family", F.lit("stud"))
-    sided = x.where(F.col("kind").isin("hinge", "ball", "fixed"))
-    both = near(sided.where("pol = 'in'"), sided.where("pol = 'on'"), ["graph_id", "kind", "sub"], REACH).where(other & close)
-    straight = (~F.col("sub").isin(*ORIENTED)) | ((along >= FIXED_AXIS) & (affine.frame_trace(F.col("wf"), F.col("r_wf")) >= FIXED_TRACE))
-    sides = both.where(F.when(F.col("kind") == "hinge", F.abs(along) >= AXIS).when(F.col("kind") == "fixed", straight).otherwise(True)).withColumn("family", F.col("kind"))
-    axle = x.where("kind = 'axle'").withColumn("r", F.greatest(F.coalesce("length", F.lit(0.0)), F.lit(AXLE_RADIUS)))
-    reach = 2 * max(longest, AXLE_RADIUS) + REACH
-    held = near(axle.where(F.col("sub").isin(*HOLDING)), axle.where(~F.col("sub").isin(*HOLDING)), ["graph_id"], reach, coarse=2.0)
-    held = held.where(other & fits(AXLE_MATES) & (F.abs(along) >= AXLE_AXIS)).withColumn("proj", affine.dot(affine.minus(F.col("r_p"), F.col("p")), F.col("r_ax")))
-    off2 = squared_distance(F.col("p"), F.col("r_p")) - F.col("proj") * F.col("proj")
-    over = F.col("r") + F.col("r_r") - F.abs("proj")
+    straight = (~F.col("sub").isin(*ORIENTED)) | ((F.col("along") >= FIXED_AXIS) & (affine.frame_trace(F.col("wf"), F.col("r_wf")) >= FIXED_TRACE))
+    # axles: how far apart their lines are, and how much they overlap along them
+    radius = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(AXLE_RADIUS))
+    proj = affine.dot(affine.minus(F.col("r_p"), F.col("p")), affine.axis(F.col("r_wf")))
+    off2 = squared_distance(F.col("p"), F.col("r_p")) - proj * proj
+    over = radius(F.col("length")) + radius(F.col("r_length")) - F.abs(proj)
     room = F.sqrt(F.greatest(F.lit(0.0), F.lit(REACH**2) - F.greatest(off2, F.lit(0.0))))
-    held = held.where(off2 <= REACH**2).where((over >= OVERLAP) | (room >= OVERLAP - over - SLACK)).withColumn("family", F.lit("axle"))
-    out = [df.select("graph_id", "family", F.col("node").alias("a"), F.col("conn_idx").alias("a_conn"), F.col("r_node").alias("b"), F.col("r_conn_idx").alias("b_conn"), F.col("wf").alias("a_wf"), F.col("r_wf").alias("b_wf")) for df in (stud, sides, held)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    held = fits(AXLE_MATES) & (F.abs("along") >= AXLE_AXIS) & (off2 <= REACH**2) & ((over >= OVERLAP) | (room >= OVERLAP - over - SLACK))
+    mates = F.when(kind == "stud", close & fits(STUD_MATES) & (F.col("along") >= AXIS)).when(kind == "hinge", close & (F.abs("along") >= AXIS)).when(kind == "fixed", close & straight).when(kind == "axle", held).otherwise(close)
+    return both.where(mates).select("graph_id", F.col("kind").alias("family"), F.col("node").alias("a"), F.col("conn_idx").alias("a_conn"), F.col("r_node").alias("b"), F.col("r_conn_idx").alias("b_conn"), F.col("wf").alias("a_wf"), F.col("r_wf").alias("b_wf"))
 
 
 def measured(pairs: DataFrame) -> DataFrame:

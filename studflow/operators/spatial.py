@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cell(v: Column, size: float) -> Column:
+def cell(v: Column, size: float | Column) -> Column:
     return F.floor(v / size).cast("bigint")
 
 
-def near(left: DataFrame, right: DataFrame, on: list[str], reach: float, coarse: float = 8.0, point: str = "p") -> DataFrame:
+def near(left: DataFrame, right: DataFrame, on: list[str], reach: float | str, coarse: float | str = 8.0, point: str = "p") -> DataFrame:
     """All pairs of rows that agree in `on` and whose points (arrays of three) may lie within reach; the caller filters
     by distance. The columns of right get the prefix r_; no pair comes twice.
 
     A row of right lies in one cell of side coarse * reach; a row of left goes to the cells that its cube of reach
-    touches: about two on average with the default, where neighbouring cells would be 27. Null points or keys pair with
-    nothing.
+    touches: about two on average with the default, where neighbouring cells would be 27. reach and coarse are numbers,
+    or the names of columns that are equal in rows that agree in `on`. Null points or keys pair with nothing.
     """
-    size = coarse * reach
+    column = lambda v, prefix="": F.col(prefix + v) if isinstance(v, str) else F.lit(float(v))
+    far, size = column(reach), column(reach) * column(coarse)
     x = left.where(F.col(point).isNotNull())
     for k, c in enumerate("xyz"):
         v = F.get(point, F.lit(k))
-        x = x.withColumn(f"__{c}", F.explode(F.sequence(cell(v - reach, size), cell(v + reach, size))))
+        x = x.withColumn(f"__{c}", F.explode(F.sequence(cell(v - far, size), cell(v + far, size))))
     y = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where(F.col(f"r_{point}").isNotNull())
     for k, c in enumerate("xyz"):
-        y = y.withColumn(f"__r{c}", cell(F.get(f"r_{point}", F.lit(k)), size))
+        y = y.withColumn(f"__r{c}", cell(F.get(f"r_{point}", F.lit(k)), column(reach, "r_") * column(coarse, "r_")))
     cond = (F.col("__x") == F.col("__rx")) & (F.col("__y") == F.col("__ry")) & (F.col("__z") == F.col("__rz"))
     for c in on:
         cond &= F.col(c) == F.col(f"r_{c}")
