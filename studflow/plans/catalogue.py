@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import affine
 from ..functions import scalar as S
-from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, pools, records, spatial, walks
+from ..operators import assembly, catalog, collision, components, evaluation, grammar, offsets, pools, records, spatial, walks, whole_texts
 from ..tables import checkpointed, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -545,10 +545,9 @@ def box_meshes(connectors: DataFrame, margin: float = 4.0) -> DataFrame:
 @query()
 def path_collisions(spark: SparkSession, d: str) -> DataFrame:
     """Which placements of each path hit an earlier part, with boxes for meshes."""
-    nodes, edges = _trees(spark, d)
-    placed = checkpointed(walks.poses(nodes, edges, load(spark, d, "connectors")))
-    pairs = collision.colliding_pairs(placed, box_meshes(load(spark, d, "connectors")))
-    return collision.collisions(placed, pairs, edges.where("family = 'fixed'").select("key", "pos", "parent")).select(F.col("key").alias("path_id"), F.array_join(F.transform("collisions", lambda v: v.cast("string")), ",").alias("collisions"), "first")
+    parts, colors, connectors = _catalogue(spark, d)
+    x = whole_texts.text_collisions(load(spark, d, "paths"), "path_id", "path", parts, colors, connectors, box_meshes(connectors))
+    return x.select(F.col("key").alias("path_id"), F.array_join(F.transform("collisions", lambda v: v.cast("string")), ",").alias("collisions"), "first")
 
 
 def _walked(spark: SparkSession, d: str, method: str) -> DataFrame:
