@@ -526,9 +526,7 @@ def text_errors(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def path_joints(spark: SparkSession, d: str) -> DataFrame:
     """All joints between the placed parts of each path, found from their connectors, as whole-number parameters."""
-    _, e = _graph(spark, d)
-    q = assembly.tree_edge(F.col("family"), F.lit(True), F.col("yaw"), F.col("flip"), F.col("rot"))
-    return e.select(F.col("graph_id").alias("path_id"), "family", "a", "a_conn", "b", "b_conn", q["yaw"].alias("degrees"), q["flip"].alias("turned"), q["slide"].alias("slide"))
+    return whole_texts.text_joints(load(spark, d, "paths"), "path_id", "path", *_catalogue(spark, d)).withColumnRenamed("key", "path_id")
 
 
 def box_meshes(connectors: DataFrame, margin: float = 4.0) -> DataFrame:
