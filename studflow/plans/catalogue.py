@@ -504,12 +504,6 @@ def path_poses(spark: SparkSession, d: str) -> DataFrame:
     return _placed(spark, d).select(F.col("key").alias("path_id"), "pos", "part_id", "color", *[_rounded(F.get("xf", F.lit(4 * i + 3)), 4).alias("xyz"[i]) for i in range(3)])
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    # the nodes are read by each of the joins that find joints
-    nodes = checkpointed(_placed(spark, d).select(F.col("key").alias("graph_id"), F.col("pos").alias("node"), "part_id", "color", "xf"))
-    return nodes, assembly.graph_edges(nodes, load(spark, d, "connectors"))
-
-
 @query()
 def path_edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges of the graphs that paths are, with continuous parameters."""
@@ -549,13 +543,8 @@ def path_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _walked(spark: SparkSession, d: str, method: str) -> DataFrame:
-    parts, colors, connectors = _catalogue(spark, d)
-    nodes, edges = _graph(spark, d)
-    edges = checkpointed(edges)  # used several times
-    comps = assembly.graph_components(nodes, edges)
-    seeds = comps.where("size >= 2").select("graph_id", "component_index").distinct().withColumn("seed", F.lit(0 if method == "random" else None).cast("bigint"))
-    text = grammar.serialized(*walks.trees_of(walks.walked(edges, comps, seeds, method), nodes, connectors), parts, colors)
-    return text.select(F.col("key.graph_id").alias("path_id"), "key.component_index", "text")
+    seed = 0 if method == "random" else None
+    return whole_texts.text_walks(load(spark, d, "paths"), "path_id", "path", *_catalogue(spark, d), method, seed).withColumnRenamed("key", "path_id")
 
 
 @query()

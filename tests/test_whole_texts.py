@@ -37,7 +37,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["path_joints", "path_collisions"])
+@pytest.mark.parametrize("name", ["path_joints", "path_collisions", "rewalked_breadth_first", "rewalked_at_random"])
 def test_nothing_of_a_model_is_shuffled(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
