@@ -6,7 +6,7 @@ A set-similarity self-join over the distinct word runs of each record, by rare-f
    is exact; collisions in the table only make it less sharp);
 2. each record's runs are put in that order; its prefix is what two records of the wanted similarity must share at
    least one run of. The prefixes are shuffled by run, column-wise and packed, with a parity map of each record's
-   set (two to four bits for each run in it);
+   set (one to two bits for each run in it);
 3. records that meet on a prefix run pass the length filter, the positional filter and, as suffix filter, the lower
    bound that the parity maps give for the symmetric difference; none of these loses a pair;
 4. each surviving pair is verified once, from the two texts.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import checkpointed, spread
+from ..tables import checkpointed, passing_shuffles, spread
 from . import flat
 from .flat import pack, unpack
 
@@ -45,6 +45,9 @@ CHUNK = 2_000_000
 SLICE = 5_000
 #: Prefix entries of a bucket, which one task holds; and buckets of one round over the texts.
 ENTRIES, ROUND = 2_000_000, 16_000
+#: A record goes, with its map, to each bucket that one of its prefix runs is in, so with many buckets all postings would
+#: take many times the input; they are dealt out in up to so many rounds, of at least so many buckets.
+ROUNDS, FEWEST = 16, 24
 #: Copies of one class meet in blocks of so many.
 BLOCK = 500
 
@@ -117,8 +120,8 @@ def prefix_lengths(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_level(size: np.ndarray) -> np.ndarray:
-    """A record's parity map has 128 << level bits: at least two for each of its runs."""
-    return np.clip(np.ceil(np.log2(np.maximum(2 * size, 1) / 128)), 0, LEVELS).astype(np.int64)
+    """A record's parity map has 128 << level bits: at least one for each of its runs."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / 128)), 0, LEVELS).astype(np.int64)
 
 
 class Maps:
@@ -153,8 +156,12 @@ class Maps:
         return out
 
 
-def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, buckets: int, bits: int = TOKEN_BITS[0], wanted: tuple[int, int] | None = None) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed postings) of the records, for the buckets wanted[0] to wanted[1]."""
+def _counts_at(counts: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    return counts[(h >> flat.U(bits - (int(len(counts)).bit_length() - 1))).astype(np.int64)]
+
+
+def _prefixes(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, bits: int = TOKEN_BITS[0]) -> bytes | None:
+    """The records' prefixes, packed: all that their postings are made of, each record once."""
     h, bounds, words = runs(texts, n)
     enough = words >= min_words
     sizes = np.where(enough, np.diff(bounds), 0)
@@ -165,7 +172,7 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     h, bounds = flat.distinct_in_text(h, bounds, bits)
     size = np.diff(bounds)
     if not len(size):
-        return
+        return None
     rec = np.repeat(np.arange(len(size)), size)
     # the class of a record is the hash of its set; copies within the batch are dropped here
     ids = flat.mix(np.add.reduceat(flat.mix(h ^ flat.MIX_A), bounds[:-1]) + size.astype(np.uint64))
@@ -185,16 +192,35 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     parity = (np.bincount(start[rec] + bit, minlength=start[-1]) & 1).astype(np.uint8)
     maps = np.packbits(parity, bitorder="little").view(np.uint64)
     # rare first: by count, then by the run's hash
-    slot = int(len(counts)).bit_length() - 1
     low = flat.U((1 << bits) - 1)
-    count_of = lambda h: counts[(h >> flat.U(bits - slot)).astype(np.int64)]
-    h = np.sort((rec.astype(np.uint64) << flat.U(bits + 8)) | (count_of(h).astype(np.uint64) << flat.U(bits)) | h) & low
+    h = np.sort((rec.astype(np.uint64) << flat.U(bits + 8)) | (_counts_at(counts, h, bits).astype(np.uint64) << flat.U(bits)) | h) & low
     place = np.arange(len(h)) - np.repeat(bounds[:-1], size)
     probe, _ = prefix_lengths(size, t)
     sel = np.flatnonzero((place < probe[rec]) & leads[rec])
-    often = counts_of(count_of(h[sel]))
-    sel, often = sel[often > 1], often[often > 1]
+    sel = sel[counts_of(_counts_at(counts, h[sel], bits)) > 1]
     token, rec, place = h[sel], rec[sel], place[sel]
+    # only records that have postings
+    used, rec = np.unique(rec, return_inverse=True)
+    if not len(used):
+        return None
+    own = [(k, c) for k, i in enumerate(used.tolist()) for c in copies.get(i, ())]
+    steps = np.diff(place, prepend=0)
+    return pack(
+        ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=np.concatenate([maps[start[k] // 64 : start[k + 1] // 64] for k in used]), many=np.bincount(rec).astype(np.uint32),
+        low=(token & flat.U(0xFFFFFFFF)).astype(np.uint32), high=(token >> flat.U(32)).astype(np.uint16), steps=steps.astype(np.int32), copy_of=np.array([k for k, _ in own], dtype=np.uint16), copy=np.array([c for _, c in own], dtype=np.int64),
+    )
+
+
+def _dealt(prefixes: bytes, counts: np.ndarray, buckets: int, bits: int = TOKEN_BITS[0], wanted: tuple[int, int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings) of the records, for the buckets wanted[0] to wanted[1]."""
+    ids, keys, size, maps, many, low, high, steps, copy_of, copy = unpack(prefixes, "u8", "i8", "u4", "u8", "u4", "u4", "u2", "i4", "u2", "i8")
+    token = low.astype(np.uint64) | high.astype(np.uint64) << flat.U(32)
+    rec, place = np.repeat(np.arange(len(size)), many), np.cumsum(steps.astype(np.int64))
+    start = np.concatenate(([0], np.cumsum(128 << map_level(size.astype(np.int64)))))
+    copies: dict[int, list[int]] = {}
+    for i, c in zip(copy_of.tolist(), copy.tolist()):
+        copies.setdefault(i, []).append(c)
+    often = counts_of(np.arange(256))[_counts_at(counts, token, bits)]
     side = np.zeros(len(token), dtype=np.uint8)
     hot = np.flatnonzero(often > HOT)
     if len(hot):
@@ -214,10 +240,12 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
     bucket = (flat.mix(token) % flat.U(buckets)).astype(np.int64)
     home = np.full(len(size), -1, dtype=np.int64)
     home[rec[::-1]] = bucket[::-1]
-    order = np.lexsort((token, bucket))
-    token, side, rec, place, bucket = token[order], side[order], rec[order], place[order], bucket[order]
     first, last = wanted or (0, buckets)
+    order = np.flatnonzero((bucket >= first) & (bucket < last))
+    order = order[np.lexsort((token[order], bucket[order]))]
+    token, side, rec, place, bucket = token[order], side[order], rec[order], place[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(first, last + 1))
+    wide = np.diff(start) // 64
     narrow = np.uint32 if bits <= 32 else np.uint64
     for b in range(first, last):
         lo, hi = cuts[b - first], cuts[b - first + 1]
@@ -226,13 +254,21 @@ def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: i
         used, local = np.unique(rec[lo:hi], return_inverse=True)
         at_home = home[used] == b
         own = [(k, c) for k in np.flatnonzero(at_home) for c in copies.get(int(used[k]), ())]
+        words = wide[used]
+        at = np.arange(words.sum()) + np.repeat(start[used] // 64 - (np.cumsum(words) - words), words)
         yield b, pack(
-            ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=np.concatenate([maps[start[k] // 64 : start[k + 1] // 64] for k in used]), home=at_home.astype(np.uint8),
+            ids=ids[used], keys=keys[used], size=size[used].astype(np.uint32), maps=maps[at], home=at_home.astype(np.uint8),
             token=np.diff(token[lo:hi].astype(np.int64), prepend=0).astype(narrow), rec=local.astype(np.uint16), place=place[lo:hi].astype(np.uint32), side=side[lo:hi],
             copy_of=np.array([k for k, _ in own], dtype=np.uint16), copy=np.array([c for _, c in own], dtype=np.int64),
         )
 
 
+def _postings(keys: np.ndarray, texts: list[str], n: int, t: float, min_words: int, counts: np.ndarray, buckets: int, bits: int = TOKEN_BITS[0], wanted: tuple[int, int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed postings) of the records, for the buckets wanted[0] to wanted[1]."""
+    prefixes = _prefixes(keys, texts, n, t, min_words, counts, bits)
+    return iter(()) if prefixes is None else _dealt(prefixes, counts, buckets, bits, wanted)
+
+
 def _meet(blobs: list[bytes], t: float, bits: int = TOKEN_BITS[0]) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: the candidate pairs (of class representatives) and the (representative, copy) pairs."""
     parts = [unpack(b, "u8", "i8", "u4", "u8", "u1", "u4" if bits <= 32 else "u8", "u2", "u4", "u1", "u2", "i8") for b in blobs]
@@ -298,8 +334,9 @@ def _meet(blobs: list[bytes], t: float, bits: int = TOKEN_BITS[0]) -> tuple[np.n
 def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n: int = 5, min_words: int = 60, buckets: int | None = None) -> DataFrame:
     """kind 0: pairs a < b of class representatives that may be similar; kind 1: a is the representative, b a copy.
 
-    A bucket is a share of the runs, about ENTRIES prefix entries whatever the input, and is held by one task; more
-    buckets than ROUND are taken in rounds over the texts.
+    A bucket is a share of the runs, about ENTRIES prefix entries whatever the input, and is held by one task. Where there
+    are many, the prefixes are kept and dealt out in rounds, so that the disk holds one round's postings; each round's
+    shuffle files go when its pairs are found.
     """
     base = spread(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1) & F.col("key").isNotNull()))
     chars = float(base.agg(F.sum(F.length("text"))).first()[0] or 0)
@@ -311,14 +348,31 @@ def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n:
         buckets = max(cores, math.ceil(0.31 * chars / 6 / ENTRIES))
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
-    def post(wanted: tuple[int, int]):
+    as_rows = lambda rows, first: pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] - first for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.large_binary())})
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                b = batch.slice(lo, SLICE)
+                rows = list(_postings(b.column(0).to_numpy(), b.column(1).to_pylist(), n, threshold, min_words, shared.value, buckets, bits))
+                if rows:
+                    yield as_rows(rows, 0)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                b = batch.slice(lo, SLICE)
+                prefixes = _prefixes(b.column(0).to_numpy(), b.column(1).to_pylist(), n, threshold, min_words, shared.value, bits)
+                if prefixes is not None:
+                    yield pa.RecordBatch.from_pydict({"blob": pa.array([prefixes], pa.large_binary())})
+
+    def deal(wanted: tuple[int, int]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, SLICE):
-                    b = batch.slice(lo, SLICE)
-                    rows = list(_postings(b.column(0).to_numpy(), b.column(1).to_pylist(), n, threshold, min_words, shared.value, buckets, bits, wanted))
+                for x in batch.column(0):
+                    rows = list(_dealt(x.as_py(), shared.value, buckets, bits, wanted))
                     if rows:
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] - wanted[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.large_binary())})
+                        yield as_rows(rows, wanted[0])
 
         return run
 
@@ -334,13 +388,17 @@ def candidates(df: DataFrame, key: str, text: str, *, threshold: float = 0.7, n:
                     y = x[at : at + 100_000]
                     yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(y), kind), pa.int32()), "a": pa.array(y[:, 0], pa.int64()), "b": pa.array(y[:, 1], pa.int64())})
 
-    out = None
-    for lo in range(0, buckets, ROUND):
-        wanted = lo, min(lo + ROUND, buckets)
-        posted = base.mapInArrow(post(wanted), "bucket int, blob binary")
-        # the buckets are the partitions
-        met = posted.repartitionById(wanted[1] - lo, F.col("bucket")).mapInArrow(meet, "kind int, a bigint, b bigint")
-        out = met if out is None else out.unionByName(met)
+    # the buckets are the partitions
+    met = lambda posted, many: posted.repartitionById(many, F.col("bucket")).mapInArrow(meet, "kind int, a bigint, b bigint")
+    step = min(ROUND, max(FEWEST, -(-buckets // ROUNDS)))
+    if buckets <= step:
+        return met(base.mapInArrow(post, "bucket int, blob binary"), buckets)
+    kept, out = checkpointed(base.mapInArrow(keep, "blob binary")), None
+    for lo in range(0, buckets, step):
+        wanted = lo, min(lo + step, buckets)
+        with passing_shuffles(df.sparkSession):
+            one = checkpointed(met(kept.mapInArrow(deal(wanted), "bucket int, blob binary"), wanted[1] - lo))
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,15 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="studflow-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is made and run within leaves no shuffle files behind; it must be read back from a checkpoint."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -287,3 +287,22 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert leakage.leaks(docs, spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
     assert leakage.leaks(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+def test_postings_of_one_round_at_a_time(spark, monkeypatch):
+    """Many buckets: the disk holds one round's postings, and the pairs are the same."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(r.choices(words, k=r.randrange(70, 200)))) for k in range(60)]
+    rows += [(100 + k, t + " and one word") for k, t in rows[:20]] + [(200 + k, t) for k, t in rows[:5]]
+    df = spark.createDataFrame(rows, "key bigint, text string")
+    want = {tuple(x) for x in near_duplicates.candidates(df, "key", "text", buckets=2).collect()}
+    monkeypatch.setattr(near_duplicates, "FEWEST", 4)
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    run, seen = near_duplicates.checkpointed, []
+    monkeypatch.setattr(near_duplicates, "checkpointed", lambda x: (seen.append(files()), run(x))[1])
+    got = near_duplicates.candidates(df, "key", "text", buckets=60)
+    left = files()
+    assert {tuple(x) for x in got.collect()} == want and len(want) >= 25
+    # the prefixes once, then 15 rounds of which none leaves its shuffle files
+    assert len(seen) == 16 and left <= seen[1]
